@@ -219,6 +219,32 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def raw_games(spark: SparkSession, d: str) -> DataFrame:
+    """Games under the raw catalogue's column names, with multi-value texts."""
+    cats = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.concat("p_brand", F.lit(", "), "p_type").alias("Categories"),
+        F.concat("p_type", F.lit(", "), "p_brand").alias("Genres"),
+    )
+    play = F.col("playtime").cast("bigint")
+    owners = F.concat((play * 10).cast("string"), F.lit(" - "), (play * 30).cast("string"))
+    return games(spark, d).join(cats, "id").select(
+        F.col("id").alias("AppID"),
+        "Categories",
+        "Genres",
+        F.col("desenvolvedor_id").alias("Developers"),
+        F.col("preco_base").alias("Price"),
+        F.col("playtime").alias("Average playtime forever"),
+        F.col("achievements").alias("Achievements"),
+        F.col("pos").alias("Positive"),
+        F.col("neg").alias("Negative"),
+        F.col("avaliacao_media").alias("User score"),
+        F.col("metacritic_score").alias("Metacritic score"),
+        F.when(play > 0, owners).alias("Estimated owners"),
+        F.col("data_lancamento").alias("Release date"),
+    )
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     return table(spark, d, "labels").join(docs, "doc_id").select(
@@ -308,6 +334,13 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
                (n_chars % 101)::DOUBLE AS "Metacritic score",
                lang AS real_genres, source AS real_tags, lang || ',' || source AS real_categories
         FROM documents"""),
+    "raw_games": (("games",), """
+        SELECT id AS "AppID", p_brand || ', ' || p_type AS "Categories", p_type || ', ' || p_brand AS "Genres",
+               desenvolvedor_id AS "Developers", preco_base AS "Price", playtime AS "Average playtime forever",
+               achievements AS "Achievements", pos AS "Positive", neg AS "Negative",
+               avaliacao_media AS "User score", metacritic_score AS "Metacritic score",
+               20.0::DOUBLE * CASE WHEN playtime > 0 THEN playtime END AS owners_number, data_lancamento AS "Release date"
+        FROM games JOIN part ON p_partkey = id"""),
     "scored": ((), """
         SELECT doc_id, quality AS y, (n_chars % 1000) / 1000.0::DOUBLE AS score
         FROM labels JOIN documents USING (doc_id)"""),
