@@ -14,14 +14,21 @@ def draw(item: Column, user: Column, seed: int) -> Column:
     return F.pmod(mix, F.lit(DRAW_MOD))
 
 
+def code(df: DataFrame, key: str) -> Column:
+    """A whole number for the draw: the key itself, or a hash of a key that is no number."""
+    if dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
+        return F.col(key)
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """The ``n`` rows that come first in the seeded order of a unique key."""
+    return df.orderBy(draw(code(df, key), F.lit(0), seed), key).limit(n)
 
 
 def split_frac(df: DataFrame, key: str, frac: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two parts that together hold every row once, ``frac`` of them in the first."""
-    first = draw(F.col(key), F.lit(0), seed) < int(frac * DRAW_MOD)
+    first = draw(code(df, key), F.lit(0), seed) < int(frac * DRAW_MOD)
     return df.where(first), df.where(~first)
 
 
@@ -31,7 +38,7 @@ def hash_place(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFra
     ``key`` must be unique. The order is cut into buckets, so that a stratum
     holding most of the rows is still worked on by many tasks.
     """
-    cells = df.withColumn("_h", draw(F.col(key), F.lit(0), seed)).withColumn("_c", F.lit(1).cast("bigint"))
+    cells = df.withColumn("_h", draw(code(df, key), F.lit(0), seed)).withColumn("_c", F.lit(1).cast("bigint"))
     return running_totals(cells, "_h", ["_c"], strata, [F.col("_h"), F.col(key)])
 
 

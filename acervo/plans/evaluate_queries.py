@@ -222,6 +222,7 @@ def _(s, d):
     return S.split_stratified(B.table(s, d, "labels").select("doc_id", "quality"), "doc_id", ["quality"], 0.2, 0.125)
 
 
-@register("seeded_sample", "O-06")
+@register("seeded_sample", "O-06", """
+    SELECT o_orderkey, o_custkey FROM orders ORDER BY (o_orderkey * 7919 + 42 * 1299709) % 1000003, o_orderkey LIMIT 2000""")
 def _(s, d):
-    return S.sample_n(B.table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), 2000, "l_orderkey")
+    return S.sample_n(B.table(s, d, "orders").select("o_orderkey", "o_custkey"), 2000, "o_orderkey")
