@@ -85,7 +85,7 @@ def main() -> int:
         try:
             ok, note = compare(spark, con, d, e.queries()[name], e.oracle_sql().get(name))
         except Exception as ex:  # report and go on with the next query
-            ok, note = False, f"{type(ex).__name__}: {str(ex)[:700]}"
+            ok, note = False, f"{type(ex).__name__}: {str(ex)[:2500]}"
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t:.1f}s {note}", flush=True)
         if not ok:
             failed.append(name)
