@@ -173,7 +173,7 @@ def nb_classify(train: DataFrame, test: DataFrame, text: str, label: str, terms:
     return back.transform(model.transform(apply(test))).select(KEY, "previsto")
 
 
-def description_text(df: DataFrame) -> Column:
+def description_text() -> Column:
     empty = F.lit("")
     return F.concat(F.coalesce(_c("About the game"), empty), F.lit(" "), F.coalesce("Tags", empty))
 
@@ -387,42 +387,52 @@ def _attach(df: DataFrame, guesses: DataFrame, name: str) -> DataFrame:
     return df.join(guesses.withColumnRenamed("previsto", name), KEY, "left")
 
 
+NARROW = [KEY, "Name", "Genres", "Tags", "Categories", "Publishers", "Developers", "Price", "Metacritic score"]
+
+
 def impute_catalog(df: DataFrame, check: int = 2000, share: float = 0.3) -> DataFrame:
     """The whole cascade: clean, special techniques, checked ensemble, fallback.
 
-    A technique that learns is trained on the known rows outside the
-    validation sample and applied to that sample and to the missing rows.
+    ``AppID`` must be unique. A technique that learns is trained on the known
+    rows outside the validation sample and applied to that sample and to the
+    missing rows. The cascade runs on the short columns; the long texts are
+    only scanned, and joined back once at the end.
     """
-    base = impute_publishers(clean_catalog(df))
-    base = spot_genres(base, only_missing=False)
+    wide = clean_catalog(df)
+    short = spot_genres(wide, only_missing=False).select(*NARROW, "Notes", "Genres_b3")
+    base = cut_lineage(impute_publishers(short).drop("Notes"))  # read by every technique
+
+    def sides(rows: DataFrame, target: str, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # the validation ids have a fixed upper size
+        learn = rows.where(F.col(target).isNotNull()).join(F.broadcast(checked), KEY, "left_anti")
+        ask = rows.where(F.col(target).isNull())
+        return learn, ask.unionByName(rows.join(F.broadcast(checked), KEY, "left_semi"))
 
     checked = validation_ids(base, "Genres", check, share)
-    points = numeric_points(base.withColumn("_desc", description_text(base))).withColumn(
-        "_label", first_item(F.col("Genres"))
-    )
-    learn = points.where(F.col("Genres").isNotNull()).join(F.broadcast(checked), KEY, "left_anti")
-    ask = points.where(F.col("Genres").isNull()).unionByName(
-        points.join(F.broadcast(checked), KEY, "left_semi")
-    )
+    label = first_item(F.col("Genres"))
+    learn, ask = sides(numeric_points(base).withColumn("_label", label), "Genres", checked)
     techniques = ["Genres_b3"]
     if learn.limit(101).count() > 100:
-        base = _attach(base, nb_classify(learn, ask, "_desc", "_label"), "Genres_b1")
+        text = wide.select(KEY, "Genres", label.alias("_label"), description_text().alias("_desc"))
+        guesses = nb_classify(*sides(text, "Genres", checked), "_desc", "_label")
+        base = _attach(base, guesses, "Genres_b1")
         base = _attach(base, knn_classify(learn, ask, "_label"), "Genres_b2")
         techniques = ["Genres_b1", "Genres_b2", "Genres_b3"]
-    base = cut_lineage(ensemble_impute(base, "Genres", techniques, checked))
+    base = ensemble_impute(cut_lineage(base), "Genres", techniques, checked)
 
     base = map_tags(base)
     checked = validation_ids(base, "Tags", check, share)
-    known = base.where(F.col("Tags").isNotNull()).join(F.broadcast(checked), KEY, "left_anti")
-    ask = base.where(F.col("Tags").isNull()).unionByName(base.join(F.broadcast(checked), KEY, "left_semi"))
-    base = _attach(base, cosine_nearest(ask, known, "Genres", "Tags"), "Tags_c1")
-    base = cut_lineage(ensemble_impute(base, "Tags", ["Tags_c1", "Tags_c3"], checked))
+    learn, ask = sides(base, "Tags", checked)
+    base = _attach(base, cosine_nearest(ask, learn, "Genres", "Tags"), "Tags_c1")
+    base = ensemble_impute(cut_lineage(base), "Tags", ["Tags_c1", "Tags_c3"], checked)
 
     base = spot_categories(base, only_missing=False)
     checked = validation_ids(base, "Categories", check, share)
     base = ensemble_impute(base, "Categories", ["Categories_d1"], checked)
     used = ["Genres_b1", "Genres_b2", "Genres_b3", "Tags_c1", "Tags_c3", "Categories_d1"]
-    return fallback_impute(base).drop(*used)
+    done = fallback_impute(base).drop(*used)
+    rest = [c for c in wide.columns if c not in NARROW]
+    return done.join(wide.select(KEY, *[_c(c) for c in rest]), KEY)
 
 
 def confidence_report(df: DataFrame, columns: Sequence[str] = ("Publishers", "Genres", "Tags", "Categories")) -> DataFrame:

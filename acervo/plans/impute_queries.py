@@ -71,7 +71,7 @@ def _(s, d):
 
 def _genre_sides(s, d):
     rows = I.numeric_points(B.catalog(s, d)).withColumn("_label", F.col("Genres")).withColumn(
-        "_desc", I.description_text(B.catalog(s, d)))
+        "_desc", I.description_text())
     return rows.where("Genres IS NOT NULL"), rows.where("Genres IS NULL")
 
 
