@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from acervo.session import shuffle_width
+from acervo.session import cut_lineage, shuffle_width
 
 _BUCKET = "_bucket"
 
@@ -51,11 +51,13 @@ def running_totals(
     """For each measure add ``<m>_before`` (sum over earlier rows) and ``<m>_total``.
 
     ``cells`` holds one row per group and order key. ``by`` is the numeric
-    column that leads the ascending ``order``.
+    column that leads the ascending ``order``. The folded cells are written
+    once to the shared folder: the bounds, the scan of the pieces and their
+    totals all read them, and what lies before them runs a single time.
     """
     group = list(group)
     order = list(order) if order else [F.col(by)]
-    keyed = with_bucket(cells, by, pieces)
+    keyed = with_bucket(cut_lineage(cells), by, pieces)
     piece = W.partitionBy(*group, _BUCKET)
     upto = piece.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 

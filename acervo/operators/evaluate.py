@@ -22,6 +22,7 @@ from acervo.fixed_values import (
 from acervo.functions.prefix import running_totals
 from acervo.functions.sampling import draw
 from acervo.operators.stats import safe_corr
+from acervo.session import cut_lineage
 
 
 def hit_table(recs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -112,6 +113,7 @@ def offline_report(
     recs: DataFrame, truth: DataFrame, catalog: DataFrame, ks: Sequence[int] = (5, 10, 20)
 ) -> DataFrame:
     """Long table (metrica, valor) of all measures; MAP at the largest cut-off."""
+    recs = cut_lineage(recs)  # the measures and the coverage read the lists
     per_user = user_measures(recs, truth, ks)
     names = [c for c in per_user.columns if c != "usuario_id"]
     wide = per_user.agg(*[F.avg(c).alias(c) for c in names]).join(
@@ -185,6 +187,7 @@ def error_report(
     recs: DataFrame, truth: DataFrame, catalog: DataFrame, popularity: DataFrame, profiles: DataFrame
 ) -> DataFrame:
     """Bias, inequality, never-listed count and precision per profile as (metrica, valor)."""
+    recs = cut_lineage(recs)  # four measures read the lists
     by_profile = precision_by_profile(recs, truth, profiles)
     parts = [
         popularity_bias(recs, popularity).select(F.lit("popularity_bias").alias("metrica"), F.col("vies").alias("valor")),

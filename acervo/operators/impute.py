@@ -141,7 +141,11 @@ def map_tags(df: DataFrame) -> DataFrame:
 
 
 def _tfidf(df: DataFrame, text: str, terms: int, stop_words: bool):
-    """Fitted stages giving L2-normed counts times ln((1+n)/(1+df)) + 1."""
+    """Fitted stages giving L2-normed counts times ln((1+n)/(1+df)) + 1.
+
+    Returns the function that applies them, the weighted rows of ``df`` itself,
+    and the kept counts behind those rows; release them after the last fit.
+    """
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
     stages, col = [words], "_words"
     if stop_words:
@@ -149,7 +153,7 @@ def _tfidf(df: DataFrame, text: str, terms: int, stop_words: bool):
         col = "_kept"
     stages.append(CountVectorizer(inputCol=col, outputCol="_tf", vocabSize=terms))
     counted = Pipeline(stages=stages).fit(df)
-    rows = counted.transform(df)
+    rows = counted.transform(df).drop(text, "_words", "_kept").persist()
     idf = IDF(inputCol="_tf", outputCol="_x").fit(rows).idf
     weight = ElementwiseProduct(
         scalingVec=Vectors.dense([v + 1.0 for v in idf]), inputCol="_tf", outputCol="_w"
@@ -159,16 +163,17 @@ def _tfidf(df: DataFrame, text: str, terms: int, stop_words: bool):
     def apply(other: DataFrame) -> DataFrame:
         return norm.transform(weight.transform(counted.transform(other)))
 
-    return apply
+    return apply, norm.transform(weight.transform(rows)), rows
 
 
 def nb_classify(train: DataFrame, test: DataFrame, text: str, label: str, terms: int = 1000) -> DataFrame:
     """Multinomial naive Bayes on TF-IDF; (AppID, predicted) for ``test``."""
-    apply = _tfidf(train, text, terms, stop_words=True)
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+    apply, known, kept = _tfidf(train.select(KEY, text, label), text, terms, stop_words=True)
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
     model = NaiveBayes(featuresCol="_tfidf", labelCol="_y", smoothing=1.0, modelType="multinomial").fit(
-        index.transform(apply(train))
+        index.transform(known)
     )
+    kept.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="previsto", labels=index.labels)
     return back.transform(model.transform(apply(test))).select(KEY, "previsto")
 
@@ -263,7 +268,8 @@ def cosine_nearest(
     chosen = sample_n(known.where(F.col(payload).isNotNull()), sample, KEY).select(
         KEY, blank.alias("_text"), F.col(payload).alias("previsto")
     )
-    apply = _tfidf(chosen, "_text", terms, stop_words=False)
+    apply, _known, kept = _tfidf(chosen, "_text", terms, stop_words=False)
+    kept.unpersist()
     cells = chosen.groupBy("_text").agg(F.min_by("previsto", KEY).alias("previsto"), F.min(KEY).alias("id"))
     vectors = apply(cells).select("id", "previsto", vector_to_array("_tfidf").alias("vetor"))
     asked = unknown.select(KEY, blank.alias("_text"))

@@ -24,6 +24,7 @@ from acervo.fixed_values import (
 from acervo.functions.prefix import running_totals
 from acervo.functions.sampling import draw
 from acervo.operators.tiles import matrix, numbers, strips, tile_map, top_per_row
+from acervo.session import cut_lineage
 
 
 def mode_table(spark: SparkSession, k: int = 10) -> DataFrame:
@@ -99,24 +100,32 @@ def _table(cols: Mapping[str, list], kinds: Mapping[str, pa.DataType]) -> pa.Tab
     return pa.table(out)
 
 
-def top_items(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The ``n`` best items of every user, ties by item id."""
+def _top_parts(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best items of every user in every item block, with the block's score bounds."""
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
         i = _sorted_items(i)
         uid, iid = numbers(q, "usuario_id"), numbers(i, "id")
         qm, im = matrix(q, "vetor"), matrix(i, "vetor")
-        cols: dict[str, list] = {"usuario_id": [], "item": [], "score": []}
+        cols: dict[str, list] = {"usuario_id": [], "item": [], "score": [], "lo": [], "hi": []}
         for part in strips(len(uid), len(iid)) if len(iid) else ():
             s = qm[part] @ im.T
             rows, at = top_per_row(s, n)
             cols["usuario_id"].append(uid[part][rows])
             cols["item"].append(iid[at])
             cols["score"].append(s[rows, at])
-        return _table(cols, {"score": pa.float64()})
+            cols["lo"].append(s.min(axis=1)[rows])
+            cols["hi"].append(s.max(axis=1)[rows])
+        return _table(cols, {c: pa.float64() for c in ("score", "lo", "hi")})
+
+    schema = "usuario_id bigint, item bigint, score double, lo double, hi double"
+    return tile_map(users, items, "usuario_id", "id", kernel, schema)
+
 
-    parts = tile_map(users, items, "usuario_id", "id", kernel, "usuario_id bigint, item bigint, score double")
+def top_items(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best items of every user, ties by item id."""
     best = W.partitionBy("usuario_id").orderBy(F.desc("score"), "item")
+    parts = _top_parts(users, items, n).drop("lo", "hi")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
@@ -181,10 +190,10 @@ def recommend_modes(
                     emit(u[rows], 2, code[m], iid[at], s[rows, at], drawn[rows, at], 0)
         return _table(cols, {"score": pa.float64()})
 
-    found = tile_map(
+    found = cut_lineage(tile_map(  # scored once, read by kind
         users, items, "usuario_id", "id", kernel,
         "usuario_id bigint, kind bigint, m bigint, item bigint, score double, sorteio bigint, n bigint",
-    )
+    ))
     table = F.broadcast(  # one row per mode
         mode_table(users.sparkSession, k)
         .where(F.col("modo").isin(names))
@@ -262,7 +271,7 @@ def similar_games(games: DataFrame, bridge: DataFrame, k: int = 10) -> DataFrame
     rated = games.select("id", F.col("avaliacao_media").alias("nota")).join(cats, "id")
     rated = rated.withColumn("sig", F.md5(F.to_json("cats"))).withColumn("nota", F.coalesce("nota", F.lit(-1.0)))
     best = W.partitionBy("sig").orderBy(F.desc("nota"), "id")
-    leaders = (
+    leaders = cut_lineage(
         rated.withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= keep)
         .groupBy("sig")
@@ -351,11 +360,15 @@ def best_thresholds(users: DataFrame, items: DataFrame, truth: DataFrame, k: int
     threshold are the head of the user's ranking, so the k best items serve
     every candidate. Constant scores give the fallback threshold.
     """
-    bounds = score_summary(users, items, ()).select("usuario_id", "menor", "maior")
     span = F.col("maior") - F.col("menor")
+    # k rows per user and item block: the user's window is short
+    mine = W.partitionBy("usuario_id")
     scaled = (
-        top_items(users, items, k)
-        .join(bounds, "usuario_id")
+        _top_parts(users, items, k)
+        .withColumn("menor", F.min("lo").over(mine))
+        .withColumn("maior", F.max("hi").over(mine))
+        .withColumn("place", F.row_number().over(mine.orderBy(F.desc("score"), "item")))
+        .where(F.col("place") <= k)
         .withColumn("s", F.coalesce(F.try_divide(F.col("score") - F.col("menor"), span), F.lit(0.0)))
         .join(truth.withColumn("_t", F.lit(1)), ["usuario_id", "item"], "left")
         .withColumn("hit", F.coalesce("_t", F.lit(0)))

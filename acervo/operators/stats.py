@@ -71,7 +71,7 @@ def kruskal(df: DataFrame, group: str, value: str, min_count: int = 0) -> DataFr
         )
         .agg(
             F.count("*").alias("k"),
-            F.max("nn").alias("n"),
+            F.coalesce(F.max("nn"), F.lit(0)).alias("n"),
             F.sum(F.col("dev") * F.col("dev") / F.col("ng")).alias("spread"),
         )
     )

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from acervo.session import spread
+
 AS_OF = "2001-08-01 00:00:00"
 CUT = "2000-01-01"
 
@@ -201,7 +203,7 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
     """Documents seen as an incomplete raw catalogue; hidden values kept as ``real_*``."""
     i = F.col("doc_id")
     both = F.concat("lang", F.lit(","), "source")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         i.alias("AppID"),
         F.concat("source", F.lit(" "), (i % 50).cast("string")).alias("Name"),
         F.col("text").alias("About the game"),

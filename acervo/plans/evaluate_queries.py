@@ -171,7 +171,7 @@ def _(s, d):
 
 
 @register("coverage_users_needed", "E-15", with_views(f"""WITH {CURVE}
-    SELECT 15.0::DOUBLE AS alvo_pct, round(exp((ln(15) - b) / a), 6) AS n_usuarios FROM ft""", "supplier_catalog"))
+    SELECT 15.0::DOUBLE AS alvo_pct, round(exp((ln(15) - b) / nullif(a, 0)), 6) AS n_usuarios FROM ft""", "supplier_catalog"))
 def _(s, d):
     return E.users_needed(E.power_law(_curve(s, d))).select("alvo_pct", r("n_usuarios"))
 

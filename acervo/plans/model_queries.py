@@ -251,23 +251,23 @@ def _(s, d):
     return s.read.parquet(path)
 
 
-def _trend_sql(days: int, slide: int) -> str:
+def _trend_sql(days: int) -> str:
+    """Day-aligned windows of ``days`` starting every day, closed before the last day of the stream."""
     return with_views(f"""
     SELECT inicio, inicio + to_days({days}) AS fim, jogo_id, count(*) AS acessos FROM (
-      SELECT jogo_id, f, unnest(range(0, {days // slide})) AS i, f - (epoch_us(f) % {slide * 86400000000}) * INTERVAL 1 MICROSECOND AS base
-      FROM (SELECT jogo_id, fim AS f FROM session_stream)), LATERAL (SELECT base - to_days((i * {slide})::INT) AS inicio)
+      SELECT jogo_id, date_trunc('day', fim) - to_days(i::INT) AS inicio FROM session_stream, range(0, {days}) AS w(i))
     WHERE inicio + to_days({days}) <= (SELECT max(fim) - INTERVAL 1 DAY FROM session_stream)
     GROUP BY 1, 2, 3""", "session_stream")
 
 
-@register("stream_trending_daily", "ST-02", _trend_sql(1, 1))
+@register("stream_trending_daily", "ST-02", _trend_sql(1))
 def _(s, d):
     path, checkpoint = ST.fresh_paths(s, "daily")
     ST.run_append(ST.trending_stream(_stream(s, d), 1, 1), path, checkpoint)
     return s.read.parquet(path)
 
 
-@register("stream_trending_sliding", "ST-02", _trend_sql(7, 1))
+@register("stream_trending_sliding", "ST-02", _trend_sql(7))
 def _(s, d):
     path, checkpoint = ST.fresh_paths(s, "sliding")
     ST.run_append(ST.trending_stream(_stream(s, d), 7, 1), path, checkpoint)
