@@ -59,10 +59,10 @@ def _(s, d):
 
 
 @register("user_genre_share", "F-03 A-26 X-22", with_views(f"""WITH {GENRE_HOURS}
-    SELECT usuario_id, genero, round(h / sum(h) OVER (PARTITION BY usuario_id), 6) AS share FROM gh WHERE h > 0""", "sessions", "game_categories"))
+    SELECT usuario_id, genero, round(h / sum(h) OVER (PARTITION BY usuario_id), 9) AS share FROM gh WHERE h > 0""", "sessions", "game_categories"))
 def _(s, d):
     out = _long(FE.user_genre_share(B.sessions(s, d), B.games(s, d), B.game_categories(s, d)), "share")
-    return out.select("usuario_id", "genero", r("share"))
+    return out.select("usuario_id", "genero", r("share", 9))
 
 
 @register("user_engagement", "F-04", with_views("""
