@@ -209,8 +209,8 @@ def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int = 5) -> D
     label order; an equal vote goes to the first label.
     """
     cells = train.groupBy("x", "y", "z", F.col(label).alias("rotulo")).agg(F.count("*").alias("n"))
-    cells = cells.withColumn("chave", F.xxhash64("x", "y", "z", "rotulo"))
-    asked = test.select("x", "y", "z").distinct().withColumn("q", F.xxhash64("x", "y", "z"))
+    cells = cut_lineage(cells.withColumn("chave", F.xxhash64("x", "y", "z", "rotulo")))
+    asked = cut_lineage(test.select("x", "y", "z").distinct().withColumn("q", F.xxhash64("x", "y", "z")))
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         c = c.sort_by([(n, "ascending") for n in ("x", "y", "z", "rotulo")])
@@ -271,10 +271,10 @@ def cosine_nearest(
     apply, _known, kept = _tfidf(chosen, "_text", terms, stop_words=False)
     kept.unpersist()
     cells = chosen.groupBy("_text").agg(F.min_by("previsto", KEY).alias("previsto"), F.min(KEY).alias("id"))
-    vectors = apply(cells).select("id", "previsto", vector_to_array("_tfidf").alias("vetor"))
+    vectors = cut_lineage(apply(cells).select("id", "previsto", vector_to_array("_tfidf").alias("vetor")))
     asked = unknown.select(KEY, blank.alias("_text"))
-    distinct = apply(asked.select("_text").distinct()).select(
-        F.col("_text").alias("t"), vector_to_array("_tfidf").alias("vetor")
+    distinct = cut_lineage(
+        apply(asked.select("_text").distinct()).select(F.col("_text").alias("t"), vector_to_array("_tfidf").alias("vetor"))
     )
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:

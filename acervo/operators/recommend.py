@@ -21,6 +21,7 @@ from acervo.fixed_values import (
     KNOWN_USER_TEXT,
     MODES,
 )
+from acervo.functions.lookup import skew_lookup
 from acervo.functions.prefix import running_totals
 from acervo.functions.sampling import draw
 from acervo.operators.tiles import matrix, numbers, strips, tile_map, top_per_row
@@ -328,9 +329,10 @@ def similar_games(games: DataFrame, bridge: DataFrame, k: int = 10) -> DataFrame
         .agg(F.array_sort(F.collect_list(F.struct("place", "id", "comuns"))).alias("lista"))
     )
     others = F.filter("lista", lambda x: x["id"] != F.col("id"))
+    # one set may be that of very many games: its list is looked up without piling them up
+    sizes = rated.groupBy("sig").agg(F.count("*").alias("n"))
     return (
-        rated.select("id", "sig")
-        .join(near, "sig")
+        skew_lookup(rated.select("id", "sig"), near.join(sizes, "sig"), "sig", ["lista"], F.col("id"))
         .select(F.col("id").alias("jogo_id"), F.posexplode(F.slice(others, 1, k)).alias("rank", "g"))
         .select("jogo_id", (F.col("rank") + 1).alias("rank"), F.col("g.id").alias("similar_id"), F.col("g.comuns").alias("categorias_comuns"))
     )

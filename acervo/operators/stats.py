@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from acervo.functions.prefix import running_totals, value_counts
 from acervo.functions.tails import chi2_p, f_p, ks_p, r_p
 from acervo.fixed_values import NUMERIC_COLUMNS, TEXT_COLUMNS
+from acervo.session import cut_lineage
 
 
 def anova(df: DataFrame, group: str, value: str, min_count: int = 0) -> DataFrame:
@@ -54,6 +55,7 @@ def kruskal(df: DataFrame, group: str, value: str, min_count: int = 0) -> DataFr
     if min_count:
         big = cells.groupBy(group).agg(F.sum("c").alias("gn")).where(F.col("gn") > min_count)
         cells = cells.join(big.select(group), group, "left_semi")
+    cells = cut_lineage(cells)  # ranked by value, then summed by group
     per_value = cells.groupBy(value).agg(F.sum("c").alias("n"))
     ranks = running_totals(per_value, value, ["n"]).select(
         F.col(value).alias("_v"),
@@ -99,7 +101,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks for ties."""
-    pairs = (
+    pairs = cut_lineage(  # read for both rankings and for the sums
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.count("*").alias("w"))
