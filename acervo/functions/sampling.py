@@ -10,8 +10,9 @@ from acervo.functions.prefix import running_totals
 
 def draw(item: Column, user: Column, seed: int) -> Column:
     """Pseudo-random number in 0 .. 1000002 of an (item, user, seed) triple."""
-    mix = item.cast("bigint") * DRAW_ITEM + user.cast("bigint") * DRAW_USER + F.lit(seed * DRAW_SEED).cast("bigint")
-    return F.pmod(mix, F.lit(DRAW_MOD))
+    # reduced before they are multiplied: no id is too large
+    i, u = (F.pmod(c.cast("bigint"), F.lit(DRAW_MOD)) for c in (item, user))
+    return F.pmod(i * DRAW_ITEM + u * DRAW_USER + F.lit(seed * DRAW_SEED).cast("bigint"), F.lit(DRAW_MOD))
 
 
 def code(df: DataFrame, key: str) -> Column:

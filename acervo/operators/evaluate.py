@@ -20,7 +20,7 @@ from acervo.fixed_values import (
     GENRE_BASE_SESSION_TIME,
 )
 from acervo.functions.prefix import running_totals
-from acervo.functions.sampling import draw
+from acervo.functions.sampling import code, draw
 from acervo.operators.stats import safe_corr
 from acervo.session import cut_lineage
 
@@ -202,7 +202,7 @@ def coverage_curve(recs: DataFrame, sizes: Sequence[int], seed: int = 42) -> Dat
     """Distinct items over growing, nested user samples drawn in one seeded order."""
     users = recs.select("usuario_id").distinct()
     # the largest sample size bounds the rows that are ranked
-    order = [draw(F.lit(0), F.col("usuario_id"), seed), F.col("usuario_id")]
+    order = [draw(F.lit(0), code(users, "usuario_id"), seed), F.col("usuario_id")]
     chosen = users.orderBy(*order).limit(max(sizes))
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))
     ranked = chosen.withColumn("place", place)

@@ -23,7 +23,7 @@ from acervo.fixed_values import (
 )
 from acervo.functions.lookup import skew_lookup
 from acervo.functions.prefix import running_totals
-from acervo.functions.sampling import draw
+from acervo.functions.sampling import code
 from acervo.operators.tiles import matrix, numbers, strips, tile_map, top_per_row
 from acervo.session import cut_lineage
 
@@ -62,9 +62,17 @@ def _sorted_items(items: pa.Table) -> pa.Table:
     return items.sort_by("id")
 
 
+def _id_types(users: DataFrame, items: DataFrame) -> tuple[str, str, dict[str, pa.DataType]]:
+    """SQL and Arrow types of the user and item ids (numbers or texts)."""
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    u, i = dict(users.dtypes)["usuario_id"], dict(items.dtypes)["id"]
+    return u, i, {"usuario_id": arrow[u], "item": arrow[i]}
+
+
 def score_summary(users: DataFrame, items: DataFrame, thresholds: Sequence[float] = (0.7, 0.5, 0.3)) -> DataFrame:
     """Every user scored against every item: count, bounds, mean, and hits per threshold."""
     names = [f"n_{int(round(t * 100))}" for t in thresholds]
+    u_type, _i_type, ids = _id_types(users, items)
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
         uid, qm, im = numbers(q, "usuario_id"), matrix(q, "vetor"), matrix(i, "vetor")
@@ -78,9 +86,9 @@ def score_summary(users: DataFrame, items: DataFrame, thresholds: Sequence[float
             cols["total"].append(s.sum(axis=1))
             for t, c in zip(thresholds, names):
                 cols[c].append((s >= t).sum(axis=1).astype(np.int64))
-        return _table(cols, {"usuario_id": pa.int64(), "lo": pa.float64(), "hi": pa.float64(), "total": pa.float64()})
+        return _table(cols, ids | {c: pa.float64() for c in ("lo", "hi", "total")})
 
-    fields = ["usuario_id bigint", "n bigint", "lo double", "hi double", "total double"]
+    fields = [f"usuario_id {u_type}", "n bigint", "lo double", "hi double", "total double"]
     schema = ", ".join(fields + [f"{c} bigint" for c in names])
     parts = tile_map(users, items, "usuario_id", "id", kernel, schema)
     return parts.groupBy("usuario_id").agg(
@@ -103,6 +111,7 @@ def _table(cols: Mapping[str, list], kinds: Mapping[str, pa.DataType]) -> pa.Tab
 
 def _top_parts(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The ``n`` best items of every user in every item block, with the block's score bounds."""
+    u_type, i_type, ids = _id_types(users, items)
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
         i = _sorted_items(i)
@@ -117,9 +126,9 @@ def _top_parts(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
             cols["score"].append(s[rows, at])
             cols["lo"].append(s.min(axis=1)[rows])
             cols["hi"].append(s.max(axis=1)[rows])
-        return _table(cols, {c: pa.float64() for c in ("score", "lo", "hi")})
+        return _table(cols, ids | {c: pa.float64() for c in ("score", "lo", "hi")})
 
-    schema = "usuario_id bigint, item bigint, score double, lo double, hi double"
+    schema = f"usuario_id {u_type}, item {i_type}, score double, lo double, hi double"
     return tile_map(users, items, "usuario_id", "id", kernel, schema)
 
 
@@ -161,11 +170,16 @@ def recommend_modes(
         if name not in MODES:
             raise ValueError(f"unknown mode {name}")
     slots = {m: (MODES[m]["threshold"], int(k * MODES[m]["exploracao"])) for m in names}
-    code = {m: n for n, m in enumerate(names)}
+    number = {m: n for n, m in enumerate(names)}
+    u_type, i_type, ids = _id_types(users, items)
+    mod = F.lit(DRAW_MOD)
+    users = users.select("usuario_id", "vetor", F.pmod(code(users, "usuario_id"), mod).cast("bigint").alias("uc"))
+    items = items.select("id", "vetor", F.pmod(code(items, "id"), mod).cast("bigint").alias("ic"))
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
         i = _sorted_items(i)
         uid, iid = numbers(q, "usuario_id"), numbers(i, "id")
+        uc, ic = numbers(q, "uc"), numbers(i, "ic")
         qm, im = matrix(q, "vetor"), matrix(i, "vetor")
         cols: dict[str, list] = {c: [] for c in ("usuario_id", "kind", "m", "item", "score", "sorteio", "n")}
 
@@ -177,35 +191,35 @@ def recommend_modes(
         for part in strips(len(uid), len(iid)) if len(iid) else ():
             u = uid[part]
             s = qm[part] @ im.T
+            drawn = (ic[None, :] * DRAW_ITEM + uc[part][:, None] * DRAW_USER + seed * DRAW_SEED) % DRAW_MOD
             rows, at = top_per_row(s, 2 * k)
-            emit(u[rows], 0, -1, iid[at], s[rows, at], 0, 0)
-            drawn = (iid[None, :] * DRAW_ITEM + u[:, None] * DRAW_USER + seed * DRAW_SEED) % DRAW_MOD
+            emit(u[rows], 0, -1, iid[at], s[rows, at], drawn[rows, at], 0)
             for m, (threshold, explore) in slots.items():
                 valid = s >= threshold
-                emit(u, 1, code[m], 0, 0.0, 0, valid.sum(axis=1))
+                emit(u, 1, number[m], iid[:1].repeat(len(u)), 0.0, 0, valid.sum(axis=1))
                 if explore:
                     # k smallest draws suffice: at most n_top of them are on the list already
                     rows, at = top_per_row(np.where(valid, -drawn, -DRAW_MOD - 1), k)
                     good = valid[rows, at]
                     rows, at = rows[good], at[good]
-                    emit(u[rows], 2, code[m], iid[at], s[rows, at], drawn[rows, at], 0)
-        return _table(cols, {"score": pa.float64()})
+                    emit(u[rows], 2, number[m], iid[at], s[rows, at], drawn[rows, at], 0)
+        return _table(cols, ids | {"score": pa.float64()})
 
     found = cut_lineage(tile_map(  # scored once, read by kind
         users, items, "usuario_id", "id", kernel,
-        "usuario_id bigint, kind bigint, m bigint, item bigint, score double, sorteio bigint, n bigint",
+        f"usuario_id {u_type}, kind bigint, m bigint, item {i_type}, score double, sorteio bigint, n bigint",
     ))
     table = F.broadcast(  # one row per mode
         mode_table(users.sparkSession, k)
         .where(F.col("modo").isin(names))
-        .withColumn("m", F.element_at(F.create_map(*[F.lit(x) for kv in code.items() for x in kv]), F.col("modo")).cast("bigint"))
+        .withColumn("m", F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("modo")).cast("bigint"))
     )
     mine = W.partitionBy("usuario_id")
     top = (
         found.where("kind = 0")
         .withColumn("place", F.row_number().over(mine.orderBy(F.desc("score"), "item")))
         .where(F.col("place") <= 2 * k)
-        .select("usuario_id", "item", "score", "place")
+        .select("usuario_id", "item", "score", "place", "sorteio")
     )
     counts = found.where("kind = 1").groupBy("usuario_id", "m").agg(F.sum("n").alias("n_valid")).join(table, "m")
     listed = (
@@ -220,7 +234,7 @@ def recommend_modes(
         counts.where("n_valid > n_top").select("usuario_id", "m", "n_explore"), ["usuario_id", "m"]
     )
     pool_relaxed = listed.where("relaxed AND place > n_top").select(
-        "usuario_id", "m", "item", "score", draw(F.col("item"), F.col("usuario_id"), seed).alias("sorteio"), "n_explore"
+        "usuario_id", "m", "item", "score", "sorteio", "n_explore"
     )
     lot = W.partitionBy("usuario_id", "m").orderBy("sorteio", "item")
     explored = (

@@ -65,6 +65,24 @@ def test_lists_follow_the_mode_rules(vectors):
             assert len({r["item"] for r in mine}) == len(mine) <= 10
 
 
+def test_text_ids_give_the_same_best_items(vectors):
+    users, items, _, _ = vectors
+    name = lambda c: F.concat(F.lit("id-"), F.lpad(F.col(c).cast("string"), 4, "0"))
+    named = R.recommend_modes(users.withColumn("usuario_id", name("usuario_id")), items.withColumn("id", name("id")), 10)
+    plain = R.recommend_modes(users, items, 10).withColumn("usuario_id", name("usuario_id")).withColumn("item", name("item"))
+    top = lambda df: key(df.where("origem = 'topo'").select("usuario_id", "modo", "rank", "item"))
+    assert top(named) == top(plain)
+    assert named.where("origem = 'exploracao'").count() == plain.where("origem = 'exploracao'").count()
+    assert R.top_items(users.withColumn("usuario_id", name("usuario_id")), items, 2).dtypes[0] == ("usuario_id", "string")
+
+
+def test_large_ids_can_be_drawn(spark):
+    from acervo.functions.sampling import draw
+
+    df = spark.createDataFrame([(2**62, -5)], "a bigint, b bigint")
+    assert df.select(draw(F.col("a"), F.col("b"), 42)).first()[0] == (2**62 * 7919 - 5 * 104729 + 42 * 1299709) % 1000003
+
+
 def test_bad_arguments(vectors):
     users, items, _, _ = vectors
     with pytest.raises(ValueError):
