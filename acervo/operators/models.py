@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acervo.functions.prefix import running_totals
 from acervo.functions.sampling import split_stratified
+from acervo.session import cut_lineage
 
 
 def feature_columns(df: DataFrame, *skip: str) -> list[str]:
@@ -40,7 +41,7 @@ def train_quality_rf(
         featuresCol="features", labelCol=label, weightCol="peso", numTrees=trees, maxDepth=depth, seed=seed
     )
     stages = [VectorAssembler(inputCols=columns, outputCol="features"), forest]
-    return Pipeline(stages=stages).fit(balanced_weights(train, label))
+    return Pipeline(stages=stages).fit(cut_lineage(balanced_weights(train, label)))
 
 
 def predict_quality(model: PipelineModel | None, features: DataFrame) -> DataFrame:
@@ -121,6 +122,7 @@ def threshold_report(
 def pca_95(df: DataFrame, key: str, keep: float = 0.95) -> tuple[DataFrame, PipelineModel]:
     """Standardised features projected on the fewest components holding ``keep`` of the variance."""
     columns = feature_columns(df, key)
+    df = cut_lineage(df)  # one narrow row per key, read by every fit
     prepare = Pipeline(stages=[
         VectorAssembler(inputCols=columns, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
@@ -138,7 +140,7 @@ def pca_95(df: DataFrame, key: str, keep: float = 0.95) -> tuple[DataFrame, Pipe
 
 def best_kmeans(points: DataFrame, low: int = 3, high: int = 10, seed: int = 42) -> tuple[KMeansModel, float]:
     """The k with the best silhouette; equal scores go to the smaller k."""
-    points = points.persist()
+    points = cut_lineage(points)  # every fit iterates over the points
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     best, score = None, -2.0
     for k in range(low, high + 1):
@@ -146,7 +148,6 @@ def best_kmeans(points: DataFrame, low: int = 3, high: int = 10, seed: int = 42)
         now = judge.evaluate(model.transform(points))
         if now > score:
             best, score = model, now
-    points.unpersist()
     return best, score
 
 
@@ -192,7 +193,8 @@ def tune_rf(
 ) -> DataFrame:
     """Random search over forest settings for the precision of the positive class."""
     columns = feature_columns(train, "id", label, "split")
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(train).select("features", label)
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(train)
+    rows = cut_lineage(vectors.select("features", label))  # read by every trial
     forest = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     rng, grid, settings = random.Random(seed), [], []
     for _ in range(trials):
