@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, jaccard, markov, mixing, pieces, quality, spans, toxicity
+from . import html_text, jaccard, markov, mixing, pieces, quality, spans, token_trees, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +72,23 @@ def piece_model() -> str:
 @query
 def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digest(pieces.encode_texts(table(spark, sf_dir, "documents"), piece_model()))
+
+
+@query
+def op4_vector_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def byte_vocabulary() -> str:
+    """The default byte-level vocabulary: the public file installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op8_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document before and after its cleaning edits: doc_id, n_tokens, n_edits, n_tokens_after, encoded_chars."""
+    trees = token_trees.count_trees(table(spark, sf_dir, "documents"), byte_vocabulary())
+    edited = token_trees.apply_edits(token_trees.with_cleaning_edits(trees.withColumn("doc_id", F.struct("doc_id", "n_tokens"))), byte_vocabulary())
+    return edited.select("doc_id.doc_id", "doc_id.n_tokens", "n_edits", F.col("n_tokens").alias("n_tokens_after"), "encoded_chars")
