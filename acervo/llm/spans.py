@@ -70,7 +70,7 @@ def _all_runs(rows: DataFrame) -> DataFrame:
             found = [runs(t) if t else runs(b"") for t in texts]
             place = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             hashes, begins, ends = (np.concatenate([f[k] for f in found]) for k in range(3))
-            yield columns(batch.take(pa.array(place)), ["_key", "_print"], {"run": pa.array(hashes), "begin": pa.array(begins), "end": pa.array(ends)})
+            yield columns(batch.select(["_key", "_print"]).take(pa.array(place)), ["_key", "_print"], {"run": pa.array(hashes), "begin": pa.array(begins), "end": pa.array(ends)})
 
     more = "run bigint, begin bigint, end bigint"
     return rows.mapInArrow(run, T.StructType([rows.schema["_key"], rows.schema["_print"], *T.StructType.fromDDL(more).fields]))
