@@ -1,25 +1,62 @@
-"""The corpus pipeline: its stages, run over the documents table."""
+"""The corpus pipeline: from raw documents to mixed token ids, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last
+return the columns of documents. run() writes every stage's result to the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from acervo.llm import pieces
+from acervo.llm import jaccard, mixing, pieces, quality, spans
 from acervo.llm.queries import piece_model
 from acervo.llm.shared import stored
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoding_digest(pieces.encode_texts(docs, piece_model()))
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the log-likelihood ratio; the target is fitted on labelled good ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, labels.where("quality = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 over five-word grams."""
+    return jaccard.keep_first_of_each(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without sentences of repeated spans; n_chars follows the text. No row goes."""
+    done = spans.remove_repeats(docs)
+    if "n_chars" in done.columns:
+        length = F.char_length("text").cast(done.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
+    return done
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, sorted so that every stretch holds the sources by their target weights."""
+    return mixing.mixed_order(docs)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and the packed ids of every document."""
+    done = pieces.encode_texts(docs, piece_model(), keep=("doc_id", "lang", "source"))
+    return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("sentencepiece", encoded)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("source_mix", source_mix),
+    ("sentencepiece", piece_ids),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # hashed grams, schedules and merges are beyond SQL; tests/llm/test_pipeline.py has the plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
