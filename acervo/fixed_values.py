@@ -107,9 +107,6 @@ FALLBACK_THRESHOLD = 0.6
 # Namespace of the deterministic ids (RFC 4122, name based, DNS).
 UUID_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
-# Multipliers of the seeded arithmetic draw.
-DRAW_ITEM, DRAW_USER, DRAW_SEED, DRAW_MOD = 7919, 104729, 1299709, 1000003
-
 # Columns of the raw catalogue.
 TEXT_COLUMNS = [
     "Name",

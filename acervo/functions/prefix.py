@@ -9,6 +9,7 @@ quantiles only decide how even the pieces are; the result is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -28,7 +29,8 @@ def with_bucket(cells: DataFrame, by: str, pieces: int | None = None) -> DataFra
     n = pieces or shuffle_width(cells.sparkSession)
     probs = [i / n for i in range(1, n)]
     keyed = cells.withColumn("_by", F.col(by).cast("double"))
-    bounds = sorted(set(keyed.approxQuantile("_by", probs, min(0.01, 0.5 / n))))
+    found = keyed.approxQuantile("_by", probs, min(0.01, 0.5 / n))
+    bounds = sorted({b for b in found if math.isfinite(b)})  # the outer pieces hold the infinities
     if not bounds:
         return keyed.drop("_by").withColumn(_BUCKET, F.lit(0.0))
     cut = Bucketizer(

@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from acervo.fixed_values import DRAW_ITEM, DRAW_MOD, DRAW_SEED, DRAW_USER
 from acervo.functions.prefix import running_totals
 
+DRAWS = 1 << 60  # a draw is a whole number below
+PAIR_DRAWS = (1 << 31) - 1  # a prime; the draw of a pair of keys is a whole number below
 
-def draw(item: Column, user: Column, seed: int) -> Column:
-    """Pseudo-random number in 0 .. 1000002 of an (item, user, seed) triple."""
-    # reduced before they are multiplied: no id is too large
-    i, u = (F.pmod(c.cast("bigint"), F.lit(DRAW_MOD)) for c in (item, user))
-    return F.pmod(i * DRAW_ITEM + u * DRAW_USER + F.lit(seed * DRAW_SEED).cast("bigint"), F.lit(DRAW_MOD))
 
+def draw(key: Column, seed: int) -> Column:
+    """Pseudo-random number of a key: the first 60 bits of the MD5 of its text and the seed."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint")
 
-def code(df: DataFrame, key: str) -> Column:
-    """A whole number for the draw: the key itself, or a hash of a key that is no number."""
-    if dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
-        return F.col(key)
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
+
+def row_terms(key: Column, seed: int) -> tuple[Column, Column]:
+    """Factor and offset of a row key: with the term x of another key, (factor * x + offset) % PAIR_DRAWS is the pair's draw.
+
+    Each row key so has an order of its own over the other keys.
+    """
+    return 1 + draw(key, seed) % (PAIR_DRAWS - 1), draw(key, seed + 1) % PAIR_DRAWS
+
+
+def column_term(key: Column, seed: int) -> Column:
+    return draw(key, seed + 2) % PAIR_DRAWS
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """The ``n`` rows that come first in the seeded order of a unique key."""
-    return df.orderBy(draw(code(df, key), F.lit(0), seed), key).limit(n)
+    return df.orderBy(draw(F.col(key), seed), key).limit(n)
 
 
 def split_frac(df: DataFrame, key: str, frac: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two parts that together hold every row once, ``frac`` of them in the first."""
-    first = draw(code(df, key), F.lit(0), seed) < int(frac * DRAW_MOD)
+    first = draw(F.col(key), seed) < int(frac * DRAWS)
     return df.where(first), df.where(~first)
 
 
@@ -39,7 +45,7 @@ def hash_place(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFra
     ``key`` must be unique. The order is cut into buckets, so that a stratum
     holding most of the rows is still worked on by many tasks.
     """
-    cells = df.withColumn("_h", draw(code(df, key), F.lit(0), seed)).withColumn("_c", F.lit(1).cast("bigint"))
+    cells = df.withColumn("_h", draw(F.col(key), seed)).withColumn("_c", F.lit(1).cast("bigint"))
     return running_totals(cells, "_h", ["_c"], strata, [F.col("_h"), F.col(key)])
 
 

@@ -64,10 +64,10 @@ def _tail(word: Column) -> Column:
     return F.substring(word, F.lit(2), F.length(word))
 
 
-def capitalized(text: Column, limit: int = 200) -> Column:
-    """First letter upper, the rest lower, trimmed, cut to ``limit`` characters."""
+def capitalized(text: Column) -> Column:
+    """First letter upper, the rest lower, trimmed."""
     t = F.trim(text)
-    return F.substring(F.concat(F.upper(F.substring(t, 1, 1)), F.lower(_tail(t))), 1, limit)
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.lower(_tail(t)))
 
 
 def parsed_date(text: Column, formats: Sequence[str] = tuple(DATE_FORMATS)) -> Column:

@@ -20,7 +20,7 @@ from acervo.fixed_values import (
     GENRE_BASE_SESSION_TIME,
 )
 from acervo.functions.prefix import running_totals
-from acervo.functions.sampling import code, draw
+from acervo.functions.sampling import draw
 from acervo.operators.stats import safe_corr
 from acervo.session import cut_lineage
 
@@ -174,7 +174,7 @@ def gini(recs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def invisible_items(recs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalogue items that are on no list."""
-    return catalog.select("item").distinct().join(recs.select("item"), "item", "left_anti")
+    return catalog.select("item").distinct().join(recs.select("item").distinct(), "item", "left_anti")
 
 
 def precision_by_profile(recs: DataFrame, truth: DataFrame, profiles: DataFrame, k: int = 10) -> DataFrame:
@@ -202,7 +202,7 @@ def coverage_curve(recs: DataFrame, sizes: Sequence[int], seed: int = 42) -> Dat
     """Distinct items over growing, nested user samples drawn in one seeded order."""
     users = recs.select("usuario_id").distinct()
     # the largest sample size bounds the rows that are ranked
-    order = [draw(F.lit(0), code(users, "usuario_id"), seed), F.col("usuario_id")]
+    order = [draw(F.col("usuario_id"), seed), F.col("usuario_id")]
     chosen = users.orderBy(*order).limit(max(sizes))
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))
     ranked = chosen.withColumn("place", place)
@@ -271,9 +271,9 @@ def expected_session_minutes(
     """Mean base minutes of the genre over accepted positions (score >= 0.5)."""
     base = GENRE_BASE_SESSION_TIME if base is None else base
     minutes = F.create_map(*[F.lit(v) for kv in base.items() for v in kv])
-    hits = recs.where(F.col("score") >= 0.5).join(item_genre, "item", "left")
+    hits = recs.where(F.col("score") >= 0.5).groupBy("item").agg(F.count("*").alias("n")).join(item_genre, "item", "left")
     looked = F.coalesce(F.try_element_at(minutes, F.col("genero")), F.lit(default))
-    return hits.agg(F.coalesce(F.avg(looked), F.lit(0.0)).alias("minutos"))
+    return hits.agg(F.coalesce(F.try_divide(F.sum(looked * F.col("n")), F.sum("n")), F.lit(0.0)).alias("minutos"))
 
 
 def log_metrics(metrics: DataFrame, run: str, path: str) -> None:

@@ -10,7 +10,6 @@ from acervo.functions.prefix import exact_quantiles
 from acervo.functions.scalars import has_item, hour_cycle, whole_days
 from acervo.operators.market import categories_per_game
 
-MAX_GENRES = 2000
 
 
 def valid_sessions(sessions: DataFrame, users: DataFrame, games: DataFrame) -> DataFrame:
@@ -44,8 +43,19 @@ def top_categories(bridge: DataFrame, n: int = 20) -> list[str]:
     return [r["nome"] for r in counts.orderBy(F.desc("c"), "nome").limit(n).collect()]
 
 
-def flag_name(category: str) -> str:
-    return "cat_" + "".join(ch if ch.isalnum() else "_" for ch in category)
+def flag_names(categories: list[str]) -> dict[str, str]:
+    """A column name for each category; where letters and digits leave two alike, the later gets a number."""
+    out: dict[str, str] = {}
+    taken: set[str] = set()
+    for category in dict.fromkeys(categories):
+        plain = name = "cat_" + "".join(ch if ch.isalnum() else "_" for ch in category)
+        n = 1
+        while name.lower() in taken:  # column names differ by more than case
+            n += 1
+            name = f"{plain}_{n}"
+        taken.add(name.lower())
+        out[category] = name
+    return out
 
 
 def game_features(
@@ -75,7 +85,7 @@ def game_features(
         F.log1p(F.greatest(age, F.lit(0)).cast("double")).alias("idade_log"),
         F.coalesce("dev_reputacao", "_mean", zero).alias("dev_reputacao"),
         F.coalesce(F.col("total_avaliacoes").cast("double"), zero).alias("total_avaliacoes"),
-        *[has_item(F.col("categorias"), c).alias(flag_name(c)) for c in names],
+        *[has_item(F.col("categorias"), c).alias(n) for c, n in flag_names(names).items()],
     )
 
 
@@ -85,20 +95,31 @@ def primary_genre(bridge: DataFrame) -> DataFrame:
 
 
 def genre_names(bridge: DataFrame) -> list[str]:
-    """All primary genres; refuses a dimension too wide for a pivot."""
-    rows = primary_genre(bridge).select("genero").distinct().orderBy("genero").limit(MAX_GENRES + 1).collect()
-    if len(rows) > MAX_GENRES:
-        raise ValueError(f"more than {MAX_GENRES} primary genres")
-    return [r["genero"] for r in rows] + ["Unknown"]
+    """All primary genres and Unknown, for a pivot; `genre_share_rows` needs no such list."""
+    rows = primary_genre(bridge).select("genero").distinct().orderBy("genero").collect()
+    return [r["genero"] for r in rows if r["genero"] != "Unknown"] + ["Unknown"]
 
 
-def genre_hours(sessions: DataFrame, games: DataFrame, bridge: DataFrame, genres: list[str] | None = None) -> DataFrame:
-    """Hours by user and primary genre as columns; absent is 0."""
-    genres = genre_names(bridge) if genres is None else genres
+def genre_hours_rows(sessions: DataFrame, games: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Hours (h) by user and primary genre as rows, for any number of genres."""
     # folded per user and game first, so the genre join sees one row per pair
     hours = sessions.groupBy("usuario_id", "jogo_id").agg(F.sum("horas_jogadas").alias("h"))
     label = games.select(F.col("id").alias("jogo_id")).join(primary_genre(bridge), "jogo_id", "left")
     named = hours.join(label, "jogo_id").withColumn("genero", F.coalesce("genero", F.lit("Unknown")))
+    return named.groupBy("usuario_id", "genero").agg(F.sum("h").alias("h"))
+
+
+def genre_share_rows(sessions: DataFrame, games: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(usuario_id, genero, share): the genre's part of the user's hours; users without hours have no rows."""
+    rows = genre_hours_rows(sessions, games, bridge).where("h > 0")
+    total = rows.groupBy("usuario_id").agg(F.sum("h").alias("_t"))
+    return rows.join(total, "usuario_id").select("usuario_id", "genero", (F.col("h") / F.col("_t")).alias("share"))
+
+
+def genre_hours(sessions: DataFrame, games: DataFrame, bridge: DataFrame, genres: list[str] | None = None) -> DataFrame:
+    """Hours by user and primary genre as columns; absent is 0."""
+    genres = genre_names(bridge) if genres is None else genres
+    named = genre_hours_rows(sessions, games, bridge)
     return named.groupBy("usuario_id").pivot("genero", genres).agg(F.sum("h")).na.fill(0.0)
 
 

@@ -22,7 +22,6 @@ from pyspark.ml.feature import (
     StopWordsRemover,
     StringIndexer,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -35,7 +34,7 @@ from acervo.fixed_values import (
     TEXT_COLUMNS,
 )
 from acervo.functions.lookup import skew_lookup
-from acervo.functions.sampling import sample_n
+from acervo.functions.sampling import DRAWS, draw
 from acervo.functions.scalars import (
     base_name,
     count_of,
@@ -140,18 +139,14 @@ def map_tags(df: DataFrame) -> DataFrame:
     return df.withColumn("Tags_c3", F.try_element_at(table, first_item(F.col("Genres"))))
 
 
-def _tfidf(df: DataFrame, text: str, terms: int, stop_words: bool):
+def _tfidf(df: DataFrame, text: str, terms: int):
     """Fitted stages giving L2-normed counts times ln((1+n)/(1+df)) + 1.
 
     Returns the function that applies them, the weighted rows of ``df`` itself,
     and the kept counts behind those rows; release them after the last fit.
     """
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
-    stages, col = [words], "_words"
-    if stop_words:
-        stages.append(StopWordsRemover(inputCol="_words", outputCol="_kept"))
-        col = "_kept"
-    stages.append(CountVectorizer(inputCol=col, outputCol="_tf", vocabSize=terms))
+    stages = [words, StopWordsRemover(inputCol="_words", outputCol="_kept"), CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=terms)]
     counted = Pipeline(stages=stages).fit(df)
     rows = counted.transform(df).drop(text, "_words", "_kept").persist()
     idf = IDF(inputCol="_tf", outputCol="_x").fit(rows).idf
@@ -167,8 +162,11 @@ def _tfidf(df: DataFrame, text: str, terms: int, stop_words: bool):
 
 
 def nb_classify(train: DataFrame, test: DataFrame, text: str, label: str, terms: int = 1000) -> DataFrame:
-    """Multinomial naive Bayes on TF-IDF; (AppID, predicted) for ``test``."""
-    apply, known, kept = _tfidf(train.select(KEY, text, label), text, terms, stop_words=True)
+    """Multinomial naive Bayes on TF-IDF; (AppID, predicted) for ``test``.
+
+    ``terms`` is a setting of the classifier: its features are so many most frequent words.
+    """
+    apply, known, kept = _tfidf(train.select(KEY, text, label), text, terms)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
     model = NaiveBayes(featuresCol="_tfidf", labelCol="_y", smoothing=1.0, modelType="multinomial").fit(
         index.transform(known)
@@ -254,65 +252,75 @@ def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int = 5) -> D
     return test.select(KEY, "x", "y", "z").join(verdict, ["x", "y", "z"]).select(KEY, "previsto")
 
 
-def cosine_nearest(
-    unknown: DataFrame, known: DataFrame, text: str, payload: str, sample: int = 5000, terms: int = 200
-) -> DataFrame:
+def cosine_nearest(unknown: DataFrame, known: DataFrame, text: str, payload: str) -> DataFrame:
     """``payload`` of the known row whose ``text`` is most similar; (AppID, previsto).
 
-    Texts are compared once per distinct text. Equal similarity goes to the
-    known row with the smallest id.
+    All distinct known texts are compared, over all their words. Equal
+    similarity, also of texts that share no word with any, goes to the known row with the smallest id.
     """
     blank = F.coalesce(F.col(text), F.lit(""))
-    if known.where(F.col(payload).isNotNull()).limit(1).count() == 0:
-        return unknown.select(KEY, F.lit(None).cast("string").alias("previsto"))
-    chosen = sample_n(known.where(F.col(payload).isNotNull()), sample, KEY).select(
-        KEY, blank.alias("_text"), F.col(payload).alias("previsto")
-    )
-    apply, _known, kept = _tfidf(chosen, "_text", terms, stop_words=False)
-    kept.unpersist()
-    cells = chosen.groupBy("_text").agg(F.min_by("previsto", KEY).alias("previsto"), F.min(KEY).alias("id"))
-    vectors = cut_lineage(apply(cells).select("id", "previsto", vector_to_array("_tfidf").alias("vetor")))
+    chosen = known.where(F.col(payload).isNotNull()).select(KEY, blank.alias("_text"), F.col(payload).alias("previsto"))
     asked = unknown.select(KEY, blank.alias("_text"))
-    distinct = cut_lineage(
-        apply(asked.select("_text").distinct()).select(F.col("_text").alias("t"), vector_to_array("_tfidf").alias("vetor"))
-    )
+    cells = cut_lineage(chosen.groupBy("_text").agg(F.min_by("previsto", KEY).alias("previsto"), F.min(KEY).alias("id"), F.count("*").alias("m")))
+
+    def weighted(texts: DataFrame, name: str, spare: Sequence[str] = ()) -> DataFrame:
+        """Word counts of distinct texts times their words' weights, scaled to length 1."""
+        words = F.filter(F.regexp_extract_all(F.lower("_text"), F.lit(r"((?U)\b\w\w+\b)")), lambda w: w != "")
+        counts = texts.select("_text", *spare, F.explode(words).alias("w")).groupBy("_text", *spare, "w").agg(F.count("*").alias("tf"))
+        rows = counts.join(weights, "w").withColumn("v", F.col("tf") * F.col("f"))
+        length = rows.groupBy("_text").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
+        return rows.join(length, "_text").select(F.col("_text").alias(name), *spare, "w", (F.col("v") / F.col("l")).alias("v"))
+
+    # inverse document frequencies over the known rows, from their distinct texts
+    listed = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"((?U)\b\w\w+\b)")))
+    freq = cells.select("m", F.explode(listed).alias("w")).groupBy("w").agg(F.sum("m").alias("df"))
+    total = cells.agg(F.sum("m").alias("n"))  # one row
+    weights = freq.join(F.broadcast(total)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("f"))
+
+    entries = F.sort_array(F.collect_list(F.struct("w", "v"))).alias("palavras")
+    have = weighted(cells, "k", ("id", "previsto")).groupBy("id", "previsto").agg(entries)
+    want = weighted(asked.select("_text").distinct(), "t").groupBy("t").agg(entries)
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
         i = i.sort_by("id")
-        qm, im = matrix(q, "vetor"), matrix(i, "vetor")
-        rows, at, sims = [], [], []
-        for part in strips(q.num_rows, i.num_rows) if i.num_rows else ():
-            s = np.round(qm[part] @ im.T, 9)
-            a, b = top_per_row(s, 1)
-            rows.append(a + part.start)
-            at.append(b)
-            sims.append(s[a, b])
-        r_ = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        a_ = np.concatenate(at) if at else np.empty(0, np.int64)
-        near = i.take(pa.array(a_, pa.int64()))
+        places: dict[str, list] = {}
+        for n, words in enumerate(i.column("palavras").to_pylist()):
+            for e in words:
+                places.setdefault(e["w"], []).append((n, e["v"]))
+        index = {w: tuple(np.array(x) for x in zip(*p)) for w, p in places.items()}
+        asks, picks = q.column("palavras").to_pylist(), []
+        for part in strips(len(asks), i.num_rows) if i.num_rows else ():
+            s = np.zeros((part.stop - part.start, i.num_rows))
+            for n, words in enumerate(asks[part]):
+                for e in words:
+                    if e["w"] in index:
+                        at, v = index[e["w"]]
+                        s[n, at] += e["v"] * v
+            s = np.round(s, 9)
+            rows, at = top_per_row(s, 1)
+            picks.append((rows + part.start, at, s[rows, at]))
+        rows, at = (np.concatenate([p[k] for p in picks]) if picks else np.empty(0, np.int64) for k in (0, 1))
+        near = i.take(pa.array(at, pa.int64()))
         return pa.table({
-            "t": q.column("t").take(pa.array(r_, pa.int64())),
-            "sim": pa.array(np.concatenate(sims) if sims else [], pa.float64()),
+            "t": q.column("t").take(pa.array(rows, pa.int64())),
+            "sim": pa.array(np.concatenate([p[2] for p in picks]) if picks else [], pa.float64()),
             "id": near.column("id"),
             "previsto": near.column("previsto"),
         })
 
-    near = tile_map(distinct, vectors, "t", "id", kernel, "t string, sim double, id bigint, previsto string")
-    best = near.groupBy("t").agg(F.min_by("previsto", F.struct(-F.col("sim"), F.col("id"))).alias("previsto"))
-    counts = asked.groupBy(F.col("_text")).agg(F.count("*").alias("n"))
-    dim = counts.join(best, F.col("_text") == F.col("t")).select("_text", "previsto", "n")
+    near = tile_map(cut_lineage(want), cut_lineage(have), "t", "id", kernel, "t string, sim double, id bigint, previsto string")
+    best = near.where("sim > 0").groupBy("t").agg(F.min_by("previsto", F.struct(-F.col("sim"), F.col("id"))).alias("near"))
+    plain = cells.agg(F.min_by("previsto", "id").alias("plain"))  # one row
+    counts = asked.groupBy("_text").agg(F.count("*").alias("n"))
+    dim = counts.join(best, F.col("_text") == F.col("t"), "left").join(F.broadcast(plain))
+    dim = dim.select("_text", F.coalesce("near", "plain").alias("previsto"), "n")
     return skew_lookup(asked, dim, "_text", ["previsto"], F.col(KEY)).select(KEY, "previsto")
 
 
-def validation_ids(
-    df: DataFrame, target: str, n: int = 2000, share: float = 1.0, seed: int = 42
-) -> DataFrame:
-    """At most ``n`` known rows, and at most ``share`` of them, to check the techniques on."""
-    known = df.where(F.col(target).isNotNull()).select(KEY)
-    if share < 1.0:
-        # no need to count further than the point where n decides
-        n = min(n, int(known.limit(int(n / share) + 1).count() * share))
-    return sample_n(known, n, KEY, seed)
+def validation_mark(target: str, share: float = 0.3, seed: int = 42) -> Column:
+    """Whether a row is one of the known rows, a seeded share of all of them, that techniques are checked on."""
+    drawn = draw(F.col(KEY), seed) < int(share * DRAWS)
+    return F.col(target).isNotNull() & drawn
 
 
 def technique_scores(rows: DataFrame, target: str, techniques: Sequence[str]) -> DataFrame:
@@ -328,23 +336,19 @@ def technique_scores(rows: DataFrame, target: str, techniques: Sequence[str]) ->
 
 
 def ensemble_impute(
-    df: DataFrame, target: str, techniques: Sequence[str], checked: DataFrame, keep: int = 3, min_known: int = 100
+    df: DataFrame, target: str, techniques: Sequence[str], checked: Column, keep: int = 3
 ) -> DataFrame:
     """Fill missing ``target`` values by the best techniques, best first.
 
-    ``checked`` lists the AppIDs of the validation rows. The one-row score
-    table decides the order of the cascade. Nothing is filled where fewer than
-    ``min_known`` rows have the value.
+    ``checked`` marks the validation rows. The one-row score table decides the
+    order of the cascade. A technique that no validation row can judge is not used.
     """
     conf = f"{target}_confidence"
     if conf not in df.columns:
         df = df.withColumn(conf, F.lit("none"))
-    known = df.where(F.col(target).isNotNull())
-    if not techniques or known.limit(min_known).count() < min_known:
+    if not techniques:
         return df
-    # the validation sample has a fixed upper size
-    rows = known.join(F.broadcast(checked.select(KEY)), KEY, "left_semi")
-    scores = technique_scores(rows, target, techniques).first().asDict()
+    scores = technique_scores(df.where(checked), target, techniques).first().asDict()
     ranked = sorted((t for t in techniques if scores[t] is not None), key=lambda t: -scores[t])[:keep]
     if not ranked:
         return df
@@ -396,11 +400,11 @@ def _attach(df: DataFrame, guesses: DataFrame, name: str) -> DataFrame:
 NARROW = [KEY, "Name", "Genres", "Tags", "Categories", "Publishers", "Developers", "Price", "Metacritic score"]
 
 
-def impute_catalog(df: DataFrame, check: int = 2000, share: float = 0.3) -> DataFrame:
+def impute_catalog(df: DataFrame, share: float = 0.3) -> DataFrame:
     """The whole cascade: clean, special techniques, checked ensemble, fallback.
 
     ``AppID`` must be unique. A technique that learns is trained on the known
-    rows outside the validation sample and applied to that sample and to the
+    rows outside the validation share and applied to that share and to the
     missing rows. The cascade runs on the short columns; the long texts are
     only scanned, and joined back once at the end.
     """
@@ -408,33 +412,28 @@ def impute_catalog(df: DataFrame, check: int = 2000, share: float = 0.3) -> Data
     short = spot_genres(wide, only_missing=False).select(*NARROW, "Notes", "Genres_b3")
     base = cut_lineage(impute_publishers(short).drop("Notes"))  # read by every technique
 
-    def sides(rows: DataFrame, target: str, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # the validation ids have a fixed upper size
-        learn = rows.where(F.col(target).isNotNull()).join(F.broadcast(checked), KEY, "left_anti")
-        ask = rows.where(F.col(target).isNull())
-        return learn, ask.unionByName(rows.join(F.broadcast(checked), KEY, "left_semi"))
+    def sides(rows: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+        checked = validation_mark(target, share)
+        return rows.where(F.col(target).isNotNull() & ~checked), rows.where(F.col(target).isNull() | checked)
 
-    checked = validation_ids(base, "Genres", check, share)
     label = first_item(F.col("Genres"))
-    learn, ask = sides(numeric_points(base).withColumn("_label", label), "Genres", checked)
+    learn, ask = sides(numeric_points(base).withColumn("_label", label), "Genres")
     techniques = ["Genres_b3"]
-    if learn.limit(101).count() > 100:
+    if not learn.isEmpty():
         text = wide.select(KEY, "Genres", label.alias("_label"), description_text().alias("_desc"))
-        guesses = nb_classify(*sides(text, "Genres", checked), "_desc", "_label")
+        guesses = nb_classify(*sides(text, "Genres"), "_desc", "_label")
         base = _attach(base, guesses, "Genres_b1")
         base = _attach(base, knn_classify(learn, ask, "_label"), "Genres_b2")
         techniques = ["Genres_b1", "Genres_b2", "Genres_b3"]
-    base = ensemble_impute(cut_lineage(base), "Genres", techniques, checked)
+    base = ensemble_impute(cut_lineage(base), "Genres", techniques, validation_mark("Genres", share))
 
     base = map_tags(base)
-    checked = validation_ids(base, "Tags", check, share)
-    learn, ask = sides(base, "Tags", checked)
+    learn, ask = sides(base, "Tags")
     base = _attach(base, cosine_nearest(ask, learn, "Genres", "Tags"), "Tags_c1")
-    base = ensemble_impute(cut_lineage(base), "Tags", ["Tags_c1", "Tags_c3"], checked)
+    base = ensemble_impute(cut_lineage(base), "Tags", ["Tags_c1", "Tags_c3"], validation_mark("Tags", share))
 
     base = spot_categories(base, only_missing=False)
-    checked = validation_ids(base, "Categories", check, share)
-    base = ensemble_impute(base, "Categories", ["Categories_d1"], checked)
+    base = ensemble_impute(base, "Categories", ["Categories_d1"], validation_mark("Categories", share))
     used = ["Genres_b1", "Genres_b2", "Genres_b3", "Tags_c1", "Tags_c3", "Categories_d1"]
     done = fallback_impute(base).drop(*used)
     rest = [c for c in wide.columns if c not in NARROW]

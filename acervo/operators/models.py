@@ -138,13 +138,14 @@ def pca_95(df: DataFrame, key: str, keep: float = 0.95) -> tuple[DataFrame, Pipe
     return model.transform(df).select(key, "features"), model
 
 
-def best_kmeans(points: DataFrame, low: int = 3, high: int = 10, seed: int = 42) -> tuple[KMeansModel, float]:
-    """The k with the best silhouette; equal scores go to the smaller k."""
+def best_kmeans(points: DataFrame, low: int = 3, high: int = 10, seed: int = 42, starts: int = 10) -> tuple[KMeansModel, float]:
+    """The k with the best silhouette, each k at the cheapest of several starts; equal scores go to the smaller k."""
     points = cut_lineage(points)  # every fit iterates over the points
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     best, score = None, -2.0
     for k in range(low, high + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="features").fit(points)
+        fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(points) for i in range(starts)]
+        model = min(fits, key=lambda m: m.summary.trainingCost)
         now = judge.evaluate(model.transform(points))
         if now > score:
             best, score = model, now

@@ -20,9 +20,9 @@ def realign(raw: DataFrame) -> DataFrame:
     dev = F.coalesce("Developers", "Publishers", F.lit("Unknown Developer"))
     new = {
         "AppID": F.coalesce(id_from_url(F.col("Header image"), F.col("Screenshots")), F.lit(0).cast("bigint")),
-        "Name": F.left(F.coalesce(F.col("AppID").cast("string"), F.lit("Unknown Game")), F.lit(200)),
+        "Name": F.coalesce(F.col("AppID").cast("string"), F.lit("Unknown Game")),
         "Release date": F.col("Name"),
-        "Developers": F.left(title_case(F.trim(dev)), F.lit(200)),
+        "Developers": title_case(F.trim(dev)),
     }
     new |= {c: number_or_zero(F.col(f"`{c}`")) for c in NUMBERS if c in raw.columns}
     return raw.withColumns(new)

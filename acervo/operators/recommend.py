@@ -13,17 +13,13 @@ from acervo.fixed_values import (
     CANDIDATE_THRESHOLDS,
     COLD_START_TEXT,
     DEFAULT_MODE,
-    DRAW_ITEM,
-    DRAW_MOD,
-    DRAW_SEED,
-    DRAW_USER,
     FALLBACK_THRESHOLD,
     KNOWN_USER_TEXT,
     MODES,
 )
 from acervo.functions.lookup import skew_lookup
 from acervo.functions.prefix import running_totals
-from acervo.functions.sampling import code
+from acervo.functions.sampling import PAIR_DRAWS, column_term, row_terms
 from acervo.operators.tiles import matrix, numbers, strips, tile_map, top_per_row
 from acervo.session import cut_lineage
 
@@ -153,6 +149,32 @@ def filter_relax(scores: DataFrame, threshold: float, k: int) -> DataFrame:
     return scores.where(F.col("score") >= threshold).select("usuario_id", "item", "score").unionByName(relaxed)
 
 
+def items_above(users: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame:
+    """All items at or above the threshold for every user, out of all scores; where none is, the best 2k."""
+    u_type, i_type, ids = _id_types(users, items)
+
+    def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
+        i = _sorted_items(i)
+        uid, iid = numbers(q, "usuario_id"), numbers(i, "id")
+        qm, im = matrix(q, "vetor"), matrix(i, "vetor")
+        cols: dict[str, list] = {"usuario_id": [], "item": [], "score": []}
+        for part in strips(len(uid), len(iid)) if len(iid) else ():
+            s = qm[part] @ im.T
+            hit = s >= threshold
+            # a user with a hit in this block needs no best items of it
+            best, at = top_per_row(np.where(hit.any(axis=1)[:, None], -np.inf, s), 2 * k)
+            near = ~hit.any(axis=1)[best]
+            rows, cols_at = np.nonzero(hit)
+            rows, cols_at = np.concatenate([rows, best[near]]), np.concatenate([cols_at, at[near]])
+            cols["usuario_id"].append(uid[part][rows])
+            cols["item"].append(iid[cols_at])
+            cols["score"].append(s[rows, cols_at])
+        return _table(cols, ids | {"score": pa.float64()})
+
+    parts = tile_map(users, items, "usuario_id", "id", kernel, f"usuario_id {u_type}, item {i_type}, score double")
+    return filter_relax(cut_lineage(parts), threshold, k)
+
+
 def recommend_modes(
     users: DataFrame, items: DataFrame, k: int = 10, modes: Sequence[str] | None = None, seed: int = 42
 ) -> DataFrame:
@@ -172,14 +194,14 @@ def recommend_modes(
     slots = {m: (MODES[m]["threshold"], int(k * MODES[m]["exploracao"])) for m in names}
     number = {m: n for n, m in enumerate(names)}
     u_type, i_type, ids = _id_types(users, items)
-    mod = F.lit(DRAW_MOD)
-    users = users.select("usuario_id", "vetor", F.pmod(code(users, "usuario_id"), mod).cast("bigint").alias("uc"))
-    items = items.select("id", "vetor", F.pmod(code(items, "id"), mod).cast("bigint").alias("ic"))
+    factor, offset = row_terms(F.col("usuario_id"), seed)
+    users = users.select("usuario_id", "vetor", factor.alias("uf"), offset.alias("uo"))
+    items = items.select("id", "vetor", column_term(F.col("id"), seed).alias("ix"))
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
         i = _sorted_items(i)
         uid, iid = numbers(q, "usuario_id"), numbers(i, "id")
-        uc, ic = numbers(q, "uc"), numbers(i, "ic")
+        uf, uo, ix = numbers(q, "uf"), numbers(q, "uo"), numbers(i, "ix")
         qm, im = matrix(q, "vetor"), matrix(i, "vetor")
         cols: dict[str, list] = {c: [] for c in ("usuario_id", "kind", "m", "item", "score", "sorteio", "n")}
 
@@ -191,7 +213,7 @@ def recommend_modes(
         for part in strips(len(uid), len(iid)) if len(iid) else ():
             u = uid[part]
             s = qm[part] @ im.T
-            drawn = (ic[None, :] * DRAW_ITEM + uc[part][:, None] * DRAW_USER + seed * DRAW_SEED) % DRAW_MOD
+            drawn = (uf[part][:, None] * ix[None, :] + uo[part][:, None]) % PAIR_DRAWS
             rows, at = top_per_row(s, 2 * k)
             emit(u[rows], 0, -1, iid[at], s[rows, at], drawn[rows, at], 0)
             for m, (threshold, explore) in slots.items():
@@ -199,7 +221,7 @@ def recommend_modes(
                 emit(u, 1, number[m], iid[:1].repeat(len(u)), 0.0, 0, valid.sum(axis=1))
                 if explore:
                     # k smallest draws suffice: at most n_top of them are on the list already
-                    rows, at = top_per_row(np.where(valid, -drawn, -DRAW_MOD - 1), k)
+                    rows, at = top_per_row(np.where(valid, -drawn, -PAIR_DRAWS - 1), k)
                     good = valid[rows, at]
                     rows, at = rows[good], at[good]
                     emit(u[rows], 2, number[m], iid[at], s[rows, at], drawn[rows, at], 0)

@@ -134,7 +134,9 @@ def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
         safe_corr(F.col(y), F.col(z)).alias("yz"),
     )
     rest = F.sqrt((1 - F.pow("xz", 2)) * (1 - F.pow("yz", 2)))
-    out = three.withColumn("r", F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), rest))
+    r = F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), rest)
+    out = three.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))  # rounding may lead past the ends
+    out = out.withColumn("r", F.when(r.isNotNull(), F.col("r")))
     width = F.lit(1.959963984540054) / F.sqrt(F.greatest(F.col("n") - 4, F.lit(1)))
     z_of = F.atanh(F.col("r"))
     return out.select(
@@ -179,7 +181,10 @@ def _ks_one(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 def ks_2samp(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov per column; ``passou`` means p > 0.05."""
+    """Two-sample Kolmogorov-Smirnov per column; ``passou`` means p > 0.05.
+
+    ``p`` is that of the limit law, also for small samples.
+    """
     parts = [_ks_one(a, b, c) for c in columns]
     out = reduce(DataFrame.unionByName, parts).where("n1 > 0 AND n2 > 0")
     out = out.withColumn("p", ks_p(F.col("d"), F.col("n1"), F.col("n2")))

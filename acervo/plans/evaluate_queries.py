@@ -134,7 +134,7 @@ def own_lists(s, d):
 
 
 CURVE = OWN + f""",
-ur AS (SELECT usuario_id, row_number() OVER (ORDER BY (usuario_id * 104729 + 42 * 1299709) % 1000003, usuario_id) AS pl
+ur AS (SELECT usuario_id, row_number() OVER (ORDER BY ('0x' || left(md5(CAST(usuario_id AS VARCHAR) || ':42'), 15))::BIGINT, usuario_id) AS pl
        FROM (SELECT DISTINCT usuario_id FROM own)),
 fs AS (SELECT item, min(pl) AS pl FROM own JOIN ur USING (usuario_id) GROUP BY 1),
 cv AS (SELECT s::INT AS n_usuarios, (SELECT count(*) FROM fs WHERE pl <= s) AS itens
@@ -199,13 +199,13 @@ def _(s, d):
 
 
 @register("fraction_split", "O-07 J-05", """
-    SELECT o_orderkey, CASE WHEN (o_orderkey * 7919 + 42 * 1299709) % 1000003 < 700002 THEN 'train' ELSE 'test' END AS split FROM orders""")
+    SELECT o_orderkey, CASE WHEN ('0x' || left(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 15))::BIGINT < 807045053224792832 THEN 'train' ELSE 'test' END AS split FROM orders""")
 def _(s, d):
     a, b = S.split_frac(B.table(s, d, "orders").select("o_orderkey"), "o_orderkey", 0.7)
     return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
 
 
-STRAT = """(SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919 + 42 * 1299709) % 1000003, doc_id) AS i,
+STRAT = """(SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY ('0x' || left(md5(CAST(doc_id AS VARCHAR) || ':42'), 15))::BIGINT, doc_id) AS i,
              count(*) OVER (PARTITION BY quality) AS n FROM labels)"""
 
 
@@ -223,6 +223,6 @@ def _(s, d):
 
 
 @register("seeded_sample", "O-06", """
-    SELECT o_orderkey, o_custkey FROM orders ORDER BY (o_orderkey * 7919 + 42 * 1299709) % 1000003, o_orderkey LIMIT 2000""")
+    SELECT o_orderkey, o_custkey FROM orders ORDER BY ('0x' || left(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 15))::BIGINT, o_orderkey LIMIT 2000""")
 def _(s, d):
     return S.sample_n(B.table(s, d, "orders").select("o_orderkey", "o_custkey"), 2000, "o_orderkey")

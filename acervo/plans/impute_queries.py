@@ -97,8 +97,7 @@ def _(s, d):
 
 
 @register("cosine_tags", "I-06 J-11 O-04", with_views("""
-    WITH k AS (SELECT "AppID", coalesce("Categories", '') AS t, "Tags" AS p FROM catalog WHERE "Tags" IS NOT NULL
-               ORDER BY ("AppID" * 7919 + 42 * 1299709) % 1000003, "AppID" LIMIT 5000),
+    WITH k AS (SELECT "AppID", coalesce("Categories", '') AS t, "Tags" AS p FROM catalog WHERE "Tags" IS NOT NULL),
     kt AS (SELECT t, unnest(string_split(lower(t), ',')) AS w FROM k WHERE t <> ''),
     df AS (SELECT w, count(*) AS df FROM kt GROUP BY 1), n AS (SELECT count(*) AS n FROM k),
     idf AS (SELECT w, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS f FROM df, n),
@@ -142,7 +141,7 @@ def _(s, d):
 ENSEMBLE = """
     WITH c AS (SELECT "AppID", "Tags" AS tg, "Publishers" AS t1, CASE WHEN "AppID" % 2 = 0 THEN "Developers" END AS t2,
                       "Genres" AS t3, 'nan' AS t4, split_part("Name", ' ', 1) AS t5 FROM catalog),
-    v AS (SELECT * FROM c WHERE tg IS NOT NULL ORDER BY ("AppID" * 7919 + 42 * 1299709) % 1000003, "AppID" LIMIT 2000),
+    v AS (SELECT * FROM c WHERE tg IS NOT NULL AND ('0x' || left(md5(CAST("AppID" AS VARCHAR) || ':42'), 15))::BIGINT < 345876451382054080),
     s AS (SELECT unnest(['t1', 't2', 't3', 't5']) AS t, unnest([
       0.7 * avg(CASE WHEN t1 IS NOT NULL THEN (t1 = tg)::INT END) + 0.3 * avg((t1 IS NOT NULL)::INT),
       0.7 * avg(CASE WHEN t2 IS NOT NULL THEN (t2 = tg)::INT END) + 0.3 * avg((t2 IS NOT NULL)::INT),
@@ -161,7 +160,7 @@ def _(s, d):
     rows = B.catalog(s, d).withColumns({
         "t1": F.col("Publishers"), "t2": F.when(F.col("AppID") % 2 == 0, F.col("Developers")), "t3": F.col("Genres"),
         "t4": F.lit("nan"), "t5": F.split("Name", " ")[0]})
-    out = I.ensemble_impute(rows, "Tags", ["t1", "t2", "t3", "t4", "t5"], I.validation_ids(rows, "Tags"))
+    out = I.ensemble_impute(rows, "Tags", ["t1", "t2", "t3", "t4", "t5"], I.validation_mark("Tags"))
     return out.select("AppID", F.col("Tags").alias("tags"), F.col("Tags_confidence").alias("conf"))
 
 
@@ -171,7 +170,7 @@ def _(s, d):
 def _(s, d):
     rows = B.catalog(s, d).withColumns({
         "t1": F.col("Publishers"), "t2": F.when(F.col("AppID") % 2 == 0, F.col("Developers")), "t3": F.col("Genres")})
-    checked = rows.join(I.validation_ids(rows, "Tags"), "AppID", "left_semi")
+    checked = rows.where(I.validation_mark("Tags"))
     return I.technique_scores(checked, "Tags", ["t1", "t2", "t3"]).select(r("t1"), r("t2"), r("t3"))
 
 

@@ -136,6 +136,15 @@ def _(s, d):
     return out.select("limiar", "tp", "fp", "fn", "tn", r("precision"), r("recall"), r("f1"))
 
 
+@register("genre_share_rows", "A-26 F-03", with_views("""
+    WITH pg AS (SELECT jogo_id, min(nome) AS genero FROM game_categories GROUP BY 1),
+    h AS (SELECT usuario_id, coalesce(genero, 'Unknown') AS genero, sum(horas_jogadas) AS h
+          FROM sessions s JOIN games g ON g.id = s.jogo_id LEFT JOIN pg ON pg.jogo_id = s.jogo_id GROUP BY 1, 2)
+    SELECT usuario_id, genero, round(h / sum(h) OVER (PARTITION BY usuario_id), 6) AS share FROM h WHERE h > 0""", "sessions", "games", "game_categories"))
+def _(s, d):
+    return FE.genre_share_rows(B.sessions(s, d), B.games(s, d), B.game_categories(s, d)).select("usuario_id", "genero", r("share"))
+
+
 def _labelled(s, d):
     """Game features with target and split; reputation learned on the training part only."""
     games = FE.good_game_label(B.games(s, d), GOOD)
@@ -162,7 +171,7 @@ def _(s, d):
 
 @register("forest_search", "M-12")
 def _(s, d):
-    return M.tune_rf(_labelled(s, d).where("split = 'train'"), trials=4)
+    return M.tune_rf(_labelled(s, d).where("split = 'train'"))
 
 
 def _cluster_features(s, d):
@@ -199,7 +208,7 @@ def _(s, d):
 
 
 def _condition(s, d):
-    clusters, k, _score = M.user_clusters(_cluster_features(s, d), high=5)
+    clusters, k, _score = M.user_clusters(_cluster_features(s, d))
     out = FE.user_condition(B.sessions(s, d), B.games(s, d), B.game_categories(s, d), B.users(s, d), B.as_of(), clusters, k)
     return out.toDF(*[c.replace("#", "_") for c in out.columns])
 
@@ -231,9 +240,9 @@ def _(s, d):
 @register("cascade", "R-08")
 def _(s, d):
     rows = _labelled(s, d)
-    model = M.train_quality_rf(rows.where("split = 'train'"), trees=20)
+    model = M.train_quality_rf(rows.where("split = 'train'"))
     good = M.predict_quality(model, rows).where("previsto = 1").select(F.col("id").alias("item"))
-    clusters = M.user_clusters(_cluster_features(s, d), high=4)[0]
+    clusters = M.user_clusters(_cluster_features(s, d))[0]
     lists = R.recommend(B.emb_users(s, d).withColumnRenamed("id", "usuario_id"), B.emb_items(s, d), 10)
     return R.cascade(lists, good, clusters)
 

@@ -17,8 +17,9 @@ MEAN = "mv AS (SELECT list(m ORDER BY pos) AS media FROM (SELECT pos, avg(x) AS
 REQ = """req AS (SELECT q.usuario_id, coalesce(u.vetor, media) AS vetor,
     CASE WHEN u.id IS NULL THEN 'Jogo popular recomendado para novos usuários' ELSE 'Baseado no seu perfil de jogo' END AS explicacao
     FROM emb_requests q LEFT JOIN emb_users u ON u.id = q.usuario_id, mv)"""
-SCORES = """sc AS (SELECT q.usuario_id, i.id AS item, list_dot_product(q.vetor, i.vetor) AS score,
-    (i.id * 7919 + q.usuario_id * 104729 + 42 * 1299709) % 1000003 AS sorteio FROM req q, emb_items i)"""
+SCORES = """qd AS (SELECT *, 1 + ('0x' || left(md5(CAST(usuario_id AS VARCHAR) || ':42'), 15))::BIGINT % 2147483646 AS f, ('0x' || left(md5(CAST(usuario_id AS VARCHAR) || ':43'), 15))::BIGINT % 2147483647 AS o FROM req),
+    xd AS (SELECT *, ('0x' || left(md5(CAST(id AS VARCHAR) || ':44'), 15))::BIGINT % 2147483647 AS x FROM emb_items),
+    sc AS (SELECT q.usuario_id, i.id AS item, list_dot_product(q.vetor, i.vetor) AS score, (f * x + o) % 2147483647 AS sorteio FROM qd q, xd i)"""
 LISTS = f"""WITH {MEAN}, {REQ}, {SCORES}, {MODES_SQL},
 rk AS (SELECT *, row_number() OVER (PARTITION BY usuario_id ORDER BY score DESC, item) AS place FROM sc),
 nv AS (SELECT usuario_id, modo, threshold, n_explore, n_top, count(*) FILTER (WHERE score >= threshold) AS n FROM sc, modes GROUP BY ALL),
@@ -92,12 +93,12 @@ def _(s, d):
 @register("threshold_relaxed", "R-05", with_views("""
     WITH sc AS (SELECT u.id AS usuario_id, i.id AS item, list_dot_product(u.vetor, i.vetor) / 3 AS score,
                 row_number() OVER (PARTITION BY u.id ORDER BY list_dot_product(u.vetor, i.vetor) / 3 DESC, i.id) AS rank
-                FROM emb_users u, emb_items i QUALIFY rank <= 30),
+                FROM emb_users u, emb_items i),
     b AS (SELECT *, max(score) OVER (PARTITION BY usuario_id) AS best FROM sc)
     SELECT usuario_id, item, round(score, 6) AS score FROM b WHERE score >= 0.35 OR (best < 0.35 AND rank <= 10)""", *VIEWS))
 def _(s, d):
-    top = R.top_items(_known(s, d), B.emb_items(s, d), 30).withColumn("score", F.col("score") / 3)
-    return R.filter_relax(top, 0.35, 5).select("usuario_id", "item", r("score"))
+    third = F.transform("vetor", lambda x: x / 3)
+    return R.items_above(_known(s, d).withColumn("vetor", third), B.emb_items(s, d), 0.35, 5).select("usuario_id", "item", r("score"))
 
 
 @register("recommendations", "R-06 R-02 R-04 R-05 W-01 O-09", with_views(

@@ -256,6 +256,34 @@ def _(s, d):
     return out.select("coluna", r("d"), "n1", "n2")
 
 
+@register("ks_quantity_price_test", "T-05", """
+    WITH two AS (SELECT 'l_extendedprice' AS coluna, l_extendedprice AS v, l_returnflag AS f FROM lineitem
+                 UNION ALL SELECT 'l_quantity', l_quantity, l_returnflag FROM lineitem),
+    cells AS (SELECT coluna, v, count(*) FILTER (WHERE f = 'R') AS a, count(*) FILTER (WHERE f = 'A') AS b
+              FROM two WHERE f IN ('R', 'A') GROUP BY 1, 2),
+    run AS (SELECT coluna, sum(a) OVER w AS ca, sum(b) OVER w AS cb,
+                   sum(a) OVER (PARTITION BY coluna) AS n1, sum(b) OVER (PARTITION BY coluna) AS n2
+            FROM cells WINDOW w AS (PARTITION BY coluna ORDER BY v)),
+    x AS (SELECT coluna, max(abs(ca / n1::DOUBLE - cb / n2::DOUBLE)) * sqrt(max(n1)::DOUBLE * max(n2) / (max(n1) + max(n2))) AS x FROM run GROUP BY 1),
+    p AS (SELECT coluna, CASE WHEN any_value(x) < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * x * x)))) END AS p
+          FROM x, range(1, 101) AS s(j) GROUP BY coluna)
+    SELECT coluna, round(p, 6) AS p, p > 0.05 AS passou FROM p""")
+def _(s, d):
+    lines = B.table(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
+    out = T.ks_2samp(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["l_quantity", "l_extendedprice"])
+    return out.select("coluna", r("p"), "passou")
+
+
+@register("loglog_stderr", "T-06", with_views("""
+    WITH p AS (SELECT log10(owners_number) AS x, log10("Positive" + "Negative") AS y FROM raw_games
+               WHERE owners_number > 0 AND "Positive" + "Negative" > 0)
+    SELECT count(*) AS n, round(sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / (regr_sxx(y, x) * (count(*) - 2))), 6) AS stderr FROM p""", "raw_games"))
+def _(s, d):
+    rows = B.raw_games(s, d).select(owners_number(F.col("Estimated owners")).alias("owners"),
+                                    (F.col("Positive") + F.col("Negative")).alias("reviews"))
+    return T.loglog_fit(rows, "owners", "reviews").select("n", r("stderr"))
+
+
 @register("loglog_owners_reviews", "T-06 X-17", with_views("""
     WITH p AS (SELECT log10(owners_number) AS x, log10("Positive" + "Negative") AS y FROM raw_games
                WHERE owners_number > 0 AND "Positive" + "Negative" > 0)
@@ -285,3 +313,11 @@ def _(s, d):
           with_views(_partial_sql('"Achievements"', f'"{PLAY}"', '"Metacritic score"'), "raw_games"))
 def _(s, d):
     return T.partial_corr(B.raw_games(s, d), "Achievements", PLAY, "Metacritic score").select("n", r("r"))
+
+
+@register("partial_achievements_playtime_interval", "T-07", with_views(
+    "WITH pr AS (" + _partial_sql('"Achievements"', f'"{PLAY}"', '"Metacritic score"').replace(", 6) AS r", ", 15) AS r") + """)
+    SELECT n, round(tanh(atanh(r) - 1.959963984540054 / sqrt(greatest(n - 4, 1))), 6) AS ci_low,
+           round(tanh(atanh(r) + 1.959963984540054 / sqrt(greatest(n - 4, 1))), 6) AS ci_high FROM pr""", "raw_games"))
+def _(s, d):
+    return T.partial_corr(B.raw_games(s, d), "Achievements", PLAY, "Metacritic score").select("n", r("ci_low"), r("ci_high"))

@@ -21,7 +21,7 @@ KEYWORDS_SQL = """CASE WHEN regexp_matches(lower(text), 'action|shooter|combat|w
                   '(?:Published by|Publisher:)\\s*([^,.\\n]+)', 1, 'i')), '') AS publisher,
            string_split(lang || ',' || source, ',')[1] AS first_item,
            length(text) - length(replace(text, ',', '')) AS commas,
-           substr(upper(substr(trim(left(text, 300)), 1, 1)) || lower(substr(trim(left(text, 300)), 2)), 1, 200) AS cap,
+           upper(substr(trim(text, ' '), 1, 1)) || lower(substr(trim(text, ' '), 2)) AS cap,
            CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN NULL ELSE lang END AS token FROM documents""")
 def _(s, d):
     t, i = F.col("text"), F.col("doc_id")
@@ -33,7 +33,7 @@ def _(s, d):
         X.published_by(note).alias("publisher"),
         X.first_item(F.concat("lang", F.lit(","), "source")).alias("first_item"),
         X.count_of(t).alias("commas"),
-        X.capitalized(F.left(t, F.lit(300))).alias("cap"),
+        X.capitalized(t).alias("cap"),
         X.null_tokens(token).alias("token"),
     )
 

@@ -93,7 +93,7 @@ def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str], order_
     keys = list(keys)
     order = F.struct(*[F.col(c) for c in (order_by or new.columns)])
     first = new.groupBy(*keys).agg(F.min_by(F.struct("*"), order).alias("r")).select("r.*")
-    return first.join(target.select(*keys), keys, "left_anti")
+    return first.join(target.select(*keys).distinct(), keys, "left_anti")
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:

@@ -65,19 +65,22 @@ def test_fallback_modes_and_ties(spark):
     assert all(r[c] is not None for r in got.values() for c in ("Genres", "Tags", "Categories"))
 
 
-def test_ensemble_needs_enough_known_rows(spark):
+def test_ensemble_fills_from_few_known_rows(spark):
     df = spark.range(50).select(F.col("id").alias("AppID"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("Tags"), F.lit("y").alias("t"))
-    out = I.ensemble_impute(df, "Tags", ["t"], df.select("AppID"))
-    assert out.where("Tags IS NULL").count() == 25 and out.where("Tags_confidence <> 'none'").count() == 0
+    out = I.ensemble_impute(df, "Tags", ["t"], F.col("Tags").isNotNull())
+    assert out.where("Tags = 'y' AND Tags_confidence = 'high_ensemble'").count() == 25
+    none = I.ensemble_impute(df, "Tags", ["t"], F.lit(False))
+    assert none.where("Tags IS NULL").count() == 25
 
 
 def test_ensemble_order_is_by_score(spark):
     df = spark.range(400).select(
         F.col("id").alias("AppID"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("Tags"),
         F.lit("bad").alias("t1"), F.when(F.col("id") % 4 > 1, F.lit("x")).alias("t2"), F.lit("<NA>").alias("t3"))
-    out = I.ensemble_impute(df, "Tags", ["t1", "t2", "t3"], I.validation_ids(df, "Tags", 100))
+    out = I.ensemble_impute(df, "Tags", ["t1", "t2", "t3"], I.validation_mark("Tags"))
     assert {(r["m"], r["Tags"]): r["count"] for r in out.where("AppID % 2 = 1").groupBy((F.col("AppID") % 4).alias("m"), "Tags").count().collect()} == {(1, "bad"): 100, (3, "x"): 100}
-    assert I.validation_ids(df, "Tags", 100, 0.3).count() == 60
+    marked = df.where(I.validation_mark("Tags", 0.3)).count()
+    assert 40 <= marked <= 80 and df.where(I.validation_mark("Tags", 1.0)).count() == 200
 
 
 def test_knn_against_brute_force(spark, monkeypatch):
@@ -132,7 +135,7 @@ def test_whole_cascade_leaves_no_gap(spark, sf):
     from acervo.plans import bindings as B
 
     raw = B.catalog(spark, sf).drop("real_genres", "real_tags", "real_categories")
-    out = I.impute_catalog(raw, check=60)
+    out = I.impute_catalog(raw)
     assert out.count() == raw.count() == out.select("AppID").distinct().count()
     assert out.where("Genres IS NULL OR Tags IS NULL OR Categories IS NULL OR Publishers IS NULL").count() == 0
     kept = raw.alias("a").join(out.alias("b"), "AppID").where("a.Genres IS NOT NULL AND a.Genres <> b.Genres OR a.Tags IS NOT NULL AND a.Tags <> b.Tags")

@@ -76,11 +76,16 @@ def test_text_ids_give_the_same_best_items(vectors):
     assert R.top_items(users.withColumn("usuario_id", name("usuario_id")), items, 2).dtypes[0] == ("usuario_id", "string")
 
 
-def test_large_ids_can_be_drawn(spark):
-    from acervo.functions.sampling import draw
+def test_draws_of_any_key(spark):
+    import hashlib
 
-    df = spark.createDataFrame([(2**62, -5)], "a bigint, b bigint")
-    assert df.select(draw(F.col("a"), F.col("b"), 42)).first()[0] == (2**62 * 7919 - 5 * 104729 + 42 * 1299709) % 1000003
+    from acervo.functions.sampling import PAIR_DRAWS, column_term, draw, row_terms
+
+    number = lambda k, seed: int(hashlib.md5(f"{k}:{seed}".encode()).hexdigest()[:15], 16)
+    df = spark.createDataFrame([(2**62, "é x")], "a bigint, b string")
+    f, o = row_terms(F.col("b"), 42)
+    got = df.select(draw(F.col("a"), 42), f, o, column_term(F.col("a"), 42)).first()
+    assert tuple(got) == (number(2**62, 42), 1 + number("é x", 42) % (PAIR_DRAWS - 1), number("é x", 43) % PAIR_DRAWS, number(2**62, 44) % PAIR_DRAWS)
 
 
 def test_bad_arguments(vectors):
