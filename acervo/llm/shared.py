@@ -14,11 +14,25 @@ SPACES = r"[ \t-\r]"  # the six ASCII spaces; everything else belongs to a word
 BATCH_BYTES = 8 << 20
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back: a cut in the lineage that survives lost executors."""
-    path = scratch(df.sparkSession, "llm")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame as Parquet to the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    The shuffle files behind it go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, "llm"), spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
