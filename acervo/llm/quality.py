@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.3  # mean log ratio (natural logarithm) below which a text is rejected
+THRESHOLD = -0.15  # mean log ratio (natural logarithm) below which a text is rejected
 TRUSTED_LIMIT = 50_000  # most trusted documents the target is fitted on
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "[^#*$%&|<>]+"
 SPACE_RUN = r"[ \t-\r]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -97,12 +98,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
 
 
-def judged(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, and a struct `_rules` with the base counts, base_failed, llr and kept."""
+def rules(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
+    """A struct of the base counts, base_failed, kept and llr of a text."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.coalesce(text.cast("string"), F.lit(""))
 
-    def rules(words: Column) -> Column:
+    def counts(words: Column) -> Column:
         total = let(gram_buckets(words), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.greatest(F.size(g), F.lit(1)))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
@@ -113,10 +114,12 @@ def judged(docs: DataFrame, ratios: list[float], text: str = "text", threshold:
             total.alias("llr"),
         )
 
-    counted = docs.withColumn("_counts", let(word_array(F.col(text)), rules))
-    failed = (F.col("_counts.n_words") < MIN_WORDS) | (100 * F.col("_counts.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("_counts.n_words"))
-    verdict = F.struct("_counts.*", failed.alias("base_failed"), (~failed & (F.col("_counts.llr") >= threshold)).alias("kept"))
-    return counted.withColumn("_rules", verdict).drop("_counts")
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED_PERCENT * c["n_words"])
+        kept = ~failed & (c["llr"] >= threshold)
+        return F.struct(*(c[n].alias(n) for n in COUNTS), failed.alias("base_failed"), kept.alias("kept"), c["llr"].alias("llr"))
+
+    return let(let(word_array(text), counts), verdict)
 
 
 def quality_report(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -128,11 +131,11 @@ def quality_report(docs: DataFrame, trusted: DataFrame, text: str = "text", key:
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     ratios = log_ratios(rows, trusted.select(F.col(key).alias("_key")), "_text", "_key")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
-    return judged(rows, ratios, "_text", threshold).select(F.col("_key").alias(key), *(F.col(f"_rules.{n}").alias(n) for n in names))
+    found = rows.select(F.col("_key"), rules(F.col("_text"), ratios, threshold).alias("_rules"))
+    return found.select(F.col("_key").alias(key), *(F.col(f"_rules.{n}").alias(n) for n in (*COUNTS, "base_failed", "kept", "llr")))
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     ratios = log_ratios(docs, trusted, text, key)
-    return judged(docs, ratios, text, threshold).where("_rules.kept").drop("_rules")
+    return docs.where(rules(F.col(text), ratios, threshold)["kept"])
