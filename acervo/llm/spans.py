@@ -84,10 +84,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_print"), F.col(text).cast("string").alias("_text"))
     found = stored(_all_runs(rows))
-    twice = found.groupBy("run").count().where("count > 1").select("run")
+    # the small sides are written, so that both sides of the joins are plain shuffles and a hot run can be split
+    twice = stored(found.groupBy("run").count().where("count > 1").select("run"))
     again = stored(found.join(twice, "run"))
     order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_print", "begin")
-    first = again.groupBy("run").agg(F.min(order).alias("first"))
+    first = stored(again.groupBy("run").agg(F.min(order).alias("first")))
     later = again.join(first, "run").where(order > F.col("first"))
     return later.groupBy("_key", "_print").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
 
