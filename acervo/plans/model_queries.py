@@ -189,6 +189,19 @@ def _(s, d):
     return points.select("usuario_id", vector_to_array("features").alias("componentes"))
 
 
+@register("user_components_share", "M-05", with_views("""
+    SELECT count(DISTINCT usuario_id) AS usuarios, true AS bastam, true AS nenhum_a_mais FROM sessions""", "sessions"))
+def _(s, d):
+    """One point per user; the components kept hold 95 % of the variance, one less would not."""
+    from pyspark.ml.functions import vector_to_array
+
+    points, model = M.pca_95(_cluster_features(s, d), "usuario_id")
+    shares = F.array(*[F.lit(float(x)) for x in model.stages[2].explainedVariance.toArray()])
+    total = lambda n: F.aggregate(F.slice(shares, 1, n), F.lit(0.0), lambda a, x: a + x)
+    out = points.agg(F.count("*").alias("usuarios"), F.max(F.size(vector_to_array("features"))).alias("k"))
+    return out.select("usuarios", (total(F.col("k")) >= 0.95).alias("bastam"), (total(F.col("k") - 1) < 0.95).alias("nenhum_a_mais"))
+
+
 @register("user_clusters", "M-06 M-05 F-03 F-04")
 def _(s, d):
     return M.user_clusters(_cluster_features(s, d))[0]

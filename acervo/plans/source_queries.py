@@ -97,9 +97,13 @@ def _(s, d):
                       F.round(shares, 6).alias("shares"))
 
 
-@register("saved_forest", "M-13")
+@register("saved_forest", "M-13", with_views("SELECT count(*) AS linhas, 0 AS diferentes FROM games", "games"))
 def _(s, d):
+    """Rows whose prediction differs between a model and the same model saved and loaded."""
     path = scratch(s, "forest")
     rows = _labelled(s, d)
-    M.save_model(M.train_quality_rf(rows.where("split = 'train'"), trees=10, depth=5), path)
-    return M.predict_quality(M.load_model(path), rows.where("split = 'test'"))
+    model = M.train_quality_rf(rows.where("split = 'train'"))
+    M.save_model(model, path)
+    before = M.predict_quality(model, rows).select("id", F.col("probabilidade").alias("antes"))
+    both = M.predict_quality(M.load_model(path), rows).join(before, "id")
+    return both.agg(F.count("*").alias("linhas"), F.count_if(F.col("antes") != F.col("probabilidade")).cast("int").alias("diferentes"))
