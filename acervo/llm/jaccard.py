@@ -31,7 +31,7 @@ from .shared import columns, stored, text_batches, words
 SLOTS = 1 << 18  # counters that estimate how often grams occur; grams share counters
 SLICE = 1 << 11  # counters in one row
 STAR_ROUNDS = 8  # most rounds that compare with one class each; then all pairs that are left
-PAIRS_PER_POSTING = 2  # up to so many pairs for each posting all are compared at once
+PAIRS_PER_POSTING = 1.0  # all pairs that are left are compared once they are no more than this for each posting there was
 BROADCAST_IDS = 200_000  # ids up to this number are broadcast, more are joined by shuffling
 KEPT_WORDS = 400_000
 
@@ -128,7 +128,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int, counters: np.ndarray) ->
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in lists[0]], dtype=np.int64)]).astype(np.int32)
             flat = [pa.array(np.concatenate(x) if x else np.empty(0, kind)) for x, kind in zip(lists, (np.int64, np.int32, np.int32))]
             offsets = pa.array(lengths)
-            yield columns(batch.take(pa.array(places, pa.int32())), ["_key"], {
+            yield columns(batch.select(["_key"]).take(pa.array(places, pa.int32())), ["_key"], {
                 "n": pa.array(sizes, pa.int32()), "print": pa.array(prints, pa.binary()),
                 **{name: pa.ListArray.from_arrays(offsets, x) for name, x in zip(("rare", "left", "right"), flat)},
             })
@@ -153,41 +153,46 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "print binary, grams array<bigint>")
 
 
-def _candidates(postings: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame | None, bool]:
-    """Pairs (a, b) of classes to compare next, and whether they are all that is left."""
+def _candidates(postings: DataFrame, sizes: DataFrame, labels: DataFrame | None, most: float, percent: int, turn: int) -> tuple[DataFrame | None, float]:
+    """Pairs (a, b) of classes to compare next, and how many pairs will be left to list; 0 where these are all.
+
+    At most `most` pairs are listed at once; more are listed only where comparing with one class no longer thins them out.
+    """
     if labels is None:
         marked = postings.withColumn("label", F.col("class"))
     else:
         marked = postings.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-    marked = stored(marked)
+    marked = stored(marked.join(sizes, "class"))
     by_label = marked.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m"))
-    by_gram = by_label.groupBy("gram").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"), F.sum("m").alias("m"))
-    by_gram = by_gram.where("pairs > 0")
-    total = by_gram.agg(F.sum("pairs").alias("pairs"), F.sum("m").alias("m")).first()
+    by_gram = by_label.groupBy("gram").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+    by_gram = stored(by_gram.where("pairs > 0"))
+    total = by_gram.agg(F.sum("pairs").alias("pairs")).first()
     if not total.pairs:
-        return None, True
+        return None, 0.0
     live = marked.join(by_gram.select("gram"), "gram", "left_semi")
     fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.label") != F.col("y.label"))
-    last = turn >= STAR_ROUNDS or total.pairs <= PAIRS_PER_POSTING * total.m
+    last = turn >= STAR_ROUNDS or total.pairs <= most
+    left = 0.0 if last else total.pairs
     if last:
         found = live.alias("x").join(live.alias("y"), "gram").where(fits & (F.col("x.class") < F.col("y.class")))
     else:
-        middle = live.groupBy("gram").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "label")).alias("c"))
+        middle = marked.groupBy("gram").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "label")).alias("c"))
+        middle = stored(middle.join(by_gram.select("gram"), "gram", "left_semi"))
         found = live.alias("x").join(middle.select("gram", "c.*").alias("y"), "gram").where(fits)
     pairs = found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    return pairs.distinct(), last
+    return pairs.distinct(), left
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs that reach the threshold."""
-    info = classes.select("class", "n", "left", "right")
+    pairs, info = stored(pairs), classes.select("class", "n", "left", "right")
     both = pairs.join(info.toDF("a", "na", "la", "ra"), "a").join(info.toDF("b", "nb", "lb", "rb"), "b")
     pairs = stored(both.where(F.arrays_overlap("la", "lb") & F.arrays_overlap("ra", "rb")).select("a", "b", "na", "nb"))
     ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
     needed = stored(classes.select("class", "print", "low").join(ids, "class", "left_semi"))
     texts = _by_keys(rows, needed.select("low").distinct(), "_key", "left_semi")
+    # dealt by class once: both joins below read the same shuffle
     sets = _sets(texts, size).join(needed.select("class", "print"), "print").groupBy("class").agg(F.first("grams").alias("grams"))
-    sets = stored(sets)
     whole = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     common = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
     return common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
@@ -211,20 +216,24 @@ def _grouped(docs: DataFrame, size: int, percent: int, text: str, key: str) -> D
     per_print = _prefixes(rows, size, percent, counters).groupBy("print").agg(
         F.min("_key").alias("low"), *(F.first(c).alias(c) for c in ("n", "rare", "left", "right")))
     classes = stored(per_print.withColumn("class", F.monotonically_increasing_id()))
-    grams = classes.select("class", "n", F.explode("rare").alias("gram"))
-    shared = grams.groupBy("gram").count().where("count > 1").select("gram")
+    grams = classes.select("class", F.explode("rare").alias("gram"))
+    # small sides of joins are written first: both sides are then plain shuffles, and a hot gram can be split
+    shared = stored(grams.groupBy("gram").count().where("count > 1").select("gram"))
     postings = stored(grams.join(shared, "gram"))
+    sizes, most = classes.select("class", "n"), PAIRS_PER_POSTING * postings.count()
 
-    links, labels, turn, last = None, None, 0, False
-    while not last:
-        pairs, last = _candidates(postings, labels, turn, percent)
+    links, labels, turn, left = None, None, 0, float("inf")
+    while left:
+        pairs, now = _candidates(postings, sizes, labels, most, percent, turn)
         if pairs is None:
             break
+        if now > left / 2:  # the classes that still share grams are not alike: list their pairs
+            pairs, now = _candidates(postings, sizes, labels, now, percent, turn)
         found = stored(_linked(pairs, classes, rows, size, percent))
         links = found if links is None else links.unionAll(found)
         if labels is None or not found.isEmpty():
             labels = stored(components(links))
-        turn += 1
+        turn, left = turn + 1, now
 
     own = first.where("slice is null").select("_key", "n", "print")
     named = classes.select("print", F.col("class").alias("root"), "low")
