@@ -14,7 +14,7 @@ number modulo the source's share. Where a source has no blocks left its slots st
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +80,20 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     The order (_slot, _offset) is the mix. No row is dropped: sources without a
     weight (or with 0) follow after all weighted ones, in slots that start behind the last period used.
     """
-    weights = default_weights(docs, text, source) if weights is None else weights
+    rows = measured(docs, text, source, key)
+    return _placed(rows, rows, default_weights(docs, text, source) if weights is None else weights, key, block_chars, period)
+
+
+def measured(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """All rows and columns of docs with what their places depend on: _name (of the source), _chars and _hash."""
+    return docs.withColumns({
+        "_name": _name(F.col(source)), "_chars": F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0)).cast("long"),
+        "_hash": F.xxhash64(F.col(key), F.col(text).cast("string")),
+    })
+
+
+def _placed(rows: DataFrame, light: DataFrame, weights: Mapping[str | None, float], key: str, block_chars: int, period: int) -> DataFrame:
+    """placed() for measured rows; light holds the same rows, and is what totals are read from."""
     shares = whole_shares({"null" if k is None else f"={k}": w for k, w in weights.items()}, period)
     if not shares:
         shares = {"": period}
@@ -89,17 +102,13 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     for slot, k in enumerate(schedule(shares)):
         table.append((k, shares[k], seen.setdefault(k, 0), slot))
         seen[k] += 1
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     slots = spark.createDataFrame(table, "_name string, _share long, _nth long, _at long")
-
-    rows = docs.withColumns({
-        "_name": _name(F.col(source)), "_chars": F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0)).cast("long"),
-        "_hash": F.xxhash64(F.col(key), F.col(text).cast("string")),
-    })
-    n = docs.count()
+    n = light.count()
     bits = max(0, (max(1, n) // BUCKET_ROWS).bit_length())
-    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - bits) if bits else F.lit(0).cast("long"))
-    sizes = rows.select("_name", "_bucket", "_chars").groupBy("_name", "_bucket").agg(F.sum("_chars").alias("c"))
+    bucket = F.shiftrightunsigned("_hash", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = rows.withColumn("_bucket", bucket)
+    sizes = light.withColumn("_bucket", bucket).select("_name", "_bucket", "_chars").groupBy("_name", "_bucket").agg(F.sum("_chars").alias("c"))
     before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_coarse", F.floor(F.col("_bucket") / FAN))
     coarse = sizes.groupBy("_name", "_coarse").agg(F.sum("c").alias("c"))
@@ -148,6 +157,18 @@ def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
                         F.col("_offset").alias("offset"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"))
 
 
+def mixed_after(docs: DataFrame, work: Callable[[DataFrame, tuple[str, ...]], DataFrame], text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """What work makes of the rows, with slot and offset of mix_plan, sorted into the mix.
+
+    work gets docs and the columns it has to keep, and gives one row per row; it runs once, ahead of every shuffle.
+    """
+    rows = measured(docs, text, source, key)
+    done = work(rows, (key, "_name", "_chars", "_hash"))
+    placed_rows = _placed(done, rows, default_weights(docs, text, source), key, BLOCK_CHARS, PERIOD)
+    placed_rows = placed_rows.withColumnsRenamed({"_slot": "slot", "_offset": "offset"}).drop("_block", "_release", "_deadline")
+    return placed_rows.orderBy("slot", "offset", key)
+
+
 def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
     """All rows and columns of docs, sorted into the mix: written out, its files follow one another in mixed order."""
     rows = placed(docs, weights, **options)

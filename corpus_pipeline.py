@@ -40,9 +40,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the packed ids of every document."""
-    done = pieces.encode_texts(docs, piece_model(), keep=("doc_id", "lang", "source"))
-    return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens and the packed ids of every document, with slot and offset in the mix and sorted by them.
+
+    Files read again come in any order, so the place of a row is worked out from
+    the same rows that source_mix sorted, which gives the same place, and stays with the row.
+    """
+    def encode(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        done = pieces.encode_texts(rows, piece_model(), keep=(*keep, "lang", "source"))
+        return done.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).drop("decoded")
+
+    return mixing.mixed_after(docs, encode).select("doc_id", "lang", "source", "n_tokens", "ids", "slot", "offset")
 
 
 STAGES = [

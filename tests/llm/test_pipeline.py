@@ -10,7 +10,7 @@ from test_quality import base, grams
 from test_spans import brute as without_repeats
 
 import corpus_pipeline
-from acervo.llm import quality
+from acervo.llm import mixing, quality
 from acervo.llm.queries import piece_model
 
 
@@ -66,3 +66,26 @@ def test_odd_tables(spark, tmp_path):
         table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         (labels if name == "full" else labels.limit(0)).write.parquet(f"{tmp_path}/{name}/labels.parquet")
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == (1 if name == "full" else 0)
+
+
+def test_mix_survives_files_read_in_any_order(spark, sf):
+    rows = [(i, "word and more words here. " * (300 + i % 7 * 100), "en", s, 0) for s, (a, b) in {"a": (0, 70), "b": (100, 120), None: (200, 207)}.items() for i in range(a, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(6)
+    plan = {r.doc_id: (r.slot, r.offset) for r in mixing.mix_plan(docs).collect()}
+    mixed = corpus_pipeline.stored(corpus_pipeline.source_mix(spark, docs, sf))
+    out = corpus_pipeline.stored(corpus_pipeline.piece_ids(spark, mixed.repartition(5), sf)).collect()
+    assert {r.doc_id: (r.slot, r.offset) for r in out} == plan and len(out) == len(rows)
+    chars = {r[0]: (r[3], len(r[1])) for r in rows}
+    totals = {s: sum(n for t, n in chars.values() if t == s) for s in ("a", "b", None)}
+    whole = sum(n**mixing.EXPONENT for n in totals.values())
+    end = min(int(n / mixing.BLOCK_CHARS / (n**mixing.EXPONENT / whole)) for n in totals.values())  # until the first source has no blocks left
+    assert end >= 12
+    for slot in range(1, end):
+        for s, n in totals.items():
+            begun = {r.slot for r in out if r.source == s and r.slot < slot}
+            assert abs(len(begun) - n**mixing.EXPONENT / whole * slot) < 1.1, (s, slot)
+
+
+def test_run_is_sorted_into_the_mix(spark, sf):
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert [(r.slot, r.offset) for r in out] == sorted((r.slot, r.offset) for r in out)
