@@ -3,10 +3,11 @@
 The standard library's parser streams events; block elements cut the page into
 lines. Each line has a text-to-tag ratio. The ratios are smoothed with a
 Gaussian, and a threshold between their two clusters (one-dimensional two-means)
-marks content lines. The region is the element that holds the marked text: an
-article or main element where the page has one, else the deepest element that
-still holds most of it. Everything in the region is returned but lines inside
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
+marks content lines, outside menus, headers, footers, sidebars, notices, adverts,
+forms and comments. The regions are the elements that hold marked text: article
+and main elements bound a region each; of what no such element bounds, the deepest
+element that holds all of it and blocks of the same kind beside it. All regions are returned in page order.
+In a region, lists of links stay only where they are marked.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BLOCKS = {
     "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PIECES = HEADINGS | {"p", "li", "pre", "blockquote", "td", "th", "tr", "dd", "dt", "hr"}  # hold a line or few, and are no region
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag of the key ends an open element of the value, within the element named last.
 IMPLIED = {
@@ -49,7 +51,8 @@ NAMES = COMMENT_NAMES | {
 TOKEN = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SMOOTHING = 2.0  # standard deviation of the Gaussian, in lines
-SHARE = 0.7  # of the marked text that an element must hold to be the region
+SHARE = 0.7  # of the marked text of a main element that its articles must hold to take its place
+LINKED = 0.8  # of a line's text in links: a line of links
 FEED = 1 << 16
 
 
@@ -236,36 +239,64 @@ def main_text(html: str) -> str:
                 while e is not None:
                     mass[e.order] += len(text)
                     e = e.parent
-    named = [e for e in reader.elements if e.tag in ("article", "main") and not outside[e.order]]
-    region = max(named, key=lambda e: (mass[e.order], -e.order), default=None)
-    if region is not None and region.tag == "main":
-        inner = max((e for e in named if e is not region and _inside(e, region)), key=lambda e: (mass[e.order], -e.order), default=None)
-        if inner is not None and mass[inner.order] >= SHARE * mass[region.order]:
-            region = inner
-    loose = region is None
-    if loose:
-        region = reader.top
-        while True:
-            child = max((e for e in reader.elements if e.parent is region and e.tag in BLOCKS), key=lambda e: (mass[e.order], -e.order), default=None)
-            if child is None or child.tag in HEADINGS or not mass[child.order] or mass[child.order] < SHARE * mass[region.order]:
-                break
-            if child.tag in ("p", "li", "pre", "blockquote", "td", "tr"):
-                break
-            region = child
-    kept = [
-        (line, text, mark)
-        for (line, text), mark in zip(lines, marks)
-        if not outside[line.element.order] and _inside(line.element, region) and not _byline(line.element)
-    ]
-    if loose and kept:  # no element names the article: drop lists of links, and what lies outside the marked stretch
-        ends = [i for i, (_, _, mark) in enumerate(kept) if mark >= cut]
-        first, last = (ends[0], ends[-1]) if ends else (0, len(kept) - 1)
-        while first and (kept[first - 1][0].element.tag in HEADINGS or kept[first - 1][0].linked == 0):
-            first -= 1
-        while last + 1 < len(kept) and kept[last + 1][0].linked == 0:
-            last += 1
-        kept = [(line, text, m) for line, text, m in kept[first : last + 1] if line.linked < 0.8 * len(text) or m >= cut]
-    return "\n".join(text for _, text, _ in kept)
+    content = [(line, text, mark) for (line, text), mark in zip(lines, marks) if not outside[line.element.order] and not _byline(line.element)]
+    plain = [0] * len(reader.elements)  # text of each element that is no link
+    for line, text, _ in content:
+        e = line.element
+        while e is not None:
+            plain[e.order] += len(text) if line.linked < LINKED * len(text) else 0
+            e = e.parent
+    bounds: dict[int, Element | None] = {0: None}  # element: the named region it stands in
+    for e in reader.elements[1:]:
+        bounds[e.order] = bounds[e.parent.order]
+        if e.tag in ("article", "main") and not outside[e.order] and bounds[e.order] is None and (mass[e.order] or plain[e.order]):
+            inner = [x for x in reader.elements if e.tag == "main" and x.tag == "article" and not outside[x.order] and _inside(x, e) and not _within(x, ("article",))]
+            if not inner or sum(mass[x.order] for x in inner) < SHARE * mass[e.order]:
+                bounds[e.order] = e
+    unbound = mass[0] - sum(mass[e.order] for e in set(bounds.values()) - {None})
+    loose: list[int] = []
+    if unbound > (1 - SHARE) * mass[0]:  # no element names that text: the marked stretch, and no lists of links
+        loose = [i for i, (line, _, _) in enumerate(content) if bounds[line.element.order] is None]
+        loose = _stretch([content[i] for i in loose], loose, cut)
+    kept = {i for i, (line, text, mark) in enumerate(content) if bounds[line.element.order] is not None and (line.linked < LINKED * len(text) or mark >= cut)}
+    return "\n".join(content[i][1] for i in sorted(kept.union(loose)))
+
+
+def _stretch(lines: list[tuple[Line, str, float]], places: list[int], cut: float) -> list[int]:
+    """Places of the lines from the first marked one to the last, with the headings and plain lines before and after it in the element that holds the marked ones."""
+    marked = [line.element for line, _, mark in lines if mark >= cut] or [line.element for line, _, _ in lines]
+    region = marked[0]
+    while region.parent is not None and (region.tag not in BLOCKS or region.tag in PIECES or not all(_inside(e, region) for e in marked)):
+        region = region.parent
+    regions = {id(region)}
+    if region.tag in BLOCKS - WRAPPERS - PIECES:  # blocks beside it of the same kind that hold plain paragraphs, as a page of several articles has them
+        beside: dict[int, list[int]] = {}  # text, that which is no link, paragraphs and headings
+        for line, text, _ in lines:
+            e, piece = line.element, False
+            while e is not None:
+                piece |= e.tag == "p" or e.tag in HEADINGS
+                if e.parent is region.parent and e.tag == region.tag:
+                    found = beside.setdefault(id(e), [0, 0, 0])
+                    found[0] += len(text)
+                    found[1] += len(text) - min(line.linked, len(text))
+                    found[2] += piece
+                e = e.parent
+        regions |= {k for k, (n, own, pieces) in beside.items() if pieces and own >= SHARE * n}
+    held = [k for k, (line, _, _) in enumerate(lines) if any(id(e) in regions for e in _line_up(line.element))]
+    ends = [k for k in held if lines[k][2] >= cut]
+    first, last = (ends[0], ends[-1]) if ends else (held[0], held[-1])
+    while first > held[0] and (lines[first - 1][0].element.tag in HEADINGS or lines[first - 1][0].linked == 0):
+        first -= 1
+    while last < held[-1] and lines[last + 1][0].linked == 0:
+        last += 1
+    return [places[k] for k in range(first, last + 1) if lines[k][0].linked < LINKED * len(lines[k][1]) or lines[k][2] >= cut]
+
+
+def _line_up(e: Element | None) -> Iterator[Element]:
+    """The element and those it stands in."""
+    while e is not None:
+        yield e
+        e = e.parent
 
 
 def _within(e: Element, tags: tuple[str, ...]) -> bool:

@@ -51,3 +51,27 @@ def test_nulls_repeats_long_and_empty(spark):
     out = got.collect()
     assert sorted(r.n_chars for r in out) == [0, 0, 0, 1, 40_000 * 10 - 1]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_articles_named_or_not(spark, sf):
+    """Ratios find the same text where div stands for article; of several articles all are returned."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()]
+    div = lambda page: re.sub("(</?)article>", r"\1div>", page)
+    several = 0
+    for page, other in zip(pages, pages[1:] + pages[:1]):
+        assert main_text(div(page)) == article(page)
+        second = re.search("<article>.*?</article>", other, re.S)
+        if second and "</article>" in page:
+            two, want = page.replace("</article>", "</article>" + second[0], 1), f"{article(page)}\n{article(second[0])}"
+            assert main_text(two) == want and main_text(div(two)) == want
+            several += 1
+    assert several > 10
+
+
+def test_ratios_select_beside_and_within_articles():
+    body = "".join(f"<p>{'Plain words of a long text, ' * 12}{i}.</p>" for i in range(8))
+    links = "<ul>" + "".join(f"<li><a href=x{i}>go {i}</a></li>" for i in range(12)) + "</ul>"
+    text = main_text(f"<article>{body}{links}</article>")
+    assert "Plain words" in text and "go 5" not in text
+    text = main_text(f"<article><p>Teaser.</p></article><div>{body}</div>{links}")
+    assert text.count("\n") >= 7 and "go 5" not in text
