@@ -43,7 +43,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, the text that stays, the byte spans removed and their number of bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.remove_repeats(docs, marks=True)
+    return spans.remove_repeats(docs, marks=True, cut_long=True)
 
 
 @query

@@ -4,13 +4,20 @@ Sentences end at stops followed by white space and at line ends. From every
 sentence on, and back from every sentence, the shortest run of at least
 MIN_SENTENCES sentences with MIN_WORDS words is hashed. Runs are joined globally
 by hash; sentences that any but the first occurrence of a repeated run covers
-are removed. Runs this long do not repeat by chance, and a passage of twice
-MIN_WORDS words holds several, which together cover all its sentences.
+are removed. Runs this long do not repeat by chance.
+
+A passage may lie in one long sentence, have no stops, or begin and end inside
+sentences. So with `cut_long`, sentences of over LONG words are also cut into pieces, at places
+that the words around them decide (winnowing), and from every piece on, the
+shortest run of pieces with MIN_WORDS words is hashed as well. Each end of a
+shared passage loses at most 8 words until the pieces agree, and a run has at most 32:
+any 50 words that two texts share hold a whole common run.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,50 +31,88 @@ from .jaccard import MULTIPLIER, mixed
 from .shared import columns, stored, text_batches
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
+LONG, GRAM, WITHIN = 8, 3, 6  # 3 * max(LONG, GRAM + WITHIN - 1) + MIN_WORDS - 1 is at most 50
+WORD = re.compile(rb"[^ \t-\r]+")
 STOP = re.compile(rb"[.!?]+[\"')\]]*(?=[ \t-\r])|\n|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
 BACK = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
-def sentences(text: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Start of each sentence, its number of words, its hash (lower case, white space as one space)."""
-    starts, counts, hashes, at = [], [], [], 0
+def sentences(text: bytes) -> tuple[list[int], list[int], list[int], list[bytes], list[int]]:
+    """Start of each sentence, its number of words, its hash (lower case, white space as one space); all words and their starts."""
+    starts, counts, hashes, at, low = [], [], [], 0, text.lower()
+    words: list[bytes] = []
+    begins: list[int] = []
     for end in [m.end() for m in STOP.finditer(text)] + [len(text)]:
-        found = text[at:end].lower().split()
-        if found:
+        places = list(WORD.finditer(low, at, end))
+        if places:
+            found = [m[0] for m in places]
             starts.append(at)
             counts.append(len(found))
             hashes.append(xxhash.xxh64_intdigest(b" ".join(found)))
+            words += found
+            begins += [m.start() for m in places]
             at = end
-    return starts, counts, hashes
+    return starts, counts, hashes, words, begins
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of every run of a text; a run ends where the next sentence starts."""
-    starts, counts, hashes = sentences(text)
+def pieces(words: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word; the words that begin a piece, and the number of words.
+
+    A sentence begins a piece. One of over LONG words is also cut before the
+    least hash of GRAM words among each WITHIN that follow one another.
+    """
+    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    sizes = np.array(counts, np.int64)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    if len(codes) < GRAM + WITHIN - 1:
+        return codes, edges
+    grams = codes[: len(codes) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        grams = grams * MULTIPLIER + codes[k : len(codes) - GRAM + 1 + k]
+    windows = np.lib.stride_tricks.sliding_window_view(mixed(grams)[::-1], WITHIN)
+    found = len(grams) - 1 - (np.arange(len(windows)) + windows.argmin(1))  # of equal hashes the last word
+    cuts = np.zeros(len(codes) + 1, bool)
+    cuts[found] = np.repeat(sizes, sizes)[found] > LONG
+    cuts[edges] = True
+    return codes, np.flatnonzero(cuts)
+
+
+def _run_hashes(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Hash of the codes from the first to before the second of each pair."""
+    steps, undo = np.full(len(codes), MULTIPLIER), np.full(len(codes), BACK)
+    steps[:1] = undo[:1] = 1
+    scaled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * np.cumprod(steps), dtype=np.uint64)])
+    return mixed((scaled[pairs[:, 1]] - scaled[pairs[:, 0]]) * np.cumprod(undo)[pairs[:, 0]] + (pairs[:, 1] - pairs[:, 0]).astype(np.uint64))
+
+
+def runs(text: bytes, cut_long: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every run of a text; a run ends where the next sentence or piece starts."""
+    starts, counts, hashes, words, begins = sentences(text)
     n = len(starts)
     total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
-    if n < MIN_SENTENCES or total[-1] < MIN_WORDS:
+    if total[-1] < MIN_WORDS:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.arange(n)
     stop = np.maximum(first + MIN_SENTENCES, np.searchsorted(total, total[:-1] + MIN_WORDS))
     back = np.minimum(first + 1 - MIN_SENTENCES, np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1)
     pairs = np.concatenate([np.stack([first, stop], 1)[stop <= n], np.stack([back, first + 1], 1)[(back >= 0) & (total[1:] >= MIN_WORDS)]])
     pairs = np.unique(pairs, axis=0)
-    steps = np.full(n, MULTIPLIER)
-    steps[0] = 1
-    scaled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.uint64) * np.cumprod(steps), dtype=np.uint64)])
-    undo = np.full(n, BACK)
-    undo[0] = 1
-    undo = np.cumprod(undo)
-    h = mixed((scaled[pairs[:, 1]] - scaled[pairs[:, 0]]) * undo[pairs[:, 0]] + (pairs[:, 1] - pairs[:, 0]).astype(np.uint64))
-    ends = np.array([*starts, len(text)], np.int64)
-    return h.view(np.int64), ends[pairs[:, 0]], ends[pairs[:, 1]]
-
-
-def _all_runs(rows: DataFrame) -> DataFrame:
+    codes, edges = pieces(words, counts) if cut_long else (np.empty(0, np.uint64), np.zeros(1, np.int64))
+    ends = np.searchsorted(edges, edges[:-1] + MIN_WORDS)
+    inner = np.stack([edges[:-1], edges[np.minimum(ends, len(edges) - 1)]], 1)[ends < len(edges)]
+    width = len(words) + 1
+    inner = inner[~np.isin(inner[:, 0] * width + inner[:, 1], total[pairs[:, 0]] * width + total[pairs[:, 1]])]  # not the runs of sentences again
+    h = np.concatenate([_run_hashes(np.array(hashes, np.uint64), pairs), _run_hashes(codes, inner)])
+    at = np.array([*begins, len(text)], np.int64)
+    at[total] = [*starts, len(text)]
+    pairs = np.concatenate([total[pairs], inner])
+    return h.view(np.int64), at[pairs[:, 0]], at[pairs[:, 1]]
+
+
+def _all_runs(rows: DataFrame, cut_long: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "_text"):
-            found = [runs(t) if t else runs(b"") for t in texts]
+            found = [runs(t or b"", cut_long) for t in texts]
             place = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             hashes, begins, ends = (np.concatenate([f[k] for f in found]) for k in range(3))
             yield columns(batch.select(["_key", "_print"]).take(pa.array(place)), ["_key", "_print"], {"run": pa.array(hashes), "begin": pa.array(begins), "end": pa.array(ends)})
@@ -76,14 +121,14 @@ def _all_runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["_key"], rows.schema["_print"], *T.StructType.fromDDL(more).fields]))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cut_long: bool = False) -> DataFrame:
     """Byte spans to remove: key, _print (hash of the text), spans (sorted array of begin, end), one row per touched document.
 
     The first occurrence is the one in the smallest key (null last), there the one that begins first.
     Rows equal in key and text count as one document.
     """
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_print"), F.col(text).cast("string").alias("_text"))
-    found = stored(_all_runs(rows))
+    found = stored(_all_runs(rows, cut_long))
     # the small sides are written, so that both sides of the joins are plain shuffles and a hot run can be split
     twice = stored(found.groupBy("run").count().where("count > 1").select("run"))
     again = stored(found.join(twice, "run"))
@@ -107,14 +152,14 @@ def without(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
     return b"".join(kept).strip(), gone
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", marks: bool = False) -> DataFrame:
-    """The rows and columns of docs with repeated sentences taken out of the text.
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", marks: bool = False, cut_long: bool = False) -> DataFrame:
+    """The rows and columns of docs with repeated sentences taken out of the text; with `cut_long`, repeated pieces of long sentences too.
 
     Touched texts are also stripped at both ends; a text may become empty, its row stays.
-    Null and empty texts and texts of one sentence stay as they are. With
+    Null and empty texts stay as they are. With
     `marks`, the columns spans (null where nothing goes) and removed_bytes follow, in place of any columns so named.
     """
-    spans = repeated_spans(docs, text, key).withColumnRenamed("_key", "_span_key").withColumnRenamed("_print", "_span_print")
+    spans = repeated_spans(docs, text, key, cut_long).withColumnRenamed("_key", "_span_key").withColumnRenamed("_print", "_span_print")
     names = [c for c in docs.columns if not (marks and c in ("spans", "removed_bytes"))]
     rows = docs.select(*(F.col(c) for c in names), F.xxhash64(F.col(text).cast("string")).alias("_row_print"))
     same = F.col(key).eqNullSafe(F.col("_span_key")) & (F.col("_row_print") == F.col("_span_print"))

@@ -1,5 +1,6 @@
 """Sentence spans against a plain reading, and planted passages."""
 
+import random
 import re
 
 from acervo.llm import spans
@@ -82,3 +83,26 @@ def test_odd_rows(spark):
     assert {r.text for r in out if r.doc_id in (1, 2, 3)} == {None, "", "."}
     assert spans.remove_repeats(docs.limit(0)).columns == docs.columns
     assert spans.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_passages_without_whole_sentences(spark):
+    """One long sentence, no stops at all, and passages that begin and end inside sentences: no 50 common words stay."""
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"o{rng.random()}" for _ in range(n))
+    rows = []
+    for k in range(60):
+        n = rng.randrange(50, 90)
+        words = [f"p{rng.randrange(10**6)}" for _ in range(n)]
+        if k % 3 == 2:
+            for i in rng.sample(range(n), 5):
+                words[i] += "."
+        passage = " ".join(words)
+        rows += [(2 * k, f"{own(30)} {passage} {own(30)}"), (2 * k + 1, f"{own(rng.randrange(40))} {passage} {own(rng.randrange(40))}".strip())]
+        if k % 3 == 0:
+            rows[-2:] = [(2 * k, passage + "."), (2 * k + 1, f"{own(5)}. {passage}. {own(5)}.")]
+    out = {r.doc_id: r.text for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cut_long=True).collect()}
+    for (a, first), (b, later) in zip(rows[::2], rows[1::2]):
+        assert out[a] == first
+        runs_of = lambda t: {tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)}
+        assert not runs_of(first) & runs_of(out[b])
+        assert all(w in out[b] for w in later.split() if w.startswith("o0"))
