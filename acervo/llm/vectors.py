@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one class. In each pass classes are ordered by
 label and by a code of concatenated random hyperplane signs, and every class is
-compared with the WINDOW classes before it. Verified pairs of all passes are
+compared with the WINDOW classes before it. Larger labels get more passes. Verified pairs of all passes are
 united into components. Within a component all pairs are then compared, in
 blocks, so that links a window was too small for are counted as well.
 
@@ -12,6 +12,7 @@ partitions is compared in a second step, so that results do not depend on where
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,17 @@ from .components import components
 from .shared import stored
 
 PASSES, BITS, WINDOW = 16, 62, 32
+FEW, GROWTH = 10_000, 0.2  # PASSES are enough for so many classes of a label; the chance of a pass to meet a pair falls with this power of their number
 SEED = 20_201
 BLOCK = 1024  # vectors of one side of a block within a component
 CHUNK = 1024  # rows of a pass compared at once
 
 
+def passes_for(classes: int) -> int:
+    """Passes for a largest label of so many classes: PASSES * (classes / FEW) ** GROWTH, at least PASSES."""
+    return max(PASSES, math.ceil(PASSES * (classes / FEW) ** GROWTH - 1e-9))
+
+
 def _usable(vector: Column, label: Column) -> Column:
     numbers = F.transform(vector, lambda x: x.cast("double"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -199,7 +206,7 @@ def _link_counts(members: DataFrame, least: float) -> DataFrame:
     return parts.groupBy("class").agg(F.sum("linked").alias("linked"))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """One row per row: key, n_links (other rows linked directly), component_id (smallest key reachable), kept (key = component_id).
 
     Rows link when their labels are equal and their cosine, in double precision, is at least
@@ -207,6 +214,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embeddi
     a number that is not finite, and vectors of different length, do not link. Repeated rows are vectors of
     their own. Null keys take part; no component is named after them unless it has no
     other, and kept is false for them. Other columns are left out, whatever their names.
+    Without `passes`, their number grows with the largest label, see passes_for.
     """
     rows = vectors.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).alias("vector")).withColumn("fits", _usable(F.col("vector"), F.col("label")))
     folded = rows.where("fits").groupBy("label", "vector").agg(F.min("_key").alias("low"), F.count("*").alias("copies"))
@@ -216,6 +224,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embeddi
     packed = stored(packed)
 
     width = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if passes is None:
+        passes = passes_for(packed.groupBy("label", "size").count().agg(F.max("count").alias("n")).first().n or 0)
     order = ["turn", "label", "size", "code", "tie", "class"]
     ordered = _pass_rows(packed, passes).repartitionByRange(width, *order).sortWithinPartitions(*order)
     found = stored(_links_in_passes(ordered, least, window))

@@ -70,3 +70,27 @@ def test_odd_rows(spark):
     assert result(got) == brute(rows, 0.93)
     assert vectors.near_vectors(table.limit(0)).count() == 0
     assert vectors.near_vectors(table.where("vec_id in (4, 5)")).count() == 2
+
+
+def test_passes_find_planted_pairs_of_a_large_label():
+    n, pairs, d = 100_000, 1000, 64
+    assert vectors.passes_for(0) == vectors.passes_for(10_000) == 16 and vectors.passes_for(1_500_000) == 44
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(pairs, d))
+    away -= (away * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[-pairs:] = 0.93 * x[:pairs] + np.sqrt(1 - 0.93**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    codes = np.concatenate([vectors._codes(x[i : i + 4096], vectors.passes_for(n)) for i in range(0, n, 4096)])
+    ranks = codes.argsort(0, kind="stable").argsort(0)
+    assert (abs(ranks[:pairs] - ranks[-pairs:]) <= vectors.WINDOW).any(1).mean() >= 0.995
+
+
+def test_near_vectors_takes_passes_from_the_largest_label(spark, monkeypatch):
+    used = []
+    plain = vectors._pass_rows
+    monkeypatch.setattr(vectors, "_pass_rows", lambda classes, passes: used.append(passes) or plain(classes, passes))
+    monkeypatch.setattr(vectors, "FEW", 10)
+    rows = [(i, [float(i), 1.0], "a" if i < 40 else "b") for i in range(50)]
+    vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).count()
+    assert used == [vectors.passes_for(40)] and used[0] > vectors.PASSES
