@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, markov, mixing, pieces, quality, spans, token_trees, toxicity, vectors
+from . import bit_search, byte_words, html_text, jaccard, markov, mixing, pieces, quality, spans, token_trees, toxicity, turns, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,46 @@ def op8_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = token_trees.count_trees(table(spark, sf_dir, "documents"), byte_vocabulary())
     edited = token_trees.apply_edits(token_trees.with_cleaning_edits(trees.withColumn("doc_id", F.struct("doc_id", "n_tokens"))), byte_vocabulary())
     return edited.select("doc_id.doc_id", "doc_id.n_tokens", "n_edits", F.col("n_tokens").alias("n_tokens_after"), "encoded_chars")
+
+
+@query
+def op11_byte_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_words.encode_texts(table(spark, sf_dir, "documents"), byte_vocabulary())
+    return byte_words.encoding_digest(byte_words.decode_ids(encoded, byte_words.token_bytes(spark, byte_vocabulary())))
+
+
+@query
+def op12_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = bit_search.build_index(table(spark, sf_dir, "documents"))
+    return bit_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_bit_search"] = f"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{bit_search.TERM}') AS found
+    FROM documents
+), tf AS (
+    SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(found) AS term FROM pieces) GROUP BY r, doc_id, term
+), lengths AS (
+    SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r
+), totals AS (
+    SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{bit_search.TERM}')) AS term
+    FROM benchmark
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, n_docs
+), scored AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (r), totals
+    GROUP BY item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
