@@ -2,37 +2,40 @@
 
 Merges never cross the matches of the split pattern, its words. So a text's ids
 are those of its words, one after another, and a word has the same ids wherever
-it stands. Texts are taken in blocks: a block's rows are exploded into its
-distinct words, numbered by first appearance, and for each text the packed word
-numbers by position. The words of all blocks are shuffled and sorted by word, each
-distinct word is encoded once, its ids return to their blocks by (block, number),
-and the positions put them in order.
-
-A word meets its task once for each block that holds it, however often the texts
-repeat it, so no word is hot. Decoding joins the table of token bytes, which is as long
-as the vocabulary file.
+it stands. Texts are taken in blocks: a block is exploded into its
+distinct words, numbered by first appearance, and for each text the word
+numbers by position. The words of all blocks are dealt to buckets by their hash; a bucket
+encodes each distinct word once. The ids return to their blocks, and the
+positions put them in order.
+
+What travels is packed: a block sends each bucket its words as one value. A word meets its
+bucket once for each block that holds it, however often the texts repeat it, so no word is
+hot. Decoding joins the table of token bytes, which is as long as the vocabulary file.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns, stored, text_batches
+from ..session import shuffle_width
+from .shared import columns, stored_by, text_batches
 
-BLOCK_BYTES = 16 << 20  # of text in a block; a longer text is a block of its own
-BLOCK_ROWS = 1 << 16
+BLOCK_BYTES = 8 << 20  # of text, about, in a block; a longer text is a block of its own
+BUCKETS = 4  # of words, for each shuffle partition
+OUT_BYTES = 2 << 20  # of ids in a batch that leaves a block
 SHORT = 48  # words up to so many bytes are merged by plain scans
-BATCH_ROWS = 20_000
 MAX_VOCABULARY = 1 << 21  # longer tables of token bytes are refused, not broadcast
 
 
@@ -127,6 +130,18 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return numbers
 
 
+def pack_parts(counts: np.ndarray, body: bytes) -> bytes:
+    """Lengths of parts and the parts one after another, compressed."""
+    head = pack_numbers(counts)
+    return zstandard.ZstdCompressor().compress(len(head).to_bytes(4, "little") + head + body)
+
+
+def unpack_parts(packed: bytes) -> tuple[np.ndarray, bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    size = 4 + int.from_bytes(data[:4], "little")
+    return unpack_numbers(data[4:size]), data[size:]
+
+
 class _Numbers(dict):
     """Numbers words by first appearance."""
 
@@ -135,69 +150,87 @@ class _Numbers(dict):
         return n
 
 
-def explode_words(docs: DataFrame, pattern: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """One table of two kinds of rows: (block, number, word) for each distinct word of a block, (block, keep, places) for each text."""
+def explode_words(docs: DataFrame, pattern: str, text: str, keep: tuple[str, ...], buckets: int) -> DataFrame:
+    """One table of three kinds of rows, all with their block.
+
+    (bucket, words): a block's distinct words of a bucket, by number. (keep, places): some texts of the
+    block with the word numbers by position. (order): the bucket of each of the block's words, by number.
+    """
     rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("keep"), F.col(text).cast("string").alias("_text"))
     schema = T.StructType([
         T.StructField("block", T.LongType()),
-        T.StructField("number", T.IntegerType()),
-        T.StructField("word", T.BinaryType()),
-        T.StructField("keep", rows.schema["keep"].dataType),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("words", T.BinaryType()),
+        T.StructField("keep", T.ArrayType(rows.schema["keep"].dataType)),
         T.StructField("places", T.BinaryType()),
+        T.StructField("order", T.BinaryType()),
     ])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        block, size, n_rows, seen = TaskContext.get().partitionId() << 32, 0, 0, _Numbers()
-
-        def listed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            found = [w.encode() for w in seen]
-            for i in range(0, len(found), BATCH_ROWS):
-                part = found[i : i + BATCH_ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(block, len(part)).cast(pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.binary()),
-                     pa.nulls(len(part), kind), pa.nulls(len(part), pa.binary())], ["block", "number", "word", "keep", "places"])
+        block, size, seen, kind = TaskContext.get().partitionId() << 32, 0, _Numbers(), None
+
+        def batch_of(n: int, **given: pa.Array) -> pa.RecordBatch:
+            types = {"bucket": pa.int32(), "keep": pa.list_(kind)}
+            given["block"] = pa.repeat(pa.scalar(block, pa.int64()), n)
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, types.get(c, pa.binary()))) for c in names], names)
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            dealt: dict[int, list[bytes]] = {}
+            order = np.empty(len(seen), np.int64)
+            for i, word in enumerate(seen):
+                data = word.encode()
+                order[i] = bucket = zlib.crc32(data) % buckets
+                dealt.setdefault(bucket, []).append(data)
+            packed = [pack_parts(np.fromiter(map(len, found), np.int64, len(found)), b"".join(found)) for found in dealt.values()]
+            if packed:
+                yield batch_of(len(packed), bucket=pa.array(list(dealt), pa.int32()), words=pa.array(packed, pa.binary()))
+            yield batch_of(1, order=pa.array([zstandard.ZstdCompressor().compress(pack_numbers(order))], pa.binary()))
 
-        kind = None
         for batch, texts in text_batches(batches, "_text"):
-            kept = batch.column(0)
-            kind = kept.type
-            places, blocks = [], []
-            for t in texts:
-                length = len(t or b"")
-                if n_rows and (size + length > BLOCK_BYTES or n_rows >= BLOCK_ROWS):
-                    yield from listed(kind)
-                    block, size, n_rows, seen = block + 1, 0, 0, _Numbers()
-                words = find(t.decode("utf-8", "replace")) if t else []
-                places.append(pack_numbers(np.fromiter(map(seen.__getitem__, words), np.int64, len(words))))
-                blocks.append(block)
-                size, n_rows = size + length, n_rows + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.nulls(len(blocks), pa.int32()), pa.nulls(len(blocks), pa.binary()), kept, pa.array(places, pa.binary())],
-                ["block", "number", "word", "keep", "places"])
+            kind = batch.column(0).type
+            length = sum(len(t or b"") for t in texts)
+            if size and size + length > BLOCK_BYTES:
+                yield from listed()
+                block, size, seen = block + 1, 0, _Numbers()
+            found = [np.fromiter(map(seen.__getitem__, find(t.decode("utf-8", "replace")) if t else ()), np.int64) for t in texts]
+            places = pack_parts(np.fromiter(map(len, found), np.int64, len(found)), pack_numbers(np.concatenate(found)))
+            kept = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0))
+            yield batch_of(1, keep=kept, places=pa.array([places], pa.binary()))
+            size += length
         if kind is not None:
-            yield from listed(kind)
+            yield from listed()
 
     return rows.mapInArrow(run, schema)
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, number, ids) of (block, number, word): each distinct word is encoded once, in the task that all its rows meet."""
+    """(block, bucket, ids) of (block, bucket, words): in its bucket each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last, ids = ranks_of(vocabulary), None, b""
+        ranks, at, known = ranks_of(vocabulary), None, {}
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(merge_word(word, ranks), "<u4").tobytes()
-                out.append(ids)
-            yield columns(batch, ["block", "number"], {"ids": pa.array(out, pa.binary())})
-
-    met = words.select("block", "number", "word").repartition("word").sortWithinPartitions("word")
-    return met.mapInArrow(run, "block long, number int, ids binary")
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                lengths, body = unpack_parts(packed)
+                ends = np.cumsum(lengths).tolist()
+                found = []
+                for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                    word = body[start:end]
+                    if (ids := known.get(word)) is None:
+                        ids = known[word] = merge_word(word, ranks)
+                    found.append(ids)
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                out.append(pack_parts(counts, pack_numbers(np.array([i for ids in found for i in ids], np.int64))))
+            yield columns(batch, ["block", "bucket"], {"ids": pa.array(out, pa.binary())})
+
+    met = words.select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(run, "block long, bucket int, ids binary")
 
 
 def _spread(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -219,24 +252,42 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str | None = None, t
     """
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
-    exploded = stored(explode_words(docs, pattern, text, keep))
-    words = encode_words(exploded.where("word is not null"), vocabulary)
-    texts = exploded.where("places is not null").select("block", "keep", "places")
-    kept = exploded.schema["keep"].dataType
+    width = shuffle_width(docs.sparkSession)
+    # positions are many: they are written by block once and need no shuffle to meet the ids of their words
+    exploded = stored_by(explode_words(docs, pattern, text, keep, BUCKETS * width), "block", width)
+    words = encode_words(exploded.where("words is not null"), vocabulary)
+    texts = exploded.where("words is null").select("block", "keep", "places", "order")
+    kept = exploded.schema["keep"].dataType.elementType
     schema = T.StructType([T.StructField("keep", kept), T.StructField("ids", T.BinaryType())])
 
     def assemble(words: pa.Table, texts: pa.Table) -> pa.Table:
-        table: list[bytes] = [b""] * len(words)
-        for number, ids in zip(words.column("number").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            table[number] = ids
-        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        start = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(table), "<u4")
-        out = []
+        words = words.sort_by("bucket")
+        parts = [unpack_parts(p) for p in words.column("ids").to_pylist()]
+        empty = np.empty(0, np.int64)
+        counts = np.concatenate([p[0] for p in parts] or [empty])
+        flat = np.concatenate([unpack_numbers(p[1]) for p in parts] or [empty]).astype("<u4")
+        order = next(o for o in texts.column("order").to_pylist() if o is not None)
+        numbers = np.argsort(unpack_numbers(zstandard.ZstdDecompressor().decompress(order)), kind="stable")  # of the words as they come
+        length, start = np.empty_like(counts), np.empty_like(counts)
+        length[numbers], start[numbers] = counts, np.cumsum(counts) - counts
+        texts = texts.filter(texts.column("places").is_valid())
+        rows, done, out, size = texts.column("keep").combine_chunks().flatten(), 0, [], 0
+        batches = []
+
+        def cut() -> None:
+            nonlocal done, out, size
+            batches.append(pa.RecordBatch.from_arrays([rows.slice(done, len(out)), pa.array(out, pa.binary())], ["keep", "ids"]))
+            done, out, size = done + len(out), [], 0
+
         for packed in texts.column("places").to_pylist():
-            numbers = unpack_numbers(packed)
-            out.append(_spread(flat, start[numbers], length[numbers]).tobytes())
-        return pa.table({"keep": texts.column("keep"), "ids": pa.array(out, pa.binary())})
+            sizes, body = unpack_parts(packed)
+            for at in np.split(unpack_numbers(body), np.cumsum(sizes)[:-1]):
+                out.append(_spread(flat, start[at], length[at]).tobytes())
+                size += len(out[-1])
+                if size > OUT_BYTES:
+                    cut()
+        cut()
+        return pa.Table.from_batches(batches)
 
     done = words.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(assemble, schema)
     return done.select(*(F.col("keep")[c].alias(c) for c in keep), "ids")

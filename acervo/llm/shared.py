@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch
 
@@ -17,22 +18,64 @@ BATCH_BYTES = 8 << 20
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back: a cut in the lineage that survives lost executors.
-
-    The shuffle files behind it go as soon as it is written.
-    """
-    spark = df.sparkSession
-    path, before = scratch(spark, "llm"), spark.conf.get(CLEAN_UP, None)
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written."""
+    before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEAN_UP)
         else:
             spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet to the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    The shuffle files behind it go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "llm")
+    with _freeing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def stored_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """stored() in buckets of a column, as a table of the session: what is grouped by the column is then read without a shuffle."""
+    spark = df.sparkSession
+    path = scratch(spark, "llm")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with _freeing_shuffles(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    written = spark.table(name)
+    written.written_to = path
+    return written
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Remove the files of frames that stored() gave and that nothing reads any more; other frames and None stay as they are."""
+    for frame in frames:
+        if frame is not None and (path := frame.__dict__.pop("written_to", None)):
+            spark = frame.sparkSession
+            file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def covered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with other names for columns that begin with an underscore, as those of the operators do, and the new name of each column."""
+    names = {}
+    for c in docs.columns:
+        new = c
+        while new.startswith("_") or (new != c and new in docs.columns):
+            new = f"~{new}"
+        names[c] = new
+    return docs.toDF(*names.values()), names
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:

@@ -50,24 +50,44 @@ def test_whole_table(spark, sf):
     assert got == sorted(expected(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
 
 
-def test_many_blocks_give_the_same(spark, sf, monkeypatch):
-    # the function that runs in tasks carries the module's limits by value only where it is pickled by value
+def words_of(row):
+    lengths, body = byte_words.unpack_parts(bytes(row.words))
+    return [body[end - n : end] for n, end in zip(lengths, np.cumsum(lengths))]
+
+
+def test_many_blocks_give_the_same(spark):
     rows = [(i, f"word{i % 7} and {'same ' * (i % 5)}end's\n\n x") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    exploded = byte_words.explode_words(docs, PATTERN, "text", ("doc_id",)).collect()
-    assert len({r.block for r in exploded}) == 7
-    for block in {r.block for r in exploded}:
-        words = [r for r in exploded if r.block == block and r.word is not None]
-        assert sorted(r.number for r in words) == list(range(len({bytes(r.word) for r in words})))
+    exploded = byte_words.explode_words(docs, PATTERN, "text", ("doc_id",), 5).collect()
+    blocks = {r.block for r in exploded}
+    assert len(blocks) == 7
+    for block in blocks:
+        mine = [r for r in exploded if r.block == block]
+        words = [w for r in mine if r.words is not None for w in words_of(r)]
+        assert len(words) == len(set(words))
+        assert sum(r.order is not None for r in mine) == 1
     got = byte_words.encode_texts(docs, byte_vocabulary()).collect()
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: LIB.encode_ordinary(t) for i, t in rows}
 
 
-def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
-    words = spark.createDataFrame([(b, n, bytearray(w)) for b in range(40) for n, w in enumerate([b"the", b" of", b"zzzzqq"])], "block long, number int, word binary")
+def test_blocks_end_where_they_are_full(spark):
+    rows = [(i, f"w{i} " + "filler text " * 60_000) for i in range(40)]  # 28 MB in one partition
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    exploded = byte_words.explode_words(docs, PATTERN, "text", ("doc_id",), 3)
+    assert exploded.select("block").distinct().count() > 1
+    got = byte_words.encode_texts(docs, byte_vocabulary()).collect()
+    assert all(len(r.ids) == 4 * len(LIB.encode_ordinary(rows[r.doc_id][1])) for r in got) and len(got) == 40
+
+
+def test_each_distinct_word_is_encoded_once(spark):
+    body = [b"the", b" of", b"zzzzqq"]
+    packed = bytearray(byte_words.pack_parts(np.array([3, 3, 6]), b"".join(body)))
+    words = spark.createDataFrame([(b, k, packed) for b in range(40) for k in (0, 1)], "block long, bucket int, words binary")
     got = byte_words.encode_words(words, byte_vocabulary()).collect()
-    assert len(got) == 120
-    assert len({(r.number, bytes(r.ids)) for r in got}) == 3
+    assert len(got) == 80 and len({bytes(r.ids) for r in got}) == 1
+    counts, ids = byte_words.unpack_parts(bytes(got[0].ids))
+    ids = byte_words.unpack_numbers(ids)
+    assert [ids[end - n : end].tolist() for n, end in zip(counts, np.cumsum(counts))] == [LIB.encode_ordinary(w.decode()) for w in body]
 
 
 def test_odd_rows(spark):
