@@ -131,4 +131,22 @@ NUMERIC_COLUMNS = [
 ]
 
 # Date layouts tried in order.
-DATE_FORMATS = ["yyyy-MM-dd", "MMM d, yyyy", "d MMM, yyyy", "MMM yyyy", "yyyy/MM/dd", "MM/dd/yyyy"]
+DATE_FORMATS = [
+    "yyyy-MM-dd",
+    "MMM d, yyyy",
+    "d MMM, yyyy",
+    "MMM yyyy",
+    "yyyy/MM/dd",
+    "MM/dd/yyyy",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "MMMM d, yyyy",
+    "d MMMM, yyyy",
+    "MMMM yyyy",
+    "MMM d yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "yyyyMMdd",
+    "yyyy-MM",
+    "yyyy",
+]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -94,6 +95,35 @@ def kolmogorov_tail(x: float) -> float:
     return min(1.0, max(0.0, 2.0 * total))
 
 
+def ks_exact_tail(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) of the two-sided two-sample statistic, exactly, for samples without ties.
+
+    All orders of the pooled values are equally likely; an order is a lattice
+    path from (0, 0) to (n1, n2), and D is the largest |i/n1 - j/n2| on it. The
+    chance that a path to (i, j) has met the bound follows from the two cells
+    before it, in the shares i and j of their sum. Taken as chances, not counts, nothing
+    overflows, and as only positive terms are added, small tails keep their digits. All cells of one
+    length i + j are one array step: n1 * n2 cells, n1 + n2 steps.
+    """
+    bound = round(d * n1 * n2)  # D is a whole multiple of 1 / (n1 * n2)
+    if bound <= 0:
+        return 1.0
+    m, n = min(n1, n2), max(n1, n2)
+    i = np.arange(m + 1)
+    met = np.zeros(m + 1)
+    for length in range(1, m + n + 1):
+        low, high = max(0, length - n), min(length, m)
+        at = i[low : high + 1]
+        up = (length - at) * met[low : high + 1]
+        up[1:] += at[1:] * met[low:high]
+        if low:
+            up[0] += low * met[low - 1]
+        up /= length
+        up[np.abs(at * n - (length - at) * m) >= bound] = 1.0
+        met[low : high + 1] = up
+    return min(1.0, float(met[m]))
+
+
 def _column(fn, *args: Column) -> Column:
     def tail(rows: pd.DataFrame) -> pd.Series:
         cells = rows.itertuples(index=False, name=None)
@@ -131,8 +161,12 @@ def r_p(r: Column, df: Column) -> Column:
     return _column(tail, r, df)
 
 
-def ks_p(d: Column, n1: Column, n2: Column) -> Column:
+def ks_p(d: Column, n1: Column, n2: Column, exact_up_to: int = 0) -> Column:
+    """Two-sided p: exact while the larger sample has at most ``exact_up_to`` values, the limit law beyond."""
+
     def tail(dv: float, a: float, b: float) -> float:
+        if max(a, b) <= exact_up_to:
+            return ks_exact_tail(dv, int(a), int(b))
         return kolmogorov_tail(dv * math.sqrt(a * b / (a + b)))
 
     return _column(tail, d, n1, n2)

@@ -48,7 +48,8 @@ from acervo.functions.scalars import (
     published_by,
 )
 from acervo.session import cut_lineage
-from acervo.operators.tiles import matrix, numbers, strips, tile_map, top_per_row
+from acervo.operators.pruned import CELL_ROWS, best_first, build_boxes
+from acervo.operators.tiles import numbers, strips, top_per_row
 
 KEY = "AppID"
 
@@ -199,20 +200,21 @@ def numeric_points(df: DataFrame) -> DataFrame:
     return raw.withColumns(scaled)
 
 
-def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int = 5) -> DataFrame:
+def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int = 5, box_rows: int = CELL_ROWS) -> DataFrame:
     """Vote of the k nearest training rows; both sides hold x, y, z.
 
     Rows at the same point with the same label are one cell with a count, so
     heavy repetition costs nothing. Equal distances are taken in point, then
-    label order; an equal vote goes to the first label.
+    label order; an equal vote goes to the first label. Cells lie in boxes of about ``box_rows``; a
+    point visits the nearest ones first, and none farther away than its k-th neighbour so far.
     """
     cells = train.groupBy("x", "y", "z", F.col(label).alias("rotulo")).agg(F.count("*").alias("n"))
-    cells = cut_lineage(cells.withColumn("chave", F.xxhash64("x", "y", "z", "rotulo")))
-    asked = cut_lineage(test.select("x", "y", "z").distinct().withColumn("q", F.xxhash64("x", "y", "z")))
+    boxes = build_boxes(cells.withColumn("vetor", F.array("x", "y", "z")), ("x", "y", "z"), box_rows)
+    asked = cut_lineage(test.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")).distinct())
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         c = c.sort_by([(n, "ascending") for n in ("x", "y", "z", "rotulo")])
-        qp = [numbers(q, n) for n in ("x", "y", "z")]
+        qp = [numbers(q, n) for n in ("qx", "qy", "qz")]
         cp = [numbers(c, n) for n in ("x", "y", "z")]
         picks, dist = [], []
         for part in strips(q.num_rows, c.num_rows) if c.num_rows else ():
@@ -228,20 +230,17 @@ def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int = 5) -> D
             "qx": pa.array(qp[0][rows], pa.float64()),
             "qy": pa.array(qp[1][rows], pa.float64()),
             "qz": pa.array(qp[2][rows], pa.float64()),
-            "dist": pa.array(np.concatenate(dist) if dist else [], pa.float64()),
+            "score": pa.array(-np.concatenate(dist) if dist else [], pa.float64()),
             **{n: near.column(n) for n in ("x", "y", "z", "rotulo", "n")},
         })
 
-    near = tile_map(
-        asked, cells, "q", "chave", kernel,
-        "qx double, qy double, qz double, dist double, x double, y double, z double, rotulo string, n bigint",
-    )
     # each cell holds at least one row, so the k nearest cells of a point hold its k nearest rows
-    point = W.partitionBy("qx", "qy", "qz").orderBy("dist", "x", "y", "z", "rotulo")
+    schema = "qx double, qy double, qz double, score double, x double, y double, z double, rotulo string, n bigint"
+    order = [F.desc("score"), *[F.col(c) for c in ("x", "y", "z", "rotulo")]]
+    near = best_first(asked.withColumn("vetor", F.array("qx", "qy", "qz")), ["qx", "qy", "qz"], boxes, kernel, schema, order, k)
+    point = W.partitionBy("qx", "qy", "qz").orderBy("rank")
     taken = (
-        near.withColumn("o", F.row_number().over(point))
-        .where(F.col("o") <= k)
-        .withColumn("antes", F.sum("n").over(point.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))
+        near.withColumn("antes", F.sum("n").over(point.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))
         .withColumn("votos", F.least(F.col("n"), F.lit(k) - F.col("antes")))
         .where("votos > 0")
     )
@@ -252,71 +251,74 @@ def knn_classify(train: DataFrame, test: DataFrame, label: str, k: int = 5) -> D
     return test.select(KEY, "x", "y", "z").join(verdict, ["x", "y", "z"]).select(KEY, "previsto")
 
 
+CHAMPIONS = 16  # heaviest known texts of a word that give a first score
+SIM_SLACK = 1e-8  # similarities are compared to nine places
+
+
 def cosine_nearest(unknown: DataFrame, known: DataFrame, text: str, payload: str) -> DataFrame:
     """``payload`` of the known row whose ``text`` is most similar; (AppID, previsto).
 
-    All distinct known texts are compared, over all their words. Equal
+    All distinct known texts are searched, over all their words. Equal
     similarity, also of texts that share no word with any, goes to the known row with the smallest id.
+
+    Postings are rows (word, known text, weight). The heaviest ones of each word
+    give an asked text a similarity that its best match reaches at least. Its words are taken from the rarest
+    on; once the words that are left cannot reach that similarity alone, no match needs them first. So
+    only those first words meet their postings, of these only the ones heavy enough, and what remains is verified word by word.
     """
     blank = F.coalesce(F.col(text), F.lit(""))
     chosen = known.where(F.col(payload).isNotNull()).select(KEY, blank.alias("_text"), F.col(payload).alias("previsto"))
     asked = unknown.select(KEY, blank.alias("_text"))
     cells = cut_lineage(chosen.groupBy("_text").agg(F.min_by("previsto", KEY).alias("previsto"), F.min(KEY).alias("id"), F.count("*").alias("m")))
+    words = F.filter(F.regexp_extract_all(F.lower("_text"), F.lit(r"((?U)\b\w\w+\b)")), lambda w: w != "")
 
-    def weighted(texts: DataFrame, name: str, spare: Sequence[str] = ()) -> DataFrame:
-        """Word counts of distinct texts times their words' weights, scaled to length 1."""
-        words = F.filter(F.regexp_extract_all(F.lower("_text"), F.lit(r"((?U)\b\w\w+\b)")), lambda w: w != "")
-        counts = texts.select("_text", *spare, F.explode(words).alias("w")).groupBy("_text", *spare, "w").agg(F.count("*").alias("tf"))
+    def weighted(texts: DataFrame, name: str) -> DataFrame:
+        """Word counts of distinct texts times their words' weights, scaled to length 1: name, w, v."""
+        counts = texts.select(name, F.explode(words).alias("w")).groupBy(name, "w").agg(F.count("*").alias("tf"))
         rows = counts.join(weights, "w").withColumn("v", F.col("tf") * F.col("f"))
-        length = rows.groupBy("_text").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
-        return rows.join(length, "_text").select(F.col("_text").alias(name), *spare, "w", (F.col("v") / F.col("l")).alias("v"))
+        length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(name)))  # of the words of one text
+        return rows.select(name, "w", (F.col("v") / length).alias("v"))
 
     # inverse document frequencies over the known rows, from their distinct texts
-    listed = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"((?U)\b\w\w+\b)")))
-    freq = cells.select("m", F.explode(listed).alias("w")).groupBy("w").agg(F.sum("m").alias("df"))
+    freq = cells.select("m", F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.sum("m").alias("df"))
     total = cells.agg(F.sum("m").alias("n"))  # one row
     weights = freq.join(F.broadcast(total)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("f"))
-
-    entries = F.sort_array(F.collect_list(F.struct("w", "v"))).alias("palavras")
-    have = weighted(cells, "k", ("id", "previsto")).groupBy("id", "previsto").agg(entries)
-    want = weighted(asked.select("_text").distinct(), "t").groupBy("t").agg(entries)
-
-    def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
-        i = i.sort_by("id")
-        places: dict[str, list] = {}
-        for n, words in enumerate(i.column("palavras").to_pylist()):
-            for e in words:
-                places.setdefault(e["w"], []).append((n, e["v"]))
-        index = {w: tuple(np.array(x) for x in zip(*p)) for w, p in places.items()}
-        asks, picks = q.column("palavras").to_pylist(), []
-        for part in strips(len(asks), i.num_rows) if i.num_rows else ():
-            s = np.zeros((part.stop - part.start, i.num_rows))
-            for n, words in enumerate(asks[part]):
-                for e in words:
-                    if e["w"] in index:
-                        at, v = index[e["w"]]
-                        s[n, at] += e["v"] * v
-            s = np.round(s, 9)
-            rows, at = top_per_row(s, 1)
-            picks.append((rows + part.start, at, s[rows, at]))
-        rows, at = (np.concatenate([p[k] for p in picks]) if picks else np.empty(0, np.int64) for k in (0, 1))
-        near = i.take(pa.array(at, pa.int64()))
-        return pa.table({
-            "t": q.column("t").take(pa.array(rows, pa.int64())),
-            "sim": pa.array(np.concatenate([p[2] for p in picks]) if picks else [], pa.float64()),
-            "id": near.column("id"),
-            "previsto": near.column("previsto"),
-        })
-
-    near = tile_map(cut_lineage(want), cut_lineage(have), "t", "id", kernel, "t string, sim double, id bigint, previsto string")
-    best = near.where("sim > 0").groupBy("t").agg(F.min_by("previsto", F.struct(-F.col("sim"), F.col("id"))).alias("near"))
+    postings = cut_lineage(weighted(cells, "id"))
+    texts = asked.groupBy("_text").agg(F.count("*").alias("n")).withColumn("t", F.md5("_text"))
+    want = cut_lineage(_from_the_rarest(weighted(texts, "t"), postings))
+
+    heaviest = postings.withColumn("o", F.row_number().over(W.partitionBy("w").orderBy(F.desc("v"), "id"))).where(F.col("o") <= CHAMPIONS)
+    first = want.select("t", "w", F.col("v").alias("a")).join(heaviest, "w").groupBy("t", "id").agg(F.sum(F.col("a") * F.col("v")).alias("sim"))
+    reached = first.groupBy("t").agg((F.max("sim") - SIM_SLACK).alias("reached"))  # shared words only add to it
+
+    prefix = want.join(reached, "t").where(F.col("rest") >= F.col("reached"))
+    could = F.col("a") * F.col("v") + F.col("after")
+    pairs = prefix.select("t", "w", F.col("v").alias("a"), "after", "reached").join(postings, "w").where(could >= F.col("reached")).select("t", "id").distinct()
+    by_word = want.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("quer"))  # the words of one text
+    entries = postings.groupBy("id").agg(F.collect_list(F.struct("w", "v")).alias("tem"))
+    product = F.aggregate("tem", F.lit(0.0), lambda s, e: s + e["v"] * F.coalesce(F.try_element_at("quer", e["w"]), F.lit(0.0)))
+    verified = pairs.join(by_word, "t").join(entries, "id").select("t", "id", F.round(product, 9).alias("sim")).where("sim > 0")
+    winner = verified.groupBy("t").agg(F.min_by("id", F.struct(-F.col("sim"), F.col("id"))).alias("id"))
+    best = winner.join(cells.select("id", F.col("previsto").alias("near")), "id").select("t", "near")
     plain = cells.agg(F.min_by("previsto", "id").alias("plain"))  # one row
-    counts = asked.groupBy("_text").agg(F.count("*").alias("n"))
-    dim = counts.join(best, F.col("_text") == F.col("t"), "left").join(F.broadcast(plain))
-    dim = dim.select("_text", F.coalesce("near", "plain").alias("previsto"), "n")
+    dim = texts.join(best, "t", "left").join(F.broadcast(plain)).select("_text", F.coalesce("near", "plain").alias("previsto"), "n")
     return skew_lookup(asked, dim, "_text", ["previsto"], F.col(KEY)).select(KEY, "previsto")
 
 
+def _from_the_rarest(vectors: DataFrame, postings: DataFrame) -> DataFrame:
+    """Vectors (t, w, v) with bounds of what a known text can gain from a word and the more frequent ones (``rest``) and from those alone (``after``).
+
+    Known vectors have length 1, so the words' own length is a bound, and so is their product with each word's largest weight.
+    """
+    largest = postings.groupBy("w").agg(F.max("v").alias("most"), F.count("*").alias("df"))
+    rows = vectors.join(largest, "w")
+    onward = W.partitionBy("t").orderBy(F.desc("df"), F.desc("w")).rowsBetween(W.unboundedPreceding, W.currentRow)  # the words of one text
+    rest = F.least(F.sqrt(F.sum(F.col("v") * F.col("v")).over(onward)), F.sum(F.col("v") * F.col("most")).over(onward))
+    rows = rows.withColumn("rest", rest)
+    back = W.partitionBy("t").orderBy(F.desc("df"), F.desc("w"))
+    return rows.withColumn("after", F.coalesce(F.lag("rest").over(back), F.lit(0.0))).select("t", "w", "v", "rest", "after")
+
+
 def validation_mark(target: str, share: float = 0.3, seed: int = 42) -> Column:
     """Whether a row is one of the known rows, a seeded share of all of them, that techniques are checked on."""
     drawn = draw(F.col(KEY), seed) < int(share * DRAWS)

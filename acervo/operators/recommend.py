@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from acervo.fixed_values import (
@@ -20,6 +19,7 @@ from acervo.fixed_values import (
 from acervo.functions.lookup import skew_lookup
 from acervo.functions.prefix import running_totals
 from acervo.functions.sampling import PAIR_DRAWS, column_term, row_terms
+from acervo.operators.pruned import CELL_ROWS, best_pairs, build_cells, map_reaching
 from acervo.operators.tiles import matrix, numbers, strips, tile_map, top_per_row
 from acervo.session import cut_lineage
 
@@ -128,8 +128,22 @@ def _top_parts(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return tile_map(users, items, "usuario_id", "id", kernel, schema)
 
 
-def top_items(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The ``n`` best items of every user, ties by item id."""
+def _reaching(
+    users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n: int, floor: float, cell_rows: int
+) -> DataFrame:
+    """``kernel`` over blocks that hold every user's ``n`` best items and all items of score ``floor`` or more.
+
+    A catalogue of one cell leaves nothing out, so it is taken in plain blocks.
+    """
+    if items.count() <= cell_rows:
+        return tile_map(users, items, "usuario_id", "id", kernel, schema)
+    return map_reaching(users, build_cells(items, cell_rows), kernel, schema, n, floor)
+
+
+def top_items(users: DataFrame, items: DataFrame, n: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The ``n`` best items of every user, ties by item id. Larger catalogues are searched cell by cell, best bounds first."""
+    if items.count() > cell_rows:
+        return best_pairs(users, build_cells(items, cell_rows), n)
     best = W.partitionBy("usuario_id").orderBy(F.desc("score"), "item")
     parts = _top_parts(users, items, n).drop("lo", "hi")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
@@ -149,7 +163,7 @@ def filter_relax(scores: DataFrame, threshold: float, k: int) -> DataFrame:
     return scores.where(F.col("score") >= threshold).select("usuario_id", "item", "score").unionByName(relaxed)
 
 
-def items_above(users: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame:
+def items_above(users: DataFrame, items: DataFrame, threshold: float, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All items at or above the threshold for every user, out of all scores; where none is, the best 2k."""
     u_type, i_type, ids = _id_types(users, items)
 
@@ -171,12 +185,43 @@ def items_above(users: DataFrame, items: DataFrame, threshold: float, k: int) ->
             cols["score"].append(s[rows, cols_at])
         return _table(cols, ids | {"score": pa.float64()})
 
-    parts = tile_map(users, items, "usuario_id", "id", kernel, f"usuario_id {u_type}, item {i_type}, score double")
+    parts = _reaching(users, items, kernel, f"usuario_id {u_type}, item {i_type}, score double", 2 * k, threshold, cell_rows)
     return filter_relax(cut_lineage(parts), threshold, k)
 
 
+def threshold_lists(users: DataFrame, items: DataFrame, threshold: float, k: int, limit: int = 50, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """For every user the number of items at or above the threshold (``n_valid``) and the best ``limit`` of them; where none is, the best 2k.
+
+    ``items_above`` gives all these items, as many rows as there are; here a user has ``limit`` or 2k rows at most.
+    """
+    u_type, i_type, ids = _id_types(users, items)
+    most = max(limit, 2 * k)
+
+    def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
+        i = _sorted_items(i)
+        uid, iid = numbers(q, "usuario_id"), numbers(i, "id")
+        qm, im = matrix(q, "vetor"), matrix(i, "vetor")
+        cols: dict[str, list] = {c: [] for c in ("usuario_id", "item", "score", "n")}
+        for part in strips(len(uid), len(iid)) if len(iid) else ():
+            s = qm[part] @ im.T
+            rows, at = top_per_row(s, most)
+            valid = (s >= threshold).sum(axis=1)
+            first = np.concatenate([[True], rows[1:] != rows[:-1]])  # the block's number of valid items goes with the user's first row
+            for c, v in zip(cols, (uid[part][rows], iid[at], s[rows, at], np.where(first, valid[rows], 0))):
+                cols[c].append(v)
+        return _table(cols, ids | {"score": pa.float64()})
+
+    schema = f"usuario_id {u_type}, item {i_type}, score double, n bigint"
+    found = cut_lineage(_reaching(users, items, kernel, schema, 2 * k, threshold, cell_rows))
+    counts = found.groupBy("usuario_id").agg(F.sum("n").alias("n_valid"))
+    mine = W.partitionBy("usuario_id").orderBy(F.desc("score"), "item")
+    top = found.drop("n").withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= most).join(counts, "usuario_id")
+    listed = (F.col("score") >= threshold) & (F.col("rank") <= limit) | (F.col("n_valid") == 0) & (F.col("rank") <= 2 * k)
+    return top.where(listed).select("usuario_id", "rank", "item", "score", "n_valid")
+
+
 def recommend_modes(
-    users: DataFrame, items: DataFrame, k: int = 10, modes: Sequence[str] | None = None, seed: int = 42
+    users: DataFrame, items: DataFrame, k: int = 10, modes: Sequence[str] | None = None, seed: int = 42, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """k slots per user and mode: the best valid items, then seeded exploration picks.
 
@@ -227,9 +272,9 @@ def recommend_modes(
                     emit(u[rows], 2, number[m], iid[at], s[rows, at], drawn[rows, at], 0)
         return _table(cols, ids | {"score": pa.float64()})
 
-    found = cut_lineage(tile_map(  # scored once, read by kind
-        users, items, "usuario_id", "id", kernel,
-        f"usuario_id {u_type}, kind bigint, m bigint, item {i_type}, score double, sorteio bigint, n bigint",
+    found = cut_lineage(_reaching(  # scored once, read by kind
+        users, items, kernel, f"usuario_id {u_type}, kind bigint, m bigint, item {i_type}, score double, sorteio bigint, n bigint",
+        2 * k, min(threshold for threshold, _ in slots.values()), cell_rows,
     ))
     table = F.broadcast(  # one row per mode
         mode_table(users.sparkSession, k)
@@ -299,9 +344,7 @@ def similar_games(games: DataFrame, bridge: DataFrame, k: int = 10) -> DataFrame
 
     Games with the same category set are interchangeable apart from their
     rating, so sets are compared instead of games: per set only the k + 1 best
-    games can matter, and per set only the k + 1 best partner sets. Sets are
-    compared block-wise; no pair of games is written that is not a result
-    candidate.
+    games can matter, and per set only the k + 1 best partner sets.
     """
     keep = k + 1
     cats = bridge.groupBy(F.col("jogo_id").alias("id")).agg(F.array_sort(F.collect_set("nome")).alias("cats"))
@@ -318,45 +361,11 @@ def similar_games(games: DataFrame, bridge: DataFrame, k: int = 10) -> DataFrame
         )
         .select("sig", "cats", "jogos", F.col("jogos")[0]["nota"].alias("nota"), F.col("jogos")[0]["id"].alias("id"))
     )
-
-    def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
-        i = i.sort_by([("nota", "descending"), ("id", "ascending")])
-        qs, is_ = q.column("sig").to_numpy(), i.column("sig").to_numpy()
-        qc, ic = q.column("cats").combine_chunks(), i.column("cats").combine_chunks()
-        vocab = pc.unique(pa.concat_arrays([qc.flatten(), ic.flatten()]))
-
-        def onehot(lists) -> np.ndarray:
-            out = np.zeros((len(lists), len(vocab)), dtype=np.float32)
-            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-            out[row, pc.index_in(lists.flatten(), vocab).to_numpy()] = 1.0
-            return out
-
-        a, b = onehot(qc), onehot(ic)
-        left, right, common = [], [], []
-        for part in strips(len(qs), len(is_)) if len(is_) else ():
-            s = a[part] @ b.T
-            rows, at = top_per_row(s, keep)
-            shared = s[rows, at]
-            ok = shared > 0
-            left.append(qs[part][rows[ok]])
-            right.append(is_[at[ok]])
-            common.append(shared[ok].astype(np.int64))
-        return pa.table({
-            "sig": pa.array(np.concatenate(left) if left else [], pa.string()),
-            "par": pa.array(np.concatenate(right) if right else [], pa.string()),
-            "comuns": pa.array(np.concatenate(common) if common else [], pa.int64()),
-        })
-
-    pairs = tile_map(
-        leaders.select("sig", "cats"), leaders.select("sig", "cats", "nota", "id"), "sig", "sig", kernel,
-        "sig string, par string, comuns bigint",
-    )
-    partner = leaders.select(F.col("sig").alias("par"), "jogos", F.col("nota").alias("n1"), F.col("id").alias("i1"))
+    partner = leaders.select(F.col("sig").alias("par"), "jogos")
     per_sig = W.partitionBy("sig")
     near = (
-        pairs.join(partner, "par")
-        .withColumn("place", F.row_number().over(per_sig.orderBy(F.desc("comuns"), F.desc("n1"), "i1")))
-        .where(F.col("place") <= keep)
+        similar_sets(leaders, keep)
+        .join(partner, "par")
         .select("sig", "comuns", F.explode("jogos").alias("g"))
         .select("sig", "comuns", F.col("g.id").alias("id"), F.col("g.nota").alias("nota"))
         .withColumn("place", F.row_number().over(per_sig.orderBy(F.desc("comuns"), F.desc("nota"), "id")))
@@ -374,6 +383,46 @@ def similar_games(games: DataFrame, bridge: DataFrame, k: int = 10) -> DataFrame
     )
 
 
+def similar_sets(leaders: DataFrame, keep: int) -> DataFrame:
+    """For every set the ``keep`` sets with most common members, then best ``nota``, then smallest ``id``: sig, par, comuns.
+
+    ``leaders`` has a row for each distinct set: sig, cats, nota, id. An inverted index holds,
+    for every member, the sets with it. The ``keep`` best rated sets of each member are counted first. They hold
+    all that share a single member and can win, and give each set a number of common
+    members (``least``) and a rating that its list reaches already. A set that does better shares at
+    least two members, and so many that the two sets meet within their rarest
+    members: all but the last ``least`` - 1 of each, in one order of the members by frequency. Only these meet, and frequent
+    members are the last of their sets; what meets is counted exactly.
+    """
+    flat = leaders.select("sig", "nota", "id", F.size("cats").alias("m"), F.explode("cats").alias("c"))
+    often = flat.groupBy("c").agg(F.count("*").alias("df"))
+    from_rarest = W.partitionBy("sig").orderBy("df", "c")  # the members of one set
+    postings = cut_lineage(flat.join(often, "c").withColumn("pos", F.row_number().over(from_rarest)).drop("df"))
+    sets = leaders.select("sig", "cats")
+    their = leaders.select(F.col("sig").alias("par"), F.col("cats").alias("outros"), "nota", "id")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("sig", "par").distinct().join(sets, "sig").join(their, "par")
+        return both.select("sig", "par", F.size(F.array_intersect("cats", "outros")).cast("bigint").alias("comuns"), "nota", "id")
+
+    order = [F.desc("comuns"), F.desc("nota"), F.col("id")]
+    top = W.partitionBy("sig").orderBy(*order)
+    best_rated = W.partitionBy("c").orderBy(F.desc("nota"), "id")
+    champions = postings.withColumn("o", F.row_number().over(best_rated)).where(F.col("o") <= keep).select("c", F.col("sig").alias("par"))
+    first = counted(postings.select("sig", "c").join(champions, "c")).withColumn("o", F.row_number().over(top)).where(F.col("o") <= keep)
+    first = cut_lineage(first)
+    reached = first.where(F.col("o") == keep).select("sig", F.col("comuns").alias("least"), F.col("nota").alias("floor"))
+    asking = postings.join(reached, "sig", "left").select(
+        "sig", "c", "m", "pos", F.greatest(F.coalesce("least", F.lit(0)), F.lit(2)).alias("need"), F.coalesce("least", F.lit(0)).alias("least"),
+        F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    asking = asking.where(F.col("m") - F.col("pos") + 1 >= F.col("need"))
+    other = postings.select("c", F.col("sig").alias("par"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("nota").alias("nota2"))
+    could = 1 + F.least(F.col("m") - F.col("pos"), F.col("m2") - F.col("pos2"))  # if this is the first member they share
+    meets = (could >= F.col("need")) & ((could > F.col("least")) | (F.col("nota2") >= F.col("floor")))
+    found = counted(asking.join(other, "c").where(meets)).unionByName(first.drop("o")).distinct()
+    return found.withColumn("o", F.row_number().over(top)).where(F.col("o") <= keep).select("sig", "par", "comuns")
+
+
 def holdout_latest(sessions: DataFrame, frac: float = 0.2) -> DataFrame:
     """Games in the latest ``frac`` of each user's sessions (at least one session).
 
@@ -391,7 +440,18 @@ def holdout_latest(sessions: DataFrame, frac: float = 0.2) -> DataFrame:
     return kept.select("usuario_id", F.col("jogo_id").alias("item")).distinct()
 
 
-def best_thresholds(users: DataFrame, items: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
+def _extremes(users: DataFrame, items: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """The ``k`` best items of every user with the user's least and largest score of all (``lo``, ``hi``, at least on some row)."""
+    if items.count() <= cell_rows:
+        return _top_parts(users, items, k)
+    cells = build_cells(items, cell_rows)
+    top = best_pairs(users, cells, k).select("usuario_id", "item", "score", F.col("score").alias("hi"))
+    against = users.withColumn("vetor", F.transform("vetor", lambda x: -x))
+    least = best_pairs(against, cells, 1).select("usuario_id", (-F.col("score")).alias("lo"))
+    return top.join(least, "usuario_id")
+
+
+def best_thresholds(users: DataFrame, items: DataFrame, truth: DataFrame, k: int = 10, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The candidate threshold with the best precision of each user with a truth set.
 
     Scores are scaled to 0..1 within the user. The items at or above a
@@ -402,7 +462,7 @@ def best_thresholds(users: DataFrame, items: DataFrame, truth: DataFrame, k: int
     # k rows per user and item block: the user's window is short
     mine = W.partitionBy("usuario_id")
     scaled = (
-        _top_parts(users, items, k)
+        _extremes(users, items, k, cell_rows)
         .withColumn("menor", F.min("lo").over(mine))
         .withColumn("maior", F.max("hi").over(mine))
         .withColumn("place", F.row_number().over(mine.orderBy(F.desc("score"), "item")))

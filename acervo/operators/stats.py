@@ -180,14 +180,18 @@ def _ks_one(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     ).select(F.lit(column).alias("coluna"), "d", "n1", "n2")
 
 
-def ks_2samp(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+KS_EXACT = 10_000
+
+
+def ks_2samp(a: DataFrame, b: DataFrame, columns: Sequence[str], exact_up_to: int = KS_EXACT) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per column; ``passou`` means p > 0.05.
 
-    ``p`` is that of the limit law, also for small samples.
+    ``p`` is exact while the larger sample has at most ``exact_up_to`` values
+    (n1 * n2 cells of work on the one result row) and that of the limit law beyond.
     """
     parts = [_ks_one(a, b, c) for c in columns]
     out = reduce(DataFrame.unionByName, parts).where("n1 > 0 AND n2 > 0")
-    out = out.withColumn("p", ks_p(F.col("d"), F.col("n1"), F.col("n2")))
+    out = out.withColumn("p", ks_p(F.col("d"), F.col("n1"), F.col("n2"), exact_up_to))
     return out.withColumn("passou", F.col("p") > 0.05)
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acervo.operators import features as FE, models as M, ranker as K, recommend as R
-from acervo.plans import bindings as B
+from acervo.operators import features as FE, generator as G, models as M, ranker as K, recommend as R
+from acervo.plans import bindings as B, recommend_queries as R_QUERIES
 from acervo.plans.bindings import AS_OF, with_views
 from acervo.plans.market_queries import r
 from acervo.plans.registry import register
@@ -169,6 +169,18 @@ def _(s, d):
     return M.threshold_report(out, label="target", score="probabilidade")
 
 
+@register("quality_forest_rows", "M-01 M-02", with_views(f"""
+    SELECT target, round(count(*) * 0.2::DOUBLE)::BIGINT AS linhas, 0::BIGINT AS incoerentes
+    FROM (SELECT (avaliacao_media >= {GOOD})::INT AS target FROM games) GROUP BY target""", "games"))
+def _(s, d):
+    """Predictions of the held-out fifth of each class; none with a probability outside 0..1 or a label that its probability denies."""
+    rows = _labelled(s, d)
+    out = M.predict_quality(M.train_quality_rf(rows.where("split = 'train'"), trees=20, depth=5), rows.where("split = 'test'"))
+    p = F.col("probabilidade")
+    wrong = ~p.between(0.0, 1.0) | ((p > 0.5) & (F.col("previsto") == 0)) | ((p < 0.5) & (F.col("previsto") == 1))
+    return out.groupBy("target").agg(F.count("*").alias("linhas"), F.count_if(wrong).alias("incoerentes"))
+
+
 @register("forest_search", "M-12")
 def _(s, d):
     return M.tune_rf(_labelled(s, d).where("split = 'train'"))
@@ -213,6 +225,15 @@ def _(s, d):
     return items
 
 
+@register("svd_orthonormal", "M-08", with_views("""
+    SELECT count(DISTINCT jogo_id) AS itens, 10::BIGINT AS eixos, 0.0::DOUBLE AS desvio FROM sessions""", "sessions"))
+def _(s, d):
+    """Item vectors: one for each played item, and their axes have length 1 and right angles."""
+    _users, items, _s = K.train_svd(FE.interactions(B.sessions(s, d)), k=10)
+    apart = K.axis_deviation(items)
+    return items.agg(F.count("*").alias("itens"), F.max(F.size("vetor")).cast("bigint").alias("eixos"), F.round(F.lit(apart) + 0.0, 6).alias("desvio"))
+
+
 @register("svd_explained_variance", "M-08")
 def _(s, d):
     edges = FE.interactions(B.sessions(s, d))
@@ -242,6 +263,20 @@ def _(s, d):
     return _threshold_rows(s, d)
 
 
+@register("threshold_split_sizes", "M-10 O-08", with_views(f"""
+    SELECT best_threshold, count(*) AS linhas, round(count(*) * 0.2::DOUBLE)::BIGINT AS teste,
+           round((count(*) - round(count(*) * 0.2::DOUBLE)) * 0.125::DOUBLE)::BIGINT AS validacao
+    FROM ({R_QUERIES.BEST}) AS alvo JOIN users ON users.id = alvo.usuario_id GROUP BY best_threshold""", "emb_users", "emb_items", "sessions", "users"))
+def _(s, d):
+    """Rows of the training set by best threshold, and how many of them are held out for test and validation."""
+    known = B.emb_users(s, d).withColumnRenamed("id", "usuario_id")
+    targets = R.best_thresholds(known, B.emb_items(s, d), R.holdout_latest(B.sessions(s, d)))
+    condition = FE.user_condition(B.sessions(s, d), B.games(s, d), B.game_categories(s, d), B.users(s, d), B.as_of())
+    rows = M.threshold_dataset(condition, targets)
+    return rows.groupBy("best_threshold").agg(
+        F.count("*").alias("linhas"), F.count_if(F.col("split") == "test").alias("teste"), F.count_if(F.col("split") == "val").alias("validacao"))
+
+
 @register("threshold_model", "M-11")
 def _(s, d):
     from acervo.session import cut_lineage
@@ -250,6 +285,38 @@ def _(s, d):
     return M.predict_threshold(M.train_threshold_model(rows.where("split = 'train'")), rows)
 
 
+@register("threshold_generator", "M-11")
+def _(s, d):
+    """Mean absolute error of the conditional generator beside that of the boosted trees, by split."""
+    from acervo.session import cut_lineage
+
+    rows = cut_lineage(_threshold_rows(s, d))
+    train = rows.where("split = 'train'")
+    drawn = M.threshold_error(G.generate_threshold(G.train_generator(train), rows)).withColumn("modelo", F.lit("gerador"))
+    trees = M.threshold_error(M.predict_threshold(M.train_threshold_model(train), rows)).withColumn("modelo", F.lit("arvores"))
+    return drawn.unionByName(trees)
+
+
+@register("user_clusters_shape", "M-06", with_views("""
+    SELECT count(DISTINCT usuario_id) AS usuarios, true AS grupos_no_intervalo, true AS silhueta_no_intervalo FROM sessions""", "sessions"))
+def _(s, d):
+    """Every user is in one cluster, of 3 to 10, and the silhouette of the choice lies between -1 and 1."""
+    clusters, k, score = M.user_clusters(_cluster_features(s, d))
+    out = clusters.agg(F.count("*").alias("usuarios"), F.count_distinct("cluster").alias("grupos"))
+    return out.select("usuarios", F.col("grupos").between(3, k).alias("grupos_no_intervalo"), F.lit(k <= 10 and -1.0 <= score <= 1.0).alias("silhueta_no_intervalo"))
+
+
+@register("cascade_by_rating", "R-08", with_views(R_QUERIES.LISTS + f"""
+    SELECT lists.usuario_id, lists.rank::INT AS rank, lists.item, CASE WHEN lists.usuario_id % 2 = 0 THEN lists.usuario_id % 3 END AS cluster
+    FROM lists WHERE modo = 'equilibrado' AND item IN (SELECT id FROM games WHERE avaliacao_media >= {GOOD})""", *R_QUERIES.VIEWS, "games"))
+def _(s, d):
+    """The cascade with games of a good rating for those predicted good, and archetypes of every second user."""
+    good = FE.good_game_label(B.games(s, d), GOOD).where("target = 1").select(F.col("id").alias("item"))
+    lists = R.recommend(R.with_cold_start(B.emb_requests(s, d), B.emb_users(s, d)), B.emb_items(s, d), 10)
+    clusters = B.emb_requests(s, d).where("usuario_id % 2 = 0").select("usuario_id", (F.col("usuario_id") % 3).alias("cluster"))
+    return R.cascade(lists, good, clusters).select("usuario_id", "rank", "item", "cluster")
+
+
 @register("cascade", "R-08")
 def _(s, d):
     rows = _labelled(s, d)
@@ -299,6 +366,6 @@ def _(s, d):
 @register("stream_engagement", "ST-03 S-08", with_views("""
     SELECT usuario_id, count(*) AS sessoes, round(sum(minutos), 4) AS minutos, max(fim) AS ultima_sessao FROM session_stream GROUP BY 1""", "session_stream"))
 def _(s, d):
-    path, checkpoint = ST.fresh_paths(s, "engagement")
-    ST.run_engagement(_stream(s, d), path, checkpoint)
-    return ST.current_engagement(s, path).withColumn("minutos", r("minutos", 4))
+    _path, checkpoint = ST.fresh_paths(s, "engagement")
+    ST.run_engagement(_stream(s, d), checkpoint)
+    return ST.current_engagement(s, checkpoint).withColumn("minutos", r("minutos", 4))

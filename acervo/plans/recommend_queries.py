@@ -101,6 +101,18 @@ def _(s, d):
     return R.items_above(_known(s, d).withColumn("vetor", third), B.emb_items(s, d), 0.35, 5).select("usuario_id", "item", r("score"))
 
 
+@register("threshold_lists", "R-05", with_views("""
+    WITH sc AS (SELECT u.id AS usuario_id, i.id AS item, list_dot_product(u.vetor, i.vetor) / 3 AS score,
+                row_number() OVER (PARTITION BY u.id ORDER BY list_dot_product(u.vetor, i.vetor) / 3 DESC, i.id) AS rank
+                FROM emb_users u, emb_items i),
+    b AS (SELECT *, count(*) FILTER (WHERE score >= 0.35) OVER (PARTITION BY usuario_id) AS n_valid FROM sc)
+    SELECT usuario_id, rank::INT AS rank, item, round(score, 6) AS score, n_valid FROM b
+    WHERE (score >= 0.35 AND rank <= 20) OR (n_valid = 0 AND rank <= 10)""", *VIEWS))
+def _(s, d):
+    third = F.transform("vetor", lambda x: x / 3)
+    return R.threshold_lists(_known(s, d).withColumn("vetor", third), B.emb_items(s, d), 0.35, 5, 20).withColumn("score", r("score"))
+
+
 @register("recommendations", "R-06 R-02 R-04 R-05 W-01 O-09", with_views(
     LISTS + "SELECT usuario_id, modo, rank::INT AS rank, item, round(score, 6) AS score, origem FROM lists", *VIEWS))
 def _(s, d):
@@ -153,7 +165,7 @@ def _(s, d):
     return R.holdout_latest(B.sessions(s, d))
 
 
-@register("best_thresholds", "M-09", with_views(f"""WITH {HOLD},
+BEST = f"""WITH {HOLD},
     sc AS (SELECT u.id AS usuario_id, i.id AS item, list_dot_product(u.vetor, i.vetor) AS s FROM emb_users u, emb_items i),
     nm AS (SELECT usuario_id, item, (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) AS s FROM sc WINDOW w AS (PARTITION BY usuario_id)),
     tt AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS t),
@@ -163,7 +175,10 @@ def _(s, d):
            LEFT JOIN hold h ON h.usuario_id = p.usuario_id AND h.item = p.item GROUP BY 1, 2)
     SELECT usuario_id, t AS best_threshold, round(p, 6) AS best_precision FROM pr
     WHERE usuario_id IN (SELECT usuario_id FROM hold)
-    QUALIFY row_number() OVER (PARTITION BY usuario_id ORDER BY p DESC, t) = 1""", "emb_users", "emb_items", "sessions"))
+    QUALIFY row_number() OVER (PARTITION BY usuario_id ORDER BY p DESC, t) = 1"""
+
+
+@register("best_thresholds", "M-09", with_views(BEST, "emb_users", "emb_items", "sessions"))
 def _(s, d):
     out = R.best_thresholds(_known(s, d), B.emb_items(s, d), R.holdout_latest(B.sessions(s, d)))
     return out.select("usuario_id", "best_threshold", r("best_precision"))

@@ -13,7 +13,7 @@ from acervo.plans.market_queries import r
 from acervo.plans.model_queries import ENG, _labelled
 from acervo.plans.registry import register
 from acervo.session import scratch
-from acervo.sources import tables as S
+from acervo.sources import summary as SU, tables as S
 
 
 @register("csv_round_trip", "S-01 S-04", "SELECT doc_id, md5(text) AS digest, lang, source FROM documents")
@@ -59,6 +59,19 @@ def _(s, d):
     return out.select("nome", r("preco_medio"), "total_jogos")
 
 
+@register("price_summary_batches", "S-14 A-01a", with_views("""
+    SELECT nome, count(preco_base) AS total, round(avg(preco_base), 6) AS media, round(stddev_samp(preco_base), 6) AS desvio,
+           min(preco_base) AS menor, max(preco_base) AS maior
+    FROM games JOIN game_categories ON id = jogo_id GROUP BY nome""", "games", "game_categories"))
+def _(s, d):
+    """Prices per category by a summary that was refreshed with three batches, one of them twice."""
+    path = scratch(s, "batches")
+    rows = B.games(s, d).join(B.game_categories(s, d), F.col("id") == F.col("jogo_id")).select("nome", "preco_base", (F.col("id") % 3).alias("lote"))
+    for batch in (0, 1, 1, 2):
+        SU.refresh_summary(rows.where(F.col("lote") == batch), path, ["nome"], "preco_base", f"lote {batch}")
+    return SU.read_summary(s, path, ["nome"]).select("nome", "total", r("media"), r("desvio"), "menor", "maior")
+
+
 @register("metrics_log", "E-19", with_views(f"""WITH {GINI}
     SELECT 'first' AS run, 'gini' AS metrica, round({GINI_VALUE}, 6) AS valor FROM o
     UNION ALL SELECT 'second', 'cobertura', round(count(DISTINCT item) / (SELECT count(*) FROM supplier_catalog)::DOUBLE, 6) FROM recs""",

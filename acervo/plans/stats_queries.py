@@ -270,10 +270,31 @@ def _(s, d):
     SELECT coluna, round(p, 6) AS p, p > 0.05 AS passou FROM p""")
 def _(s, d):
     lines = B.table(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
-    out = T.ks_2samp(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["l_quantity", "l_extendedprice"])
+    out = T.ks_2samp(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["l_quantity", "l_extendedprice"], exact_up_to=0)
     return out.select("coluna", r("p"), "passou")
 
 
+@register("ks_exact_balances", "T-05 W-06", """
+    WITH RECURSIVE two AS (SELECT s_acctbal AS v, s_nationkey < 9 AS f FROM supplier),
+    cells AS (SELECT v, count(*) FILTER (WHERE f) AS a, count(*) FILTER (WHERE NOT f) AS b FROM two GROUP BY v),
+    run AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM cells WINDOW w AS (ORDER BY v)),
+    one AS (SELECT max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(ca * n2 - cb * n1))::BIGINT AS h, max(abs(ca / n1::DOUBLE - cb / n2::DOUBLE)) AS d FROM run),
+    path AS (
+        SELECT 0::BIGINT AS k, n1, n2, h, list_transform(range(0, n1 + 1), lambda i: 0::DOUBLE) AS met FROM one
+        UNION ALL
+        SELECT k + 1, n1, n2, h, list_transform(range(0, n1 + 1), lambda i:
+            CASE WHEN i > k + 1 OR k + 1 - i > n2 THEN 0::DOUBLE WHEN abs(i * n2 - (k + 1 - i) * n1) >= h THEN 1::DOUBLE
+                 ELSE ((k + 1 - i) * met[i + 1] + CASE WHEN i > 0 THEN i * met[i] ELSE 0 END) / (k + 1)::DOUBLE END)
+        FROM path WHERE k < n1 + n2
+    )
+    SELECT 's_acctbal' AS coluna, round(d, 6) AS d, one.n1, one.n2, round(met[one.n1 + 1], 6) AS p, round(met[one.n1 + 1], 6) > 0.05 AS passou
+    FROM one JOIN path ON k = one.n1 + one.n2""")
+def _(s, d):
+    supplier = B.table(s, d, "supplier")
+    out = T.ks_2samp(supplier.where("s_nationkey < 9"), supplier.where("NOT s_nationkey < 9"), ["s_acctbal"])
+    return out.select("coluna", r("d"), "n1", "n2", r("p"), (r("p") > 0.05).alias("passou"))
+
+
 @register("loglog_stderr", "T-06", with_views("""
     WITH p AS (SELECT log10(owners_number) AS x, log10("Positive" + "Negative") AS y FROM raw_games
                WHERE owners_number > 0 AND "Positive" + "Negative" > 0)

@@ -9,13 +9,13 @@ from pyspark.sql.types import StructType
 
 from acervo.operators.market import categories_per_game
 from acervo.operators.profile import top_values
+from acervo.sources.csv_rows import read_quoted_csv
+from acervo.sources.versions import next_version, write_version  # noqa: F401
 
 
 def read_catalog_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV with a header; the schema is given, never inferred."""
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    )
+    """CSV with a header; the schema is given, never inferred. One large file is read by many tasks."""
+    return read_quoted_csv(spark, path, schema)
 
 
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:
@@ -121,23 +121,6 @@ def reload(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def next_version(spark: SparkSession, path: str) -> int:
-    """First unused n of the ``version=n`` folders below ``path``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = 1
-    while fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"version={n}")):
-        n += 1
-    return n
-
-
-def write_version(df: DataFrame, path: str) -> int:
-    n = next_version(df.sparkSession, path)
-    df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={n}")
-    return n
-
-
 def finished_sessions(df: DataFrame) -> DataFrame:
     """Validated session rows with start time and platform.
 

@@ -83,23 +83,44 @@ def test_ensemble_order_is_by_score(spark):
     assert 40 <= marked <= 80 and df.where(I.validation_mark("Tags", 1.0)).count() == 200
 
 
-def test_knn_against_brute_force(spark, monkeypatch):
-    import functools
-
-    from acervo.operators import tiles
-
-    monkeypatch.setattr(I, "tile_map", functools.partial(tiles.tile_map, rows=11))
+@pytest.mark.parametrize("box_rows", [3, 11, 20_000])
+def test_knn_against_brute_force(spark, box_rows):
     rng = np.random.default_rng(9)
     pts = [(i, float(rng.integers(0, 6)), float(rng.integers(0, 4)), float(rng.integers(0, 2)), rng.choice(["A", "B", "C"]).item()) for i in range(300)]
     df = spark.createDataFrame(pts, "AppID bigint, x double, y double, z double, l string")
     train, test = df.where("AppID < 260"), df.where("AppID >= 260")
-    got = {r["AppID"]: r["previsto"] for r in I.knn_classify(train, test, "l").collect()}
+    got = {r["AppID"]: r["previsto"] for r in I.knn_classify(train, test, "l", box_rows=box_rows).collect()}
     for i, x, y, z, _ in pts[260:]:
         near = sorted(pts[:260], key=lambda p: (round((p[1] - x) ** 2 + (p[2] - y) ** 2 + (p[3] - z) ** 2, 12), p[1], p[2], p[3], p[4]))[:5]
         votes = Counter(p[4] for p in near)
         assert got[i] == min(votes, key=lambda c: (-votes[c], c))
 
 
+def test_knn_visits_few_boxes(spark):
+    from acervo.operators import pruned as P
+
+    rng = np.random.default_rng(2)
+    shares = []
+    for n in (1000, 4000):
+        pts = spark.createDataFrame([(i, *map(float, rng.random(3)), "A") for i in range(n)], "AppID bigint, x double, y double, z double, l string")
+        boxes = P.build_boxes(pts.withColumn("vetor", F.array("x", "y", "z")), ("x", "y", "z"), 30)
+        asked = pts.where("AppID % 10 = 0").select("AppID", F.array("x", "y", "z").alias("vetor"))
+
+        def kernel(q, c):
+            import pyarrow as pa
+
+            from acervo.operators.tiles import matrix, top_per_row
+
+            d = ((matrix(q, "vetor")[:, None] - matrix(c, "vetor")[None, :]) ** 2).sum(axis=2)
+            rows, at = top_per_row(-d, 3)
+            return pa.table({"AppID": q.column("AppID").take(pa.array(rows)), "score": -d[rows, at], "id": c.column("AppID").take(pa.array(at))})
+
+        best = P.best_first(asked, ["AppID"], boxes, kernel, "AppID bigint, score double, id bigint", [F.desc("score"), F.col("id")], 3)
+        assert {r["AppID"] for r in best.where("rank = 1 AND id = AppID").collect()} == set(range(0, n, 10))
+        shares.append(P.share_scored(asked, boxes))
+    assert shares[1] < 0.4 * shares[0] < 0.2  # four times the points, little more than the same work for each asker
+
+
 def test_naive_bayes_against_direct_sums(spark):
     docs = [("orc sword magic", "RPG"), ("sword magic castle castle", "RPG"), ("tank gun war", "Action"), ("gun gun bomb war", "Action"), ("farm crop tank", "Sim")]
     train = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(docs)], "AppID bigint, t string, l string")
@@ -131,6 +152,30 @@ def test_cosine_takes_the_closest_and_the_first_on_a_tie(spark):
     assert {r["previsto"] for r in I.cosine_nearest(unknown, known.where("AppID > 9"), "g", "p").collect()} == {None}
 
 
+def test_cosine_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(I, "CHAMPIONS", 2)
+    rng = np.random.default_rng(6)
+    names = [f"word{i}" for i in range(60)]
+    share = np.array([1 / (i + 1) for i in range(60)])
+    text = lambda: ",".join(rng.choice(names, rng.integers(1, 9), p=share / share.sum()))
+    known = [(i, text(), f"p{i}") for i in range(400)]
+    asked = [(1000 + i, text() + ("" if i % 5 else ",unseen")) for i in range(150)]
+    kf = spark.createDataFrame(known, "AppID bigint, g string, p string")
+    uf = spark.createDataFrame(asked, "AppID bigint, g string")
+    got = {r["AppID"]: r["previsto"] for r in I.cosine_nearest(uf, kf, "g", "p").collect()}
+    df = Counter(w for _, t, _ in known for w in set(t.split(",")))
+    idf = {w: math.log((1 + len(known)) / (1 + n)) + 1 for w, n in df.items()}
+
+    def vec(t):
+        v = np.array([t.split(",").count(w) * idf.get(w, 0.0) for w in names])
+        return v / (np.linalg.norm(v) or 1.0)
+
+    table = np.stack([vec(t) for _, t, _ in known])
+    for i, t in asked:
+        sims = np.round(table @ vec(t), 9)
+        assert got[i] == (f"p{int(np.argmax(sims))}" if sims.max() > 0 else "p0")
+
+
 def test_whole_cascade_leaves_no_gap(spark, sf):
     from acervo.plans import bindings as B
 

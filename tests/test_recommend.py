@@ -133,6 +133,22 @@ def test_similar_games_with_repeated_and_lonely_sets(spark, monkeypatch):
         assert [(c, j) for _, j, c in sorted(got.get(i, []))] == [(c, j) for c, _, j in want]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_sets_with_hot_members(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = [f"c{i}" for i in range(25)]
+    share = np.array([1 / (i + 1) for i in range(25)])
+    sets = list({tuple(sorted(rng.choice(names, rng.integers(1, 8), replace=False, p=share / share.sum()))) for _ in range(350)})
+    rows = [(f"s{i}", list(c), float(rng.integers(0, 4)), i) for i, c in enumerate(sets)]
+    leaders = spark.createDataFrame(rows, "sig string, cats array<string>, nota double, id bigint")
+    got = {}
+    for r in R.similar_sets(leaders, 6).collect():
+        got.setdefault(r["sig"], set()).add((r["par"], r["comuns"]))
+    for sig, c, _, _ in rows:
+        near = sorted(((len(set(c) & set(d)), nota, i) for _, d, nota, i in rows if set(c) & set(d)), key=lambda t: (-t[0], -t[1], t[2]))[:6]
+        assert got[sig] == {(f"s{i}", n) for n, _, i in near}
+
+
 def test_holdout_spreads_one_busy_user(spark):
     rows = [(1, f"2020-01-{1 + i // 24:02d} {i % 24:02d}:00:00", i % 17) for i in range(500)] + [(2, "2020-01-01 00:00:00", 3)]
     df = spark.createDataFrame(rows, "usuario_id int, t string, jogo_id int").select(

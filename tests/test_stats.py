@@ -79,6 +79,42 @@ def test_ks(spark):
     assert same["d"] == 0.0 and same["passou"] and (same["n1"], same["n2"]) == (100, 100)
 
 
+def test_exact_ks_is_enumeration():
+    from itertools import combinations
+    from math import comb
+
+    for n1 in range(1, 9):
+        for n2 in range(1, 9):
+            worst = []
+            for firsts in combinations(range(n1 + n2), n1):
+                here, i, top = set(firsts), 0, 0
+                for at in range(n1 + n2):
+                    i += at in here
+                    top = max(top, abs(i * n2 - (at + 1 - i) * n1))
+                worst.append(top)
+            worst = np.array(worst)
+            for bound in sorted({*worst.tolist(), 0}):
+                want = (worst >= bound).sum() / comb(n1 + n2, n1)
+                assert math.isclose(tails.ks_exact_tail(bound / (n1 * n2), n1, n2), want, rel_tol=1e-12)
+
+
+def test_exact_ks_of_larger_samples():
+    # two samples that do not overlap at all: two of all paths
+    assert math.isclose(tails.ks_exact_tail(1.0, 30, 20), 2 / math.comb(50, 20), rel_tol=1e-10)
+    assert tails.ks_exact_tail(1.0, 300, 300) < 1e-170
+    assert math.isclose(tails.ks_exact_tail(0.03, 3000, 2500), tails.kolmogorov_tail(0.03 * math.sqrt(3000 * 2500 / 5500)), rel_tol=0.05)
+    assert tails.ks_exact_tail(0.2, 40, 70) == tails.ks_exact_tail(0.2, 70, 40)
+
+
+def test_ks_is_exact_up_to_a_size(spark):
+    a = spark.createDataFrame([(float(v),) for v in range(12)], "v double")
+    b = spark.createDataFrame([(float(v) + 5.5,) for v in range(9)], "v double")
+    exact = T.ks_2samp(a, b, ["v"]).first()
+    assert math.isclose(exact["p"], tails.ks_exact_tail(exact["d"], 12, 9), rel_tol=1e-12)
+    limit = T.ks_2samp(a, b, ["v"], exact_up_to=11).first()
+    assert math.isclose(limit["p"], tails.kolmogorov_tail(limit["d"] * math.sqrt(12 * 9 / 21)), rel_tol=1e-12)
+
+
 def test_enforce_types(spark):
     df = spark.createDataFrame([("3", 4), ("x", 5)], "Price string, Genres int")
     out = T.enforce_types(df)
