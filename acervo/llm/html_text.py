@@ -48,6 +48,14 @@ NAMES = COMMENT_NAMES | {
     "recommendations", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "topbar", "toolbar",
     "header", "masthead", "footer", "copyright", "pagination", "pager", "search", "skip", "complementary", "contentinfo", "form",
 }
+#: Within an article a name is furniture only as a whole: of words above and words that say nothing of their own.
+PLAIN_NAMES = {
+    "section", "list", "box", "area", "block", "container", "wrapper", "wrap", "inner", "outer", "bar", "links", "link", "item", "items", "panel",
+    "group", "button", "buttons", "icons", "icon", "top", "bottom", "left", "right", "posts", "articles", "stories", "site", "page", "unit", "slot", "row",
+}
+READER_NAMES = {"comment", "comments", "disqus", "respond", "replies"}  # reader comments by any word of a name
+MORE = {"more", "also", "read", "reading", "you", "may", "might", "like", "see", "tags", "this", "us", "follow", "our", "on", "from", "the", "topics", "latest", "next", "previous"}
+LEADS = {"lead", "lede", "intro", "summary", "abstract", "standfirst", "subtitle", "subheading", "dek", "deck", "tagline", "excerpt", "teaser"}
 TOKEN = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SMOOTHING = 2.0  # standard deviation of the Gaussian, in lines
@@ -57,10 +65,10 @@ FEED = 1 << 16
 
 
 class Element:
-    __slots__ = ("tag", "parent", "odd", "holds", "order")
+    __slots__ = ("tag", "parent", "odd", "lead", "holds", "order")
 
-    def __init__(self, tag: str, parent: Element | None, odd: bool, order: int):
-        self.tag, self.parent, self.odd, self.order = tag, parent, odd, order
+    def __init__(self, tag: str, parent: Element | None, odd: bool, order: int, lead: bool = False):
+        self.tag, self.parent, self.odd, self.order, self.lead = tag, parent, odd, order, lead
         self.holds = False  # an article or main element lies inside
 
 
@@ -79,6 +87,7 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.top = Element("", None, False, 0)
         self.open: list[Element] = [self.top]
+        self.counts: dict[str, int] = {}  # open elements by tag
         self.elements, self.lines = [self.top], [Line(self.top)]
         self.silent = self.links = 0
 
@@ -92,6 +101,7 @@ class PageReader(HTMLParser):
     def _pop(self, to: int) -> None:
         """Close the open elements from place `to` on."""
         for e in self.open[to:]:
+            self.counts[e.tag] -= 1
             self.silent -= e.tag in SILENT
             self.links -= e.tag == "a"
         block = any(e.tag in BLOCKS for e in self.open[to:])
@@ -107,7 +117,7 @@ class PageReader(HTMLParser):
                     break
                 if self.open[place].tag in BLOCKS:
                     break
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(self.counts.get(t) for t in IMPLIED[tag][0]):
             ends, within = IMPLIED[tag]
             first = 0
             for place in range(len(self.open) - 1, 0, -1):
@@ -117,7 +127,7 @@ class PageReader(HTMLParser):
                     first = place
             if first:
                 self._pop(first)
-        if tag == "body" and any(e.tag == "head" for e in self.open):
+        if tag == "body" and self.counts.get("head"):
             self._pop(next(i for i, e in enumerate(self.open) if e.tag == "head"))
         if tag in VOID:
             if tag in BLOCKS:
@@ -126,13 +136,15 @@ class PageReader(HTMLParser):
                 self.lines[-1].parts.append(" ")
             self.lines[-1].tags += 1
             return
-        e = Element(tag, self.open[-1], self._odd(tag, attrs), len(self.elements))
+        odd, lead = self._named(tag, attrs, bool(self.counts.get("article")))
+        e = Element(tag, self.open[-1], odd, len(self.elements), lead)
         if tag in ("article", "main") and not e.odd:
             up = e.parent
             while up is not None and not up.holds:
                 up.holds, up = True, up.parent
         self.elements.append(e)
         self.open.append(e)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
         self.silent += tag in SILENT
         self.links += tag == "a"
         if tag in BLOCKS:
@@ -148,6 +160,8 @@ class PageReader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if not self.silent or tag in SILENT:
             self.lines[-1].tags += 1
+        if not self.counts.get(tag):
+            return  # nothing of that name is open
         for place in range(len(self.open) - 1, 0, -1):
             if self.open[place].tag == tag:
                 self._pop(place)
@@ -164,21 +178,27 @@ class PageReader(HTMLParser):
             line.linked += len(data.strip())
 
     @staticmethod
-    def _odd(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether the element is page furniture by its tag, names or role."""
+    def _named(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[bool, bool]:
+        """Whether the element is page furniture by its tag, names or role, and whether it is named as an article's lead."""
         if tag in FURNITURE:
-            return True
+            return True, False
         if tag in WRAPPERS or tag not in BLOCKS and tag not in ("span", "a", "ins"):
-            return False
-        named = set()
+            return False, False
+        names: list[set[str]] = []
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                named.update(TOKEN.findall(CAMEL.sub(" ", value).lower()))
+                names += [set(TOKEN.findall(CAMEL.sub(" ", name).lower())) for name in value.split()]
             elif key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return True, False
             elif key == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return bool(named & (COMMENT_NAMES if tag in ("article", *HEADINGS) else NAMES))
+                return True, False
+        words = set().union(*names)
+        lead = bool(words & LEADS)
+        if tag in ("article", *HEADINGS):
+            return bool(words & COMMENT_NAMES), lead
+        if not in_article:
+            return bool(words & NAMES), lead
+        return bool(words & READER_NAMES) or any(n & NAMES and n <= NAMES | PLAIN_NAMES for n in names), lead
 
 
 def smoothed(ratios: list[float], width: float = SMOOTHING) -> list[float]:
@@ -217,72 +237,126 @@ def main_text(html: str) -> str:
     lines = [(line, text) for line in reader.lines if (text := " ".join("".join(line.parts).split()))]
     if not lines:
         return ""
-    outside: dict[int, bool] = {0: False}  # element: in page furniture
-    for e in reader.elements[1:]:
-        own = e.odd and not e.holds
-        if own and e.tag == "header" and _within(e, ("article", "main")):
-            own = False  # an article's own header: its headings stay, see below
-        outside[e.order] = own or outside[e.parent.order]
+    elements = reader.elements
+    outside = [False] * len(elements)  # in page furniture
+    named = [False] * len(elements)  # an article or main element, or in one
+    for e in elements[1:]:
+        up = e.parent.order
+        own = e.odd and not e.holds and not (e.tag == "header" and named[up])  # an article's own header: its headings stay, see below
+        outside[e.order], named[e.order] = own or outside[up], e.tag in ("article", "main") or named[up]
     marks = smoothed([len(text) / max(1, line.tags) for line, text in lines])
     cut = threshold(marks)
-    mass = [0] * len(reader.elements)
-    for (line, text), mark in zip(lines, marks):
-        if mark >= cut and not outside[line.element.order]:
-            e = line.element
-            while e is not None:
-                mass[e.order] += len(text)
-                e = e.parent
-    if not any(mass):  # only furniture is above the threshold: count what is below
-        for line, text in lines:
-            if not outside[line.element.order]:
-                e = line.element
-                while e is not None:
-                    mass[e.order] += len(text)
-                    e = e.parent
-    content = [(line, text, mark) for (line, text), mark in zip(lines, marks) if not outside[line.element.order] and not _byline(line.element)]
-    plain = [0] * len(reader.elements)  # text of each element that is no link
-    for line, text, _ in content:
-        e = line.element
-        while e is not None:
-            plain[e.order] += len(text) if line.linked < LINKED * len(text) else 0
-            e = e.parent
-    bounds: dict[int, Element | None] = {0: None}  # element: the named region it stands in
-    for e in reader.elements[1:]:
-        bounds[e.order] = bounds[e.parent.order]
-        if e.tag in ("article", "main") and not outside[e.order] and bounds[e.order] is None and (mass[e.order] or plain[e.order]):
-            inner = [x for x in reader.elements if e.tag == "main" and x.tag == "article" and not outside[x.order] and _inside(x, e) and not _within(x, ("article",))]
-            if not inner or sum(mass[x.order] for x in inner) < SHARE * mass[e.order]:
-                bounds[e.order] = e
-    unbound = mass[0] - sum(mass[e.order] for e in set(bounds.values()) - {None})
+    mass = _summed(elements, ((line.element, len(text)) for (line, text), mark in zip(lines, marks) if mark >= cut and not outside[line.element.order]))
+    if not mass[0]:  # only furniture is above the threshold: count what is below
+        mass = _summed(elements, ((line.element, len(text)) for line, text in lines if not outside[line.element.order]))
+    byline = [False] * len(elements)  # in an article's own header, but no heading and no lead
+    for e in elements[1:]:
+        byline[e.order] = e.tag == "header" or byline[e.parent.order] and e.tag not in HEADINGS and not e.lead
+    content = [(line, text, mark) for (line, text), mark in zip(lines, marks) if not outside[line.element.order] and not byline[line.element.order]]
+    plain = _summed(elements, ((line.element, len(text)) for line, text, _ in content if line.linked < LINKED * len(text)))  # no link
+    first = [False] * len(elements)  # an article in no other, nor in furniture
+    within = [False] * len(elements)
+    for e in elements[1:]:
+        within[e.order] = e.parent.tag == "article" or within[e.parent.order]
+        first[e.order] = e.tag == "article" and not outside[e.order] and not within[e.order]
+    articles = _summed(elements, ((e, 1) for e in elements if first[e.order]))
+    in_articles = _summed(elements, ((e, mass[e.order]) for e in elements if first[e.order]))
+    bounds: list[Element | None] = [None] * len(elements)  # the named region an element stands in
+    for e in elements[1:]:
+        k = e.order
+        bounds[k] = bounds[e.parent.order]
+        if e.tag in ("article", "main") and not outside[k] and bounds[k] is None and (mass[k] or plain[k]):
+            if e.tag == "article" or not articles[k] or in_articles[k] < SHARE * mass[k]:
+                bounds[k] = e
+    unbound = mass[0] - sum(mass[e.order] for e in set(bounds) - {None})
     loose: list[int] = []
     if unbound > (1 - SHARE) * mass[0]:  # no element names that text: the marked stretch, and no lists of links
         loose = [i for i, (line, _, _) in enumerate(content) if bounds[line.element.order] is None]
-        loose = _stretch([content[i] for i in loose], loose, cut)
-    kept = {i for i, (line, text, mark) in enumerate(content) if bounds[line.element.order] is not None and (line.linked < LINKED * len(text) or mark >= cut)}
+        loose = _stretch(elements, [content[i] for i in loose], loose, cut)
+    kept = _without_link_lists(content, bounds, cut)
     return "\n".join(content[i][1] for i in sorted(kept.union(loose)))
 
 
-def _stretch(lines: list[tuple[Line, str, float]], places: list[int], cut: float) -> list[int]:
+def _summed(elements: list[Element], amounts: Iterator[tuple[Element, int]]) -> list[int]:
+    """For each element the amounts given for it and for all inside it; elements come after those they stand in."""
+    total = [0] * len(elements)
+    for e, n in amounts:
+        total[e.order] += n
+    for e in reversed(elements[1:]):
+        total[e.parent.order] += total[e.order]
+    return total
+
+
+def _without_link_lists(content: list[tuple[Line, str, float]], bounds: list[Element | None], cut: float) -> set[int]:
+    """Places of the lines in named regions, but for unmarked lists of links where a region begins or ends.
+
+    Headings that are links, a paragraph that is one, and lists of sources within the text stay.
+    """
+    regions: dict[int, list[int]] = {}
+    for i, (line, _, _) in enumerate(content):
+        if (region := bounds[line.element.order]) is not None:
+            regions.setdefault(region.order, []).append(i)
+    kept: set[int] = set()
+    for places in regions.values():
+        low, high = 0, len(places)
+
+        def listed(i: int) -> bool:
+            line, text, mark = content[i]
+            return line.linked >= LINKED * len(text) and mark < cut and _in_list(line.element)
+
+        while low < high and listed(places[low]):
+            low += 1
+        while high > low and listed(places[high - 1]):
+            high -= 1
+        kept.update(places[low:high])
+        if 0 < high < len(places) and low < high and _said(content[places[high - 1]]):
+            kept.update(places[high:])  # what the heading before announces
+    return kept
+
+
+def _in_list(e: Element | None) -> bool:
+    """In a list item or a block without words of its own kind, such as a bare line of links; headings and paragraphs are neither."""
+    while e is not None and e.tag not in BLOCKS:
+        e = e.parent
+    return e is not None and e.tag not in HEADINGS and e.tag != "p"
+
+
+def _said(part: tuple[Line, str, float]) -> bool:
+    """A heading that announces something of the article's own."""
+    e = part[0].element
+    while e is not None and e.tag not in BLOCKS:
+        e = e.parent
+    return e is not None and e.tag in HEADINGS and not set(TOKEN.findall(part[1].lower())) <= NAMES | PLAIN_NAMES | MORE
+
+
+def _stretch(elements: list[Element], lines: list[tuple[Line, str, float]], places: list[int], cut: float) -> list[int]:
     """Places of the lines from the first marked one to the last, with the headings and plain lines before and after it in the element that holds the marked ones."""
     marked = [line.element for line, _, mark in lines if mark >= cut] or [line.element for line, _, _ in lines]
+    inside = _summed(elements, ((e, 1) for e in marked))
     region = marked[0]
-    while region.parent is not None and (region.tag not in BLOCKS or region.tag in PIECES or not all(_inside(e, region) for e in marked)):
+    while region.parent is not None and (region.tag not in BLOCKS or region.tag in PIECES or inside[region.order] < len(marked)):
         region = region.parent
-    regions = {id(region)}
+    regions = {region.order}
     if region.tag in BLOCKS - WRAPPERS - PIECES:  # blocks beside it of the same kind that hold plain paragraphs, as a page of several articles has them
+        top: list[Element | None] = [None] * len(elements)  # the block beside the region that an element stands in
+        piece = [False] * len(elements)  # a paragraph or heading, or in one, within that block
+        for e in elements[1:]:
+            k, starts = e.order, e.parent is region.parent
+            top[k] = e if starts else top[e.parent.order]
+            piece[k] = e.tag == "p" or e.tag in HEADINGS or not starts and piece[e.parent.order]
         beside: dict[int, list[int]] = {}  # text, that which is no link, paragraphs and headings
         for line, text, _ in lines:
-            e, piece = line.element, False
-            while e is not None:
-                piece |= e.tag == "p" or e.tag in HEADINGS
-                if e.parent is region.parent and e.tag == region.tag:
-                    found = beside.setdefault(id(e), [0, 0, 0])
-                    found[0] += len(text)
-                    found[1] += len(text) - min(line.linked, len(text))
-                    found[2] += piece
-                e = e.parent
+            e = top[line.element.order]
+            if e is not None and e.tag == region.tag:
+                found = beside.setdefault(e.order, [0, 0, 0])
+                found[0] += len(text)
+                found[1] += len(text) - min(line.linked, len(text))
+                found[2] += piece[line.element.order]
         regions |= {k for k, (n, own, pieces) in beside.items() if pieces and own >= SHARE * n}
-    held = [k for k, (line, _, _) in enumerate(lines) if any(id(e) in regions for e in _line_up(line.element))]
+    chosen = [e.order in regions for e in elements]
+    for e in elements[1:]:
+        chosen[e.order] |= chosen[e.parent.order]
+    held = [k for k, (line, _, _) in enumerate(lines) if chosen[line.element.order]]
     ends = [k for k in held if lines[k][2] >= cut]
     first, last = (ends[0], ends[-1]) if ends else (held[0], held[-1])
     while first > held[0] and (lines[first - 1][0].element.tag in HEADINGS or lines[first - 1][0].linked == 0):
@@ -292,39 +366,6 @@ def _stretch(lines: list[tuple[Line, str, float]], places: list[int], cut: float
     return [places[k] for k in range(first, last + 1) if lines[k][0].linked < LINKED * len(lines[k][1]) or lines[k][2] >= cut]
 
 
-def _line_up(e: Element | None) -> Iterator[Element]:
-    """The element and those it stands in."""
-    while e is not None:
-        yield e
-        e = e.parent
-
-
-def _within(e: Element, tags: tuple[str, ...]) -> bool:
-    while (e := e.parent) is not None:
-        if e.tag in tags:
-            return True
-    return False
-
-
-def _inside(e: Element | None, region: Element) -> bool:
-    while e is not None:
-        if e is region:
-            return True
-        e = e.parent
-    return False
-
-
-def _byline(e: Element | None) -> bool:
-    """In an article's own header, but no heading."""
-    heading = False
-    while e is not None:
-        heading |= e.tag in HEADINGS
-        if e.tag == "header":
-            return not heading
-        e = e.parent
-    return False
-
-
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of keep, `text` and `n_chars` (its code points), one row per input row.
 

@@ -75,3 +75,44 @@ def test_ratios_select_beside_and_within_articles():
     assert "Plain words" in text and "go 5" not in text
     text = main_text(f"<article><p>Teaser.</p></article><div>{body}</div>{links}")
     assert text.count("\n") >= 7 and "go 5" not in text
+
+
+def page(body):
+    return f"<html><body><nav><a href=1>Home</a><a href=2>About</a></nav>{body}<footer>All rights</footer></body></html>"
+
+
+PROSE = "<p>" + "Plain words of a paragraph stand here. " * 12 + "</p>"
+
+
+def test_links_that_belong_to_an_article_stay():
+    got = main_text(page(
+        f"<article><h1><a href=x>My linked title</a></h1>{PROSE}<p><a href=y>A paragraph that is one link</a></p>{PROSE}"
+        "<h2>Sources</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul></article>")).split("\n")
+    assert [got[0], got[2], *got[4:]] == ["My linked title", "A paragraph that is one link", "Sources", "First source", "Second source"]
+    links = "".join(f"<li><a href=a>Story {i}</a></li>" for i in range(30))
+    more = main_text(page(f"<article><h1>Title</h1>{PROSE * 3}<ul>{links}</ul></article>"))
+    assert "Story 20" not in more and more.startswith("Title\n")
+    announced = main_text(page(f"<article><h1>Title</h1>{PROSE * 3}<h2>References</h2><ul>{links}</ul></article>"))
+    assert announced.endswith("Story 29") and "Story 29" not in main_text(page(f"<article><h1>Title</h1>{PROSE * 3}<h2>Related articles</h2><ul>{links}</ul></article>"))
+
+
+def test_names_within_an_article():
+    got = main_text(page(
+        f"<article><div class='post-header'><h1>A title</h1></div><div id='related-work'>{PROSE}</div><div class='form-intro'><p>Intro of the form.</p></div>{PROSE}"
+        "<div class='related-posts'><p>Elsewhere on this site</p></div><div class='share'><p>Tell others</p></div><div class='post-comments'><p>I think so too.</p></div></article>"))
+    assert got.startswith("A title\nPlain words") and "Intro of the form." in got
+    assert not any(w in got for w in ("Elsewhere", "Tell others", "I think so"))
+
+
+def test_the_lead_of_an_article_stays():
+    got = main_text(page(f"<article><header><h1>T</h1><p class=lead>What it is about.</p><p class=byline>By someone</p></header>{PROSE}</article>"))
+    assert got.startswith("T\nWhat it is about.\nPlain words") and "By someone" not in got
+
+
+def test_time_grows_with_the_page_and_not_its_depth():
+    import time
+
+    for body in ("<div>a" * 100_000, "<main><article>x y</article>" * 20_000, "<ul><li>a" * 50_000, "<p>a</section>" * 50_000, "<article>" + "<div>a" * 50_000):
+        start = time.process_time()
+        main_text(body)
+        assert time.process_time() - start < 10
