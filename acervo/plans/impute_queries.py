@@ -320,15 +320,16 @@ def _(s, d):
 
 
 @register("upsert_games", "S-08", with_views("""
-    SELECT id, CASE WHEN id % 3 = 0 THEN titulo || '!' ELSE titulo END AS titulo,
-           CASE WHEN id % 3 = 0 THEN preco_base + 1 ELSE preco_base END AS preco_base,
-           CASE WHEN id % 3 = 0 AND id % 2 = 1 THEN -1 ELSE total_avaliacoes END AS total_avaliacoes
-    FROM games WHERE id % 2 = 0 OR id % 3 = 0""", "games"))
+    SELECT coalesce(n.id, g.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.titulo ELSE g.titulo END AS titulo,
+           CASE WHEN n.id IS NOT NULL THEN n.preco_base ELSE g.preco_base END AS preco_base,
+           CASE WHEN g.id IS NOT NULL THEN g.total_avaliacoes ELSE -1 END AS total_avaliacoes
+    FROM games g FULL JOIN (SELECT id * 2 AS id, titulo || '!' AS titulo, preco_base + 1 AS preco_base FROM games) n ON n.id = g.id""", "games"))
 def _(s, d):
+    """All games, and a changed row of every game under twice its id: some of these ids are known, the others are new."""
     g = B.games(s, d).select("id", "titulo", "preco_base", "total_avaliacoes")
-    new = g.where("id % 3 = 0").select("id", F.concat("titulo", F.lit("!")).alias("titulo"),
-                                      (F.col("preco_base") + 1).alias("preco_base"), F.lit(-1).cast("bigint").alias("total_avaliacoes"))
-    return T.upsert(g.where("id % 2 = 0"), new, ["id"], ["titulo", "preco_base"])
+    new = g.select((F.col("id") * 2).alias("id"), F.concat("titulo", F.lit("!")).alias("titulo"),
+                   (F.col("preco_base") + 1).alias("preco_base"), F.lit(-1).cast("bigint").alias("total_avaliacoes"))
+    return T.upsert(g, new, ["id"], ["titulo", "preco_base"])
 
 
 @register("finished_sessions", "S-11 X-24", with_views("""

@@ -307,13 +307,13 @@ def _(s, d):
 
 
 @register("cascade_by_rating", "R-08", with_views(R_QUERIES.LISTS + f"""
-    SELECT lists.usuario_id, lists.rank::INT AS rank, lists.item, CASE WHEN lists.usuario_id % 2 = 0 THEN lists.usuario_id % 3 END AS cluster
-    FROM lists WHERE modo = 'equilibrado' AND item IN (SELECT id FROM games WHERE avaliacao_media >= {GOOD})""", *R_QUERIES.VIEWS, "games"))
+    SELECT lists.usuario_id, lists.rank::INT AS rank, lists.item, c.cluster
+    FROM lists LEFT JOIN (SELECT usuario_id * 2 AS usuario_id, usuario_id % 3 AS cluster FROM emb_requests) c USING (usuario_id) WHERE modo = 'equilibrado' AND item IN (SELECT id FROM games WHERE avaliacao_media >= {GOOD})""", *R_QUERIES.VIEWS, "games"))
 def _(s, d):
-    """The cascade with games of a good rating for those predicted good, and archetypes of every second user."""
+    """The cascade with games of a good rating for those predicted good; archetypes under twice the users' ids, so that odd ones have none."""
     good = FE.good_game_label(B.games(s, d), GOOD).where("target = 1").select(F.col("id").alias("item"))
     lists = R.recommend(R.with_cold_start(B.emb_requests(s, d), B.emb_users(s, d)), B.emb_items(s, d), 10)
-    clusters = B.emb_requests(s, d).where("usuario_id % 2 = 0").select("usuario_id", (F.col("usuario_id") % 3).alias("cluster"))
+    clusters = B.emb_requests(s, d).select((F.col("usuario_id") * 2).alias("usuario_id"), (F.col("usuario_id") % 3).alias("cluster"))
     return R.cascade(lists, good, clusters).select("usuario_id", "rank", "item", "cluster")
 
 

@@ -138,17 +138,19 @@ def _(s, d):
 
 @register("developer_lookup", "J-06", with_views("""
     SELECT g.id, coalesce(nome, 'Unknown') AS nome FROM games g
-    LEFT JOIN (SELECT id AS did, nome FROM developers WHERE id % 3 <> 0) ON did = desenvolvedor_id""", "games", "developers"))
+    LEFT JOIN (SELECT id * 2 AS did, nome FROM developers) ON did = desenvolvedor_id""", "games", "developers"))
 def _(s, d):
-    dim = B.developers(s, d).where("id % 3 <> 0").select(F.col("id").alias("desenvolvedor_id"), "nome")
+    """All developers under twice their ids, so that games of odd ids find none."""
+    dim = B.developers(s, d).select((F.col("id") * 2).alias("desenvolvedor_id"), "nome")
     return lookup(B.games(s, d).select("id", "desenvolvedor_id"), dim, "desenvolvedor_id", "nome", F.lit("Unknown")).select("id", "nome")
 
 
 @register("aligned_users", "J-09", with_views("""
     SELECT u.id AS usuario_id, coalesce(h, 0) AS horas, coalesce(n, 0) AS n FROM users u LEFT JOIN (
-      SELECT usuario_id, sum(horas_jogadas) AS h, count(*) AS n FROM sessions WHERE usuario_id % 2 = 0 GROUP BY 1) s
+      SELECT usuario_id * 2 AS usuario_id, sum(horas_jogadas) AS h, count(*) AS n FROM sessions GROUP BY 1) s
     ON s.usuario_id = u.id""", "users", "sessions"))
 def _(s, d):
-    f = B.sessions(s, d).where("usuario_id % 2 = 0").groupBy("usuario_id").agg(
+    """All sessions under twice their users' ids, so that odd users have none."""
+    f = B.sessions(s, d).groupBy((F.col("usuario_id") * 2).alias("usuario_id")).agg(
         F.sum("horas_jogadas").alias("horas"), F.count("*").alias("n"))
     return align_to(f, B.users(s, d).withColumnRenamed("id", "usuario_id"), "usuario_id")
