@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import dropped, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -32,13 +32,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Both stars hand a node's neighbours to the smallest of them, so that the links
     end as one star for each component. The links stay a table, every round is
-    written to the shared folder. Links to itself, repeated links and nulls do no harm.
+    written to the shared folder in place of the one before, the result as well. Links to itself, repeated links and nulls do no harm.
     """
     links = stored(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     state = _state(links)
     while state[0]:
-        links = stored(_small_star(_large_star(links).distinct()).distinct())
+        last, links = links, stored(_small_star(_large_star(links).distinct()).distinct())
+        dropped(last)
         before, state = state, _state(links)
         if state == before:
             break
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    found = links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    done = stored(found)
+    dropped(links)
+    return done

@@ -6,6 +6,9 @@ share one of their first n - ceil(t n) + 1. Three orders are used: grams by
 their count in the corpus (rare first), and two by independent hashes. Pairs
 come from shared prefix grams of the first order, must share prefix grams of
 the other two and be of fitting size, and only then are whole sets compared.
+In the first order places count too: if the first gram that two sets share stands at
+places i and j, they have at most min(n - i, m - j) in common from there on, and the smaller
+set has it among its first n - ceil(2t/(1+t) n) + 1. So frequent grams, last in their sets, seldom pair any.
 
 Rows with equal sets are one class from the start. Only the classes' components
 are wanted, so a gram that many classes share does not have to give all pairs:
@@ -21,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import columns, stored, text_batches, words
+from .shared import columns, covered, dropped, stored, text_batches, words
 
 SLOTS = 1 << 18  # counters that estimate how often grams occur; grams share counters
 SLICE = 1 << 11  # counters in one row
 STAR_ROUNDS = 8  # most rounds that compare with one class each; then all pairs that are left
+MIDDLES = 8  # classes of a gram that the others are compared with, from the second round on
+THINNED = 0.9  # a round that leaves more than this share of the pairs no longer thins them out
 PAIRS_PER_POSTING = 1.0  # all pairs that are left are compared once they are no more than this for each posting there was
 BROADCAST_IDS = 200_000  # ids up to this number are broadcast, more are joined by shuffling
 KEPT_WORDS = 400_000
@@ -153,55 +158,80 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "print binary, grams array<bigint>")
 
 
-def _candidates(postings: DataFrame, sizes: DataFrame, labels: DataFrame | None, most: float, percent: int, turn: int) -> tuple[DataFrame | None, float]:
+def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most: float, percent: int, turn: int) -> tuple[DataFrame | None, float]:
     """Pairs (a, b) of classes to compare next, and how many pairs will be left to list; 0 where these are all.
 
-    At most `most` pairs are listed at once; more are listed only where comparing with one class no longer thins them out.
+    At most `most` pairs are listed at once, more only where comparing with one class no longer thins out what was `left`.
     """
     if labels is None:
         marked = postings.withColumn("label", F.col("class"))
     else:
         marked = postings.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-    marked = stored(marked.join(sizes, "class"))
-    by_label = marked.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m"))
-    by_gram = by_label.groupBy("gram").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+        marked = stored(marked)
+    # a pair has one side whose gram stands early enough to be the first that it shares with a set not smaller
+    early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
+    by_label = marked.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m"), F.count_if(early).cast("double").alias("e"))
+    by_gram = by_label.groupBy("gram").agg((F.sum("m") * F.sum("e") - F.sum(F.col("m") * F.col("e"))).alias("pairs"))
     by_gram = stored(by_gram.where("pairs > 0"))
     total = by_gram.agg(F.sum("pairs").alias("pairs")).first()
     if not total.pairs:
+        dropped(marked, by_gram)
         return None, 0.0
     live = marked.join(by_gram.select("gram"), "gram", "left_semi")
     fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.label") != F.col("y.label"))
-    last = turn >= STAR_ROUNDS or total.pairs <= most
-    left = 0.0 if last else total.pairs
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    fits &= rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    last = turn >= STAR_ROUNDS or total.pairs <= most or total.pairs > THINNED * left
+    middle = None
     if last:
-        found = live.alias("x").join(live.alias("y"), "gram").where(fits & (F.col("x.class") < F.col("y.class")))
+        smaller = F.struct("x.n", "x.class") < F.struct("y.n", "y.class")
+        found = live.where(early).alias("x").join(live.alias("y"), "gram").where(fits & smaller)
     else:
-        middle = marked.groupBy("gram").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "label")).alias("c"))
-        middle = stored(middle.join(by_gram.select("gram"), "gram", "left_semi"))
-        found = live.alias("x").join(middle.select("gram", "c.*").alias("y"), "gram").where(fits)
-    pairs = found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    return pairs.distinct(), left
+        # classes that share grams without being alike need several to be compared with, until one of them links
+        count = 1 if turn == 0 else MIDDLES
+        salts = range(turn * MIDDLES, turn * MIDDLES + count)
+        least = [F.min(F.struct((~early).alias("late"), F.xxhash64("class", F.lit(k)).alias("h"), "class", "n", "pos", "label")) for k in salts]
+        middle = marked.groupBy("gram").agg(F.array(*least).alias("c"))
+        middle = middle.join(by_gram.select("gram"), "gram", "left_semi").select("gram", F.explode("c").alias("c")).select("gram", "c.class", "c.n", "c.pos", "c.label")
+        middle = stored(middle.distinct())
+        found = live.alias("x").join(middle.alias("y"), "gram").where(fits)
+    pairs = stored(found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
+    dropped(marked, by_gram, middle)
+    return pairs, 0.0 if last else total.pairs
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs that reach the threshold."""
-    pairs, info = stored(pairs), classes.select("class", "n", "left", "right")
+    """Those of the written pairs that reach the threshold, written; the pairs are removed."""
+    info = classes.select("class", "n", "left", "right")
     both = pairs.join(info.toDF("a", "na", "la", "ra"), "a").join(info.toDF("b", "nb", "lb", "rb"), "b")
-    pairs = stored(both.where(F.arrays_overlap("la", "lb") & F.arrays_overlap("ra", "rb")).select("a", "b", "na", "nb"))
-    ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+
+    # the shared part of two prefixes, and all that may lie beyond them, have to make up the intersection
+    def enough(a: str, b: str) -> Column:
+        beyond = F.greatest(F.col("na") - F.size(F.array_distinct(a)), F.col("nb") - F.size(F.array_distinct(b)))
+        return (F.size(F.array_intersect(a, b)) + beyond) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+
+    meet = F.arrays_overlap("la", "lb") & F.arrays_overlap("ra", "rb")
+    good = stored(both.where(meet).where(enough("la", "lb") & enough("ra", "rb")).select("a", "b", "na", "nb"))
+    dropped(pairs)
+    ids = good.select(F.col("a").alias("class")).unionAll(good.select(F.col("b").alias("class"))).distinct()
     needed = stored(classes.select("class", "print", "low").join(ids, "class", "left_semi"))
-    texts = _by_keys(rows, needed.select("low").distinct(), "_key", "left_semi")
+    keys, texts = _by_keys(rows, needed.select("low").distinct(), "_key", "left_semi")
     # dealt by class once: both joins below read the same shuffle
     sets = _sets(texts, size).join(needed.select("class", "print"), "print").groupBy("class").agg(F.first("grams").alias("grams"))
-    whole = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+    whole = good.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     common = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
-    return common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
+    found = stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"))
+    dropped(good, needed, keys)
+    return found
 
 
-def _by_keys(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-    """docs joined (semi or anti, nulls equal) with a table of distinct keys, which is broadcast only up to BROADCAST_IDS rows."""
-    keys = stored(keys.toDF("_k"))
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, F.col(key).eqNullSafe(F.col("_k")), how)
+def _by_keys(docs: DataFrame, keys: DataFrame, key: str, how: str) -> tuple[DataFrame, DataFrame]:
+    """A table of distinct keys as written, and docs joined (semi or anti, nulls equal) with it; it is broadcast only up to BROADCAST_IDS rows."""
+    name = "_k"
+    while name in docs.columns:
+        name += "_"
+    keys = stored(keys.toDF(name))
+    return keys, docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, F.col(key).eqNullSafe(F.col(name)), how)
 
 
 def _grouped(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
@@ -216,24 +246,25 @@ def _grouped(docs: DataFrame, size: int, percent: int, text: str, key: str) -> D
     per_print = _prefixes(rows, size, percent, counters).groupBy("print").agg(
         F.min("_key").alias("low"), *(F.first(c).alias(c) for c in ("n", "rare", "left", "right")))
     classes = stored(per_print.withColumn("class", F.monotonically_increasing_id()))
-    grams = classes.select("class", F.explode("rare").alias("gram"))
+    grams = classes.select("class", "n", F.posexplode("rare").alias("pos", "gram"))
     # small sides of joins are written first: both sides are then plain shuffles, and a hot gram can be split
     shared = stored(grams.groupBy("gram").count().where("count > 1").select("gram"))
     postings = stored(grams.join(shared, "gram"))
-    sizes, most = classes.select("class", "n"), PAIRS_PER_POSTING * postings.count()
+    dropped(shared)
+    most = PAIRS_PER_POSTING * postings.count()
 
     links, labels, turn, left = None, None, 0, float("inf")
     while left:
-        pairs, now = _candidates(postings, sizes, labels, most, percent, turn)
+        pairs, left = _candidates(postings, labels, left, most, percent, turn)
         if pairs is None:
             break
-        if now > left / 2:  # the classes that still share grams are not alike: list their pairs
-            pairs, now = _candidates(postings, sizes, labels, now, percent, turn)
-        found = stored(_linked(pairs, classes, rows, size, percent))
-        links = found if links is None else links.unionAll(found)
-        if labels is None or not found.isEmpty():
-            labels = stored(components(links))
-        turn, left = turn + 1, now
+        found = _linked(pairs, classes, rows, size, percent)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionAll(found)
+            last, labels = labels, components(links)
+            dropped(last)
+        turn += 1
+    dropped(postings)
 
     own = first.where("slice is null").select("_key", "n", "print")
     named = classes.select("print", F.col("class").alias("root"), "low")
@@ -275,17 +306,24 @@ def _with_print(docs: DataFrame, size: int, text: str) -> DataFrame:
 def keep_first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs with one row of each component: that of the smallest key (null last); of several rows with that key any one.
 
-    Rows without words all stay.
+    Rows without words (null and empty texts among them) all stay; of repeated rows one stays. Columns may have any
+    names. An empty table gives an empty one.
     """
+    own = docs.columns
+    docs, named = covered(docs)
+    return _first_of_each(docs, size, percent, named[text], named[key]).toDF(*own)
+
+
+def _first_of_each(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     names = docs.columns
     found = stored(_grouped(docs, size, percent, text, key))
     # A key that several rows have cannot tell them apart: such rows are told apart by their sets.
     shared = stored(found.groupBy("_key").count().where("count > 1 or _key is null").select("_key"))
-    dropped = found.where("n > 0 and (low is not null and (_key is null or _key > low))").select("_key")
-    kept = _by_keys(docs, dropped.unionAll(shared).distinct(), key, "left_anti")
+    others = found.where("n > 0 and (low is not null and (_key is null or _key > low))").select("_key")
+    _, kept = _by_keys(docs, others.unionAll(shared).distinct(), key, "left_anti")
     if shared.isEmpty():
         return kept
-    twins = _with_print(_by_keys(docs, shared, key, "left_semi"), size, text)
+    twins = _with_print(_by_keys(docs, shared, key, "left_semi")[1], size, text)
     which = found.select(F.col("print").alias("_print"), "n", "root", "low").distinct()
     twins = twins.join(which.select("_print", F.col("n").alias("_n"), F.col("root").alias("_root"), F.col("low").alias("_low")), "_print")
     winners = twins.where(F.col(key).eqNullSafe(F.col("_low")) & (F.col("_n") > 0)).dropDuplicates(["_root"])

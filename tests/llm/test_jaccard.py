@@ -91,3 +91,33 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 70: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["_k", "_key", "_print", "_n", "_root", "_low", "class", "~_k"]
+    rows = [(i, f"a b c d e f g h i j {'x' if i < 3 else i}", *range(8)) for i in (1, 2, 3)] + [(1, "other words in this text of that same key", *range(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = jaccard.keep_first_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted([rows[0], rows[2], rows[3]])
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_passages_that_many_unlike_texts_share(spark, monkeypatch, percent):
+    """Hot grams at the end of their sets pair nothing by themselves, and near copies among such texts are all found."""
+    rng = random.Random(percent)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([10, 60, 150]))]
+        words[len(words) // 2 : len(words) // 2] = passage
+        rows.append((2 * i, " ".join(words)))
+        near = list(words)
+        for _ in range(rng.choice([0, 1, 3, 9])):
+            near[rng.randrange(len(near))] = f"n{rng.random()}"
+        rows.append((2 * i + 1, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (jaccard.PAIRS_PER_POSTING, 1e9):
+        monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", most)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_sets(docs, 4, percent).collect())
+        assert got == sorted(brute(rows, 4, percent))
