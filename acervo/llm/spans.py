@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .jaccard import MULTIPLIER, mixed
-from .shared import columns, stored, text_batches
+from .shared import columns, covered, dropped, stored, text_batches
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
 LONG, GRAM, WITHIN = 8, 3, 6  # 3 * max(LONG, GRAM + WITHIN - 1) + MIN_WORDS - 1 is at most 50
@@ -115,9 +115,9 @@ def _all_runs(rows: DataFrame, cut_long: bool) -> DataFrame:
             found = [runs(t or b"", cut_long) for t in texts]
             place = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             hashes, begins, ends = (np.concatenate([f[k] for f in found]) for k in range(3))
-            yield columns(batch.select(["_key", "_print"]).take(pa.array(place)), ["_key", "_print"], {"run": pa.array(hashes), "begin": pa.array(begins), "end": pa.array(ends)})
+            yield columns(batch.select(["_key", "_print"]).take(pa.array(place)), ["_key", "_print"], {"run": pa.array(hashes), "begin": pa.array(begins, pa.int32()), "size": pa.array(ends - begins, pa.int32())})
 
-    more = "run bigint, begin bigint, end bigint"
+    more = "run bigint, begin int, size int"
     return rows.mapInArrow(run, T.StructType([rows.schema["_key"], rows.schema["_print"], *T.StructType.fromDDL(more).fields]))
 
 
@@ -131,7 +131,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cut
     found = stored(_all_runs(rows, cut_long))
     # the small sides are written, so that both sides of the joins are plain shuffles and a hot run can be split
     twice = stored(found.groupBy("run").count().where("count > 1").select("run"))
-    again = stored(found.join(twice, "run"))
+    place = F.shiftleft(F.col("begin").cast("long"), 32) + F.col("size")  # one number is shuffled for both, with few bytes that are not zero
+    again = stored(found.select("_key", "_print", "run", place.alias("place")).join(twice, "run"))
+    dropped(found, twice)
+    begin = F.shiftright("place", 32)
+    again = again.select("_key", "_print", "run", begin.alias("begin"), (begin + F.col("place").bitwiseAND((1 << 32) - 1)).alias("end"))
     order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_print", "begin")
     first = stored(again.groupBy("run").agg(F.min(order).alias("first")))
     later = again.join(first, "run").where(order > F.col("first"))
@@ -158,10 +162,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", mar
     Touched texts are also stripped at both ends; a text may become empty, its row stays.
     Null and empty texts stay as they are. With
     `marks`, the columns spans (null where nothing goes) and removed_bytes follow, in place of any columns so named.
+    Other columns may have any names. An empty table gives an empty one.
     """
+    own = [c for c in docs.columns if not (marks and c in ("spans", "removed_bytes"))]
+    plain, named = covered(docs.select(*(F.col(c) for c in own)))
+    done = _without_repeats(plain, named[text], named[key], marks, cut_long)
+    return done.toDF(*own, *(("spans", "removed_bytes") if marks else ()))
+
+
+def _without_repeats(docs: DataFrame, text: str, key: str, marks: bool, cut_long: bool) -> DataFrame:
     spans = repeated_spans(docs, text, key, cut_long).withColumnRenamed("_key", "_span_key").withColumnRenamed("_print", "_span_print")
-    names = [c for c in docs.columns if not (marks and c in ("spans", "removed_bytes"))]
-    rows = docs.select(*(F.col(c) for c in names), F.xxhash64(F.col(text).cast("string")).alias("_row_print"))
+    names = docs.columns
+    rows = docs.select("*", F.xxhash64(F.col(text).cast("string")).alias("_row_print"))
     same = F.col(key).eqNullSafe(F.col("_span_key")) & (F.col("_row_print") == F.col("_span_print"))
     joined = rows.join(spans.withColumnRenamed("spans", "_spans").hint("shuffle_hash"), same, "left")
 

@@ -106,3 +106,13 @@ def test_passages_without_whole_sentences(spark):
         runs_of = lambda t: {tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)}
         assert not runs_of(first) & runs_of(out[b])
         assert all(w in out[b] for w in later.split() if w.startswith("o0"))
+
+
+def test_columns_of_any_name(spark):
+    own = "A first sentence of some words stands here. And a second sentence has as many words as the first one has, or more than that."
+    names = ["_spans", "_span_key", "_row_print", "_key", "_print", "~_key", "begin"]
+    rows = [(i, own, *range(len(names))) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = spans.remove_repeats(docs, marks=True)
+    assert got.columns == [*docs.columns, "spans", "removed_bytes"]
+    assert sorted(tuple(r)[:9] for r in got.collect()) == [(1, own, *range(7)), (2, "", *range(7))]
