@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import covered
+
 PERIOD = 10_000  # slots of the schedule that repeats; at most so many sources
 BLOCK_CHARS = 1 << 15
 EXPONENT = 0.7  # default weights: text length of the source to this power
@@ -78,8 +80,17 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     """All rows and columns of docs with _block, _release, _deadline, _slot and _offset (characters of the block before the row).
 
     The order (_slot, _offset) is the mix. No row is dropped: sources without a
-    weight (or with 0) follow after all weighted ones, in slots that start behind the last period used.
+    weight (or with 0) follow after all weighted ones, in slots that start behind the last period used. The five
+    columns stand in place of any columns so named; other columns may have any names.
     """
+    made = ("_block", "_release", "_deadline", "_slot", "_offset")
+    own = [c for c in docs.columns if c not in made]
+    plain, named = covered(docs.select(*(F.col(c) for c in own)))
+    found = _places(plain, weights, named[text], named[source], named[key], block_chars, period)
+    return found.select(*plain.columns, *made).toDF(*own, *made)
+
+
+def _places(docs: DataFrame, weights: Mapping[str | None, float] | None, text: str, source: str, key: str, block_chars: int, period: int) -> DataFrame:
     rows = measured(docs, text, source, key)
     return _placed(rows, rows, default_weights(docs, text, source) if weights is None else weights, key, block_chars, period)
 
@@ -152,7 +163,7 @@ def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text"))
     rows = rows.select("*", F.coalesce(F.char_length("_text"), F.lit(0)).cast("long").alias("_length"))
     weights = default_weights(rows, "_text", "_source") if weights is None else weights
-    light = placed(rows, weights, "_text", "_source", "_key", block_chars, period)
+    light = _places(rows, weights, "_text", "_source", "_key", block_chars, period)
     return light.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_length").alias("n_chars"), F.col("_block").alias("block"),
                         F.col("_offset").alias("offset"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"))
 
@@ -161,15 +172,23 @@ def mixed_after(docs: DataFrame, work: Callable[[DataFrame, tuple[str, ...]], Da
     """What work makes of the rows, with slot and offset of mix_plan, sorted into the mix.
 
     work gets docs and the columns it has to keep, and gives one row per row; it runs once, ahead of every shuffle.
+    Columns of docs that begin with an underscore have other names there; text, source and key do not.
     """
-    rows = measured(docs, text, source, key)
+    plain, _ = covered(docs)
+    rows = measured(plain, text, source, key)
     done = work(rows, (key, "_name", "_chars", "_hash"))
-    placed_rows = _placed(done, rows, default_weights(docs, text, source), key, BLOCK_CHARS, PERIOD)
+    placed_rows = _placed(done, rows, default_weights(plain, text, source), key, BLOCK_CHARS, PERIOD)
     placed_rows = placed_rows.withColumnsRenamed({"_slot": "slot", "_offset": "offset"}).drop("_block", "_release", "_deadline")
     return placed_rows.orderBy("slot", "offset", key)
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
-    """All rows and columns of docs, sorted into the mix: written out, its files follow one another in mixed order."""
-    rows = placed(docs, weights, **options)
-    return rows.orderBy("_slot", "_offset").select(*(F.col(c) for c in docs.columns))
+    """All rows and columns of docs, sorted into the mix: written out, its files follow one another in mixed order.
+
+    Options are those of placed(). Null and empty texts take no room, a null source is a source of its own, repeated
+    rows are placed each, equal places follow in any order. Columns may have any names. An empty table gives an empty one.
+    """
+    plain, named = covered(docs)
+    options |= {"text": named[options.get("text", "text")], "source": named[options.get("source", "source")], "key": named[options.get("key", "doc_id")]}
+    rows = placed(plain, weights, **options)
+    return rows.orderBy("_slot", "_offset").select(*plain.columns).toDF(*docs.columns)

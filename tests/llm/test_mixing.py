@@ -66,3 +66,15 @@ def test_given_weights_and_odd_rows(spark):
 def test_too_many_sources():
     with pytest.raises(ValueError):
         mixing.whole_shares({str(i): 1 for i in range(11)}, 10)
+
+
+def test_columns_of_any_name(spark):
+    names = ["_name", "_chars", "_hash", "_bucket", "_block", "_slot", "_offset", "~_name"]
+    rows = [(i, "text " * 20, "a" if i % 3 else "b", *range(8)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mixed_order(docs, {"a": 1.0, "b": 1.0})
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == rows
+    placed = mixing.placed(docs)
+    assert set(placed.columns) == set(docs.columns) | {"_release", "_deadline"} and placed.count() == 30
+    assert placed.where("_slot >= 0 and _offset >= 0 and _name = 0").count() == 30
+    assert set(mixing.mixed_after(docs, lambda rows, keep: rows.select(*keep, "source")).columns) == {"doc_id", "source", "slot", "offset"}

@@ -7,13 +7,26 @@ import pytest
 import sentencepiece
 from test_jaccard import brute as groups
 from test_quality import base, grams
-from test_spans import brute as without_repeats
 
 import corpus_pipeline
-from acervo.llm import mixing, quality
+from acervo.llm import mixing, quality, spans
 from acervo.llm.queries import piece_model
 
 
+def without_repeats(docs):
+    """Every run of a text, by its words' hash; what a run covers goes from all places but the first."""
+    places, gone = {}, {}
+    for key, text in sorted(set(docs)):
+        for h, begin, end in zip(*spans.runs(text.encode(), True)):
+            places.setdefault(int(h), []).append((key, text, int(begin), int(end)))
+    for found in places.values():
+        for key, text, begin, end in sorted(found, key=lambda p: (p[0], p[2]))[1:]:
+            gone.setdefault((key, text), set()).update(range(begin, end))
+    for key, text in docs:
+        cut = gone.get((key, text))
+        yield key, text if not cut else bytes(b for i, b in enumerate(text.encode()) if i not in cut).strip().decode()
+
+
 def passes(docs, trusted):
     raw, target = [1] * quality.BUCKETS, [1] * quality.BUCKETS
     for i, t in docs:
@@ -35,7 +48,8 @@ def plain(spark, sf):
     good = list(passes(docs, trusted))
     first = {key for key, _, low in groups(good, 5, 80) if key == low}
     unique = [d for d in good if d[0] in first]
-    return [docs, good, unique, without_repeats(unique), without_repeats(unique)]
+    clean = list(without_repeats(unique))
+    return [docs, good, unique, clean, clean]
 
 
 def test_stages(spark, sf, plain):
@@ -68,6 +82,20 @@ def test_odd_tables(spark, tmp_path):
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == (1 if name == "full" else 0)
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    names = ["_name", "_k", "_spans", "_print", "_slot"]
+    good = [(i, " ".join(f"w{(i * 37 + j * j) % 400}" for j in range(60)), "en", "s", 1, *range(5)) for i in range(20)]
+    docs = spark.createDataFrame(good, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = corpus_pipeline.stored(out)
+    assert docs.where("_name = 0 and _slot = 4").count() == docs.count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
 def test_mix_survives_files_read_in_any_order(spark, sf):
     rows = [(i, "word and more words here. " * (300 + i % 7 * 100), "en", s, 0) for s, (a, b) in {"a": (0, 70), "b": (100, 120), None: (200, 207)}.items() for i in range(a, b)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(6)
