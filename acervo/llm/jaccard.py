@@ -34,8 +34,6 @@ from .shared import columns, covered, dropped, stored, text_batches, words
 SLOTS = 1 << 18  # counters that estimate how often grams occur; grams share counters
 SLICE = 1 << 11  # counters in one row
 STAR_ROUNDS = 8  # most rounds that compare with one class each; then all pairs that are left
-MIDDLES = 8  # classes of a gram that the others are compared with, from the second round on
-THINNED = 0.9  # a round that leaves more than this share of the pairs no longer thins them out
 PAIRS_PER_POSTING = 1.0  # all pairs that are left are compared once they are no more than this for each posting there was
 BROADCAST_IDS = 200_000  # ids up to this number are broadcast, more are joined by shuffling
 KEPT_WORDS = 400_000
@@ -181,20 +179,15 @@ def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most
     fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.label") != F.col("y.label"))
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits &= rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-    last = turn >= STAR_ROUNDS or total.pairs <= most or total.pairs > THINNED * left
+    last = turn >= STAR_ROUNDS or total.pairs <= most or total.pairs > left / 2
     middle = None
     if last:
         smaller = F.struct("x.n", "x.class") < F.struct("y.n", "y.class")
         found = live.where(early).alias("x").join(live.alias("y"), "gram").where(fits & smaller)
     else:
-        # classes that share grams without being alike need several to be compared with, until one of them links
-        count = 1 if turn == 0 else MIDDLES
-        salts = range(turn * MIDDLES, turn * MIDDLES + count)
-        least = [F.min(F.struct((~early).alias("late"), F.xxhash64("class", F.lit(k)).alias("h"), "class", "n", "pos", "label")) for k in salts]
-        middle = marked.groupBy("gram").agg(F.array(*least).alias("c"))
-        middle = middle.join(by_gram.select("gram"), "gram", "left_semi").select("gram", F.explode("c").alias("c")).select("gram", "c.class", "c.n", "c.pos", "c.label")
-        middle = stored(middle.distinct())
-        found = live.alias("x").join(middle.alias("y"), "gram").where(fits)
+        middle = marked.groupBy("gram").agg(F.min(F.struct((~early).alias("late"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "label")).alias("c"))
+        middle = stored(middle.join(by_gram.select("gram"), "gram", "left_semi"))
+        found = live.alias("x").join(middle.select("gram", "c.*").alias("y"), "gram").where(fits)
     pairs = stored(found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
     dropped(marked, by_gram, middle)
     return pairs, 0.0 if last else total.pairs
