@@ -96,3 +96,13 @@ def test_cosine_compares_all_known_texts(spark):
     asked = spark.createDataFrame([(1000 + i, f"word{i}") for i in range(0, 700, 50)], "AppID bigint, g string")
     got = {r["AppID"]: r["previsto"] for r in I.cosine_nearest(asked, known, "g", "p").collect()}
     assert got == {1000 + i: f"p{i}" for i in range(0, 700, 50)}
+
+
+def test_capitals_letter_for_letter_as_in_sql(spark):
+    """A first letter without a single common capital, a sigma at the end of a word, an I with a dot; as DuckDB has them."""
+    import duckdb
+
+    texts = ["\u00dfieung", "\ufb01eld", "\u1fb3x", "x\u03a3 \u0391\u03a3", "a\u0130b", "\u0130a", "\u03a3x", "", " "]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(capitalized(F.col("t"))).collect()]
+    sql = "SELECT upper(substr(trim(t, ' '), 1, 1)) || lower(substr(trim(t, ' '), 2)) FROM (SELECT ?::VARCHAR AS t)"
+    assert got == [duckdb.connect().execute(sql, [t]).fetchone()[0] for t in texts]
