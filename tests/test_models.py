@@ -122,3 +122,27 @@ def test_feature_edges(spark):
     w = {(r["usuario_id"], r["item"]): r["peso"] for r in FE.interactions(s.unionByName(s)).collect()}
     assert w[(1, 10)] == pytest.approx(2 * (np.log1p(2.0) + 1)) and w[(1, 11)] == 2.0
     assert FE.good_game_label(games.withColumn("avaliacao_media", F.lit(None).cast("double"))).first()["target"] == 0
+
+
+def test_iterated_rows_are_spread_over_the_cores(spark):
+    from acervo.session import cut_lineage, spread
+
+    rows = spark.range(30_000)
+    assert cut_lineage(rows.repartition("id")).rdd.getNumPartitions() == 1  # some KB: adaptive execution takes one task
+    even = spread(rows, "id")
+    assert even.rdd.getNumPartitions() == 3 and even.distinct().count() == 30_000
+
+
+def test_forests_keep_the_nodes_of_their_rows(spark):
+    rows = spark.range(60).selectExpr("id", "double(id % 7) AS a", "double(id) AS b", "int(id >= 30) AS target")
+    model = M.train_quality_rf(rows, trees=3, depth=3)
+    assert model.stages[1].getOrDefault("cacheNodeIds")
+
+
+def test_starts_run_side_by_side_give_the_same_clusters(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(200).selectExpr("id AS usuario_id", "double(id % 4 * 10 + id / 1000) AS a", "double(id % 2) AS b")
+    points = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).select("usuario_id", "features")
+    alone, together = (M.best_kmeans(points, 3, 5, starts=3, parallelism=n) for n in (1, 6))
+    assert alone[0].getK() == together[0].getK() == 4 and alone[1] == together[1]
