@@ -146,3 +146,19 @@ def test_starts_run_side_by_side_give_the_same_clusters(spark):
     points = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).select("usuario_id", "features")
     alone, together = (M.best_kmeans(points, 3, 5, starts=3, parallelism=n) for n in (1, 6))
     assert alone[0].getK() == together[0].getK() == 4 and alone[1] == together[1]
+
+
+def test_products_move_no_row_for_a_single_weight(spark, monkeypatch):
+    """300 users with 40 of 60 items each, in 3 x 2 blocks: the product's partial sums, not its 12,000 weights, are what is grouped; results stay."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(K, "block_count", lambda n: 3 if n == 300 else 2)
+    edges = spark.range(300).selectExpr("id AS usuario_id", "explode(sequence(0, 39)) AS j").selectExpr(
+        "usuario_id", "(usuario_id + j) % 60 AS item", "double(1 + (usuario_id * 7 + j) % 5) AS peso")
+    grid = K._grid(edges)
+    needs = K._needs(grid, "item", "_ub")
+    factor = needs.select("item", F.array(F.col("item").cast("double"), F.lit(1.0)).alias("v"))
+    out = K._times(grid, factor, needs, "item", "usuario_id", 2)
+    got = {r["usuario_id"]: r["v"] for r in out.collect()}
+    want = {r["usuario_id"]: [r["a"], r["b"]] for r in edges.groupBy("usuario_id").agg(F.sum(F.col("peso") * F.col("item")).alias("a"), F.sum("peso").alias("b")).collect()}
+    assert got == want
+    assert needs.select(F.sum(F.size("_others"))).first()[0] <= 60 * 3 and "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()
