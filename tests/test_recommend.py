@@ -205,3 +205,15 @@ def test_lists_do_not_depend_on_layout(spark, sf):
     a = R.recommend(users, items, 10, "aventureiro").select("usuario_id", "rank", "item")
     b = R.recommend(users.repartition(5), items.repartition(3), 10, "aventureiro").select("usuario_id", "rank", "item")
     assert key(a) == key(b)
+
+
+def test_users_with_one_vector_are_scored_once(spark, vectors):
+    """Lists of users who share a vector are those of each user alone; a block scores the shared vector a single time."""
+    _, items, _, _ = vectors
+    users = spark.createDataFrame([(i, [1.0, -0.5, 0.25, 0.0, 2.0] if i % 4 else [0.1 * i, 0.0, 1.0, 0.0, 0.0]) for i in range(12)], "usuario_id bigint, vetor array<double>")
+    together = key(R.recommend_modes(users, items, 10))
+    alone = [row for u in range(12) for row in key(R.recommend_modes(users.where(F.col("usuario_id") == u), items, 10))]
+    assert [x[:4] + x[5:] for x in together] == [x[:4] + x[5:] for x in sorted(alone)]
+    assert key(R.recommend_modes(users, items, 10, cell_rows=9)) == together
+    found, number = tiles.distinct_rows(np.array([[1.0, 2.0], [0.0, 1.0], [1.0, 2.0]]))
+    assert len(found) == 2 and (found[number] == [[1.0, 2.0], [0.0, 1.0], [1.0, 2.0]]).all()
