@@ -162,3 +162,14 @@ def test_products_move_no_row_for_a_single_weight(spark, monkeypatch):
     want = {r["usuario_id"]: [r["a"], r["b"]] for r in edges.groupBy("usuario_id").agg(F.sum(F.col("peso") * F.col("item")).alias("a"), F.sum("peso").alias("b")).collect()}
     assert got == want
     assert needs.select(F.sum(F.size("_others"))).first()[0] <= 60 * 3 and "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()
+
+
+def test_pivot_by_user_shuffles_no_wide_rows(spark, sf):
+    """Hours meet their user in one shuffle; the pivot's rows of all genres stay in place."""
+    from acervo.plans import bindings as B
+
+    wide = FE.genre_hours(B.sessions(spark, sf), B.games(spark, sf), B.game_categories(spark, sf))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    before = plan[: plan.index("pivotfirst", plan.index("pivotfirst") + 1)] if plan.count("pivotfirst") > 1 else plan
+    assert "Exchange" not in before[before.index("pivotfirst") :]
+    assert "repartition" in plan.lower() or "REPARTITION_BY_COL" in plan
