@@ -185,7 +185,9 @@ def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most
         smaller = F.struct("x.n", "x.class") < F.struct("y.n", "y.class")
         found = live.where(early).alias("x").join(live.alias("y"), "gram").where(fits & smaller)
     else:
-        middle = marked.groupBy("gram").agg(F.min(F.struct((~early).alias("late"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "label")).alias("c"))
+        # first the set with the fewest grams rarer than this one, the one nearest to what the others have in common; later any
+        order = F.col("pos") / F.col("n") if turn == 0 else F.lit(0.0)
+        middle = marked.groupBy("gram").agg(F.min(F.struct((~early).alias("late"), order.alias("o"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "label")).alias("c"))
         middle = stored(middle.join(by_gram.select("gram"), "gram", "left_semi"))
         found = live.alias("x").join(middle.select("gram", "c.*").alias("y"), "gram").where(fits)
     pairs = stored(found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())

@@ -121,3 +121,25 @@ def test_passages_that_many_unlike_texts_share(spark, monkeypatch, percent):
         monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", most)
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_sets(docs, 4, percent).collect())
         assert got == sorted(brute(rows, 4, percent))
+
+
+def test_a_large_group_of_near_copies_is_compared_with_its_middle(spark, monkeypatch):
+    """Sets with few words of their own link most of the group, so few pairs are left, and the components are those of all pairs."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(min(i, 1 + i % 6)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    compared = []
+
+    def counted(pairs, *more, linked=jaccard._linked):
+        compared.append(pairs.count())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jaccard.similar_sets(docs, 4, 85)) == brute(rows, 4, 85)
+    assert sum(compared) < 8 * len(rows), compared
