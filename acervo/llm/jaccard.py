@@ -156,8 +156,10 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "print binary, grams array<bigint>")
 
 
-def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most: float, percent: int, turn: int) -> tuple[DataFrame | None, float]:
-    """Pairs (a, b) of classes to compare next, and how many pairs will be left to list; 0 where these are all.
+def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most: float, percent: int, turn: int) -> tuple[DataFrame | None, float, DataFrame]:
+    """Pairs (a, b) of classes to compare next, how many pairs will be left to list (0 where these are all), and postings that may yet give some.
+
+    The postings given are those of the call before, and are removed once they are written anew.
 
     At most `most` pairs are listed at once, more only where comparing with one class no longer thins out what was `left`.
     """
@@ -166,6 +168,7 @@ def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most
     else:
         marked = postings.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
         marked = stored(marked)
+        dropped(*postings.behind)
     # a pair has one side whose gram stands early enough to be the first that it shares with a set not smaller
     early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
     by_label = marked.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m"), F.count_if(early).cast("double").alias("e"))
@@ -174,7 +177,7 @@ def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most
     total = by_gram.agg(F.sum("pairs").alias("pairs")).first()
     if not total.pairs:
         dropped(marked, by_gram)
-        return None, 0.0
+        return None, 0.0, postings
     live = marked.join(by_gram.select("gram"), "gram", "left_semi")
     fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.label") != F.col("y.label"))
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -187,12 +190,17 @@ def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most
     else:
         # first the set with the fewest grams rarer than this one, the one nearest to what the others have in common; later any
         order = F.col("pos") / F.col("n") if turn == 0 else F.lit(0.0)
-        middle = marked.groupBy("gram").agg(F.min(F.struct((~early).alias("late"), order.alias("o"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "label")).alias("c"))
-        middle = stored(middle.join(by_gram.select("gram"), "gram", "left_semi"))
+        middle = live.groupBy("gram").agg(F.min(F.struct((~early).alias("late"), order.alias("o"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "label")).alias("c"))
+        middle = stored(middle)
         found = live.alias("x").join(middle.select("gram", "c.*").alias("y"), "gram").where(fits)
     pairs = stored(found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
-    dropped(marked, by_gram, middle)
-    return pairs, 0.0 if last else total.pairs
+    dropped(middle)
+    # a gram whose classes are all in one component stays so: later rounds leave its postings out
+    again = live.drop("label")
+    again.behind = (postings if labels is None else marked, by_gram)
+    if last:
+        dropped(*again.behind)
+    return pairs, 0.0 if last else total.pairs, again
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -250,7 +258,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, text: str, key: str) -> D
 
     links, labels, turn, left = None, None, 0, float("inf")
     while left:
-        pairs, left = _candidates(postings, labels, left, most, percent, turn)
+        pairs, left, postings = _candidates(postings, labels, left, most, percent, turn)
         if pairs is None:
             break
         found = _linked(pairs, classes, rows, size, percent)
