@@ -1,9 +1,11 @@
 """Cell-by-cell search against scoring every pair."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from acervo.operators import pruned as P, recommend as R
+from acervo.operators.tiles import strips
 
 
 def key(df):
@@ -88,3 +90,18 @@ def test_one_wanted_cell_and_few_items(spark):
     got = P.best_pairs(u, P.build_cells(v, rows=3), 50, group_rows=9)
     assert got.count() == 200 * 30  # fewer items than asked for
     assert key(got.where("rank = 1").select("item").distinct()) == [(1000 + best(users, items, 1)[0][0][0],)]
+
+
+def test_memory_of_a_block_and_of_a_batch_of_visits_is_bounded():
+    n_cells, n = 4096, 300
+    for items in (2_000, 20_000, 100_000):
+        assert max(part.stop - part.start for part in strips(20_000, items)) * items * 8 <= 8_000_000
+    cells = P.Cells(None, np.zeros((n_cells, 64)), np.ones(n_cells), np.ones(n_cells), np.ones(n_cells))
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.ones(64 * n)), 64).cast(pa.list_(pa.float64()))
+    table = pa.table({"usuario_id": np.arange(n), "vetor": vectors, "_need": np.zeros(n)})
+    rows, most, before = 0, 0, pa.total_allocated_bytes()
+    for batch in P.visit_rows(table, ["usuario_id", "vetor"], cells, lambda bounds, need: bounds > -np.inf):  # all visit all cells
+        rows += batch.num_rows
+        most = max(most, pa.total_allocated_bytes() - before)
+        assert batch.num_rows <= 10_000
+    assert rows == n * n_cells and most < 30_000_000  # in one piece they would be 640 MB
