@@ -106,3 +106,15 @@ def test_capitals_letter_for_letter_as_in_sql(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(capitalized(F.col("t"))).collect()]
     sql = "SELECT upper(substr(trim(t, ' '), 1, 1)) || lower(substr(trim(t, ' '), 2)) FROM (SELECT ?::VARCHAR AS t)"
     assert got == [duckdb.connect().execute(sql, [t]).fetchone()[0] for t in texts]
+
+
+def test_a_task_of_the_library_does_not_grow_with_the_input(spark, sf, monkeypatch):
+    from acervo import session
+    from acervo.plans import bindings as B
+
+    monkeypatch.setattr(session, "PIECE_ROWS", 500)
+    rows = B.library(spark, sf)
+    lines = B.table(spark, sf, "lineitem").count()
+    parts = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) >= lines // 600 and max(r["count"] for r in parts) < 1000
+    assert sum(r["count"] for r in parts) == rows.select("usuario_id", "jogo_id").distinct().count()
