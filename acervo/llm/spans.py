@@ -32,27 +32,43 @@ from .shared import columns, covered, dropped, stored, text_batches
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
 LONG, GRAM, WITHIN = 8, 3, 6  # 3 * max(LONG, GRAM + WITHIN - 1) + MIN_WORDS - 1 is at most 50
-WORD = re.compile(rb"[^ \t-\r]+")
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = re.compile(rb"[.!?]+[\"')\]]*(?=[ \t-\r])|\n|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
 BACK = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+KEPT_POWERS = 1 << 14
 
 
-def sentences(text: bytes) -> tuple[list[int], list[int], list[int], list[bytes], list[int]]:
+def _powers(of: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, of)
+    steps[:1] = 1
+    return np.cumprod(steps)
+
+
+POWERS = {int(of): _powers(of, KEPT_POWERS) for of in (MULTIPLIER, BACK)}
+
+
+def powers(of: np.uint64, n: int) -> np.ndarray:
+    """The first n powers, modulo 2^64; KEPT_POWERS of them are at hand."""
+    return POWERS[int(of)][:n] if n <= KEPT_POWERS else _powers(of, n)
+
+
+def sentences(text: bytes) -> tuple[list[int], list[int], list[int], list[bytes], np.ndarray]:
     """Start of each sentence, its number of words, its hash (lower case, white space as one space); all words and their starts."""
     starts, counts, hashes, at, low = [], [], [], 0, text.lower()
     words: list[bytes] = []
-    begins: list[int] = []
     for end in [m.end() for m in STOP.finditer(text)] + [len(text)]:
-        places = list(WORD.finditer(low, at, end))
-        if places:
-            found = [m[0] for m in places]
+        found = low[at:end].split()
+        if found:
             starts.append(at)
             counts.append(len(found))
             hashes.append(xxhash.xxh64_intdigest(b" ".join(found)))
             words += found
-            begins += [m.start() for m in places]
             at = end
-    return starts, counts, hashes, words, begins
+    # a word begins after a space, and where a sentence does without one
+    inside = np.concatenate([SPACE[:1], ~SPACE[np.frombuffer(text, np.uint8)]])
+    begin = inside[1:] & ~inside[:-1]
+    begin[starts] = inside[1:][starts]
+    return starts, counts, hashes, words, np.flatnonzero(begin)
 
 
 def pieces(words: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +88,17 @@ def pieces(words: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarra
     windows = np.lib.stride_tricks.sliding_window_view(mixed(grams)[::-1], WITHIN)
     found = len(grams) - 1 - (np.arange(len(windows)) + windows.argmin(1))  # of equal hashes the last word
     cuts = np.zeros(len(codes) + 1, bool)
-    cuts[found] = np.repeat(sizes, sizes)[found] > LONG
+    cuts[found] = np.repeat(sizes > LONG, sizes)[found]
     cuts[edges] = True
     return codes, np.flatnonzero(cuts)
 
 
-def _run_hashes(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Hash of the codes from the first to before the second of each pair."""
-    steps, undo = np.full(len(codes), MULTIPLIER), np.full(len(codes), BACK)
-    steps[:1] = undo[:1] = 1
-    scaled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * np.cumprod(steps), dtype=np.uint64)])
-    return mixed((scaled[pairs[:, 1]] - scaled[pairs[:, 0]]) * np.cumprod(undo)[pairs[:, 0]] + (pairs[:, 1] - pairs[:, 0]).astype(np.uint64))
+def _run_hashes(codes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hash of the codes from each of the first to before the second beside it."""
+    first, end = pairs
+    scaled = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(MULTIPLIER, len(codes)), out=scaled[1:])
+    return mixed((scaled[end] - scaled[first]) * powers(BACK, len(codes))[first] + (end - first).astype(np.uint64))
 
 
 def runs(text: bytes, cut_long: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,18 +111,22 @@ def runs(text: bytes, cut_long: bool = True) -> tuple[np.ndarray, np.ndarray, np
     first = np.arange(n)
     stop = np.maximum(first + MIN_SENTENCES, np.searchsorted(total, total[:-1] + MIN_WORDS))
     back = np.minimum(first + 1 - MIN_SENTENCES, np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1)
-    pairs = np.concatenate([np.stack([first, stop], 1)[stop <= n], np.stack([back, first + 1], 1)[(back >= 0) & (total[1:] >= MIN_WORDS)]])
-    pairs = np.unique(pairs, axis=0)
+    on, before = stop <= n, (back >= 0) & (total[1:] >= MIN_WORDS)
+    whole = np.sort(np.concatenate([first[on] * (n + 1) + stop[on], back[before] * (n + 1) + first[before] + 1]))
+    pairs = np.divmod(whole[np.concatenate([whole[:1] >= 0, whole[1:] != whole[:-1]])], n + 1)
     codes, edges = pieces(words, counts) if cut_long else (np.empty(0, np.uint64), np.zeros(1, np.int64))
     ends = np.searchsorted(edges, edges[:-1] + MIN_WORDS)
-    inner = np.stack([edges[:-1], edges[np.minimum(ends, len(edges) - 1)]], 1)[ends < len(edges)]
-    width = len(words) + 1
-    inner = inner[~np.isin(inner[:, 0] * width + inner[:, 1], total[pairs[:, 0]] * width + total[pairs[:, 1]])]  # not the runs of sentences again
+    whole_pieces = ends < len(edges)
+    inner = edges[:-1][whole_pieces], edges[ends[whole_pieces]]
+    width, spans = len(words) + 1, (total[pairs[0]], total[pairs[1]])
+    if len(spans[0]) and len(inner[0]):
+        taken, own = np.sort(spans[0] * width + spans[1]), inner[0] * width + inner[1]
+        new = taken[np.minimum(np.searchsorted(taken, own), len(taken) - 1)] != own  # not the runs of sentences again
+        inner = inner[0][new], inner[1][new]
     h = np.concatenate([_run_hashes(np.array(hashes, np.uint64), pairs), _run_hashes(codes, inner)])
-    at = np.array([*begins, len(text)], np.int64)
+    at = np.concatenate([begins, [len(text)]])
     at[total] = [*starts, len(text)]
-    pairs = np.concatenate([total[pairs], inner])
-    return h.view(np.int64), at[pairs[:, 0]], at[pairs[:, 1]]
+    return h.view(np.int64), at[np.concatenate([spans[0], inner[0]])], at[np.concatenate([spans[1], inner[1]])]
 
 
 def _all_runs(rows: DataFrame, cut_long: bool) -> DataFrame:
