@@ -37,6 +37,7 @@ STAR_ROUNDS = 8  # most rounds that compare with one class each; then all pairs
 PAIRS_PER_POSTING = 1.0  # all pairs that are left are compared once they are no more than this for each posting there was
 BROADCAST_IDS = 200_000  # ids up to this number are broadcast, more are joined by shuffling
 KEPT_WORDS = 400_000
+ARROW_TEXTS = 2000  # rows of a batch of texts
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SALTS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -223,7 +224,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, pe
     sets = _sets(texts, size).join(needed.select("class", "print"), "print").groupBy("class").agg(F.first("grams").alias("grams"))
     whole = good.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     common = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
-    found = stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"))
+    found = stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), ARROW_TEXTS)
     dropped(good, needed, keys)
     return found
 
@@ -240,7 +241,7 @@ def _by_keys(docs: DataFrame, keys: DataFrame, key: str, how: str) -> tuple[Data
 def _grouped(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     """Per row of docs: _key, n, print, root (of its component, null without grams), low (the component's smallest key)."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    first = stored(_counts_and_sets(rows, size))
+    first = stored(_counts_and_sets(rows, size), ARROW_TEXTS)
     slices = first.where("slice is not null").select("slice", F.posexplode("counts").alias("place", "c"))
     sums = slices.groupBy("slice", "place").agg(F.sum("c").alias("c")).toPandas()
     counters = np.zeros(SLOTS, np.int64)
@@ -248,7 +249,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, text: str, key: str) -> D
 
     per_print = _prefixes(rows, size, percent, counters).groupBy("print").agg(
         F.min("_key").alias("low"), *(F.first(c).alias(c) for c in ("n", "rare", "left", "right")))
-    classes = stored(per_print.withColumn("class", F.monotonically_increasing_id()))
+    classes = stored(per_print.withColumn("class", F.monotonically_increasing_id()), ARROW_TEXTS)
     grams = classes.select("class", "n", F.posexplode("rare").alias("pos", "gram"))
     # small sides of joins are written first: both sides are then plain shuffles, and a hot gram can be split
     shared = stored(grams.groupBy("gram").count().where("count > 1").select("gram"))

@@ -36,6 +36,8 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = re.compile(rb"[.!?]+[\"')\]]*(?=[ \t-\r])|\n|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
 BACK = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 KEPT_POWERS = 1 << 14
+RUN_BYTES = 1 << 20  # of text at once: its runs take several times that
+ARROW_TEXTS = 1000  # rows of a batch of texts
 
 
 def _powers(of: np.uint64, n: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def runs(text: bytes, cut_long: bool = True) -> tuple[np.ndarray, np.ndarray, np
 
 def _all_runs(rows: DataFrame, cut_long: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, "_text"):
+        for batch, texts in text_batches(batches, "_text", RUN_BYTES):
             found = [runs(t or b"", cut_long) for t in texts]
             place = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             hashes, begins, ends = (np.concatenate([f[k] for f in found]) for k in range(3))
@@ -148,7 +150,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cut
     Rows equal in key and text count as one document.
     """
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_print"), F.col(text).cast("string").alias("_text"))
-    found = stored(_all_runs(rows, cut_long))
+    found = stored(_all_runs(rows, cut_long), ARROW_TEXTS)
     # the small sides are written, so that both sides of the joins are plain shuffles and a hot run can be split
     twice = stored(found.groupBy("run").count().where("count > 1").select("run"))
     place = F.shiftleft(F.col("begin").cast("long"), 32) + F.col("size")  # one number is shuffled for both, with few bytes that are not zero
@@ -198,7 +200,7 @@ def _without_repeats(docs: DataFrame, text: str, key: str, marks: bool, cut_long
     joined = rows.join(spans.withColumnRenamed("spans", "_spans").hint("shuffle_hash"), same, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, text):
+        for batch, texts in text_batches(batches, text, RUN_BYTES):
             spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
             done = [(t, 0) if s is None or t is None else without(t, s) for t, s in zip(texts, spans)]
             kept = columns(batch, names, {})

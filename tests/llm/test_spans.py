@@ -152,3 +152,19 @@ def test_runs_cost_little_more_than_finding_the_words():
         return min(took)
 
     assert best(spans.runs) < 2.7 * best(plain_places)
+
+
+def test_batches_of_texts_are_small(spark):
+    from acervo.llm.shared import ARROW_ROWS, stored
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get(ARROW_ROWS)
+    found = stored(spark.range(0, 12_000, 1, 1).mapInArrow(sizes, "n bigint"), spans.ARROW_TEXTS)
+    assert {r.n for r in found.collect()} == {spans.ARROW_TEXTS} and spark.conf.get(ARROW_ROWS) == before
+    rows = spark.range(0, 1, 1, 1).selectExpr("id as _key", "id as _print", "repeat('All of it repeats, one word after the other, here. ', 200000) as _text").union(
+        spark.range(0, 100, 1, 1).selectExpr("id", "id", "repeat('All of it repeats, one word after the other, here. ', 2000)")).coalesce(1)
+    batches = spans._all_runs(rows, True).mapInArrow(sizes, "n bigint").collect()
+    assert len(batches) > 5
