@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .shared import dropped, stored
 
 
-def _state(links: DataFrame) -> tuple:
-    """Count and order-free digest of the links; the same twice means that nothing moved."""
-    r = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
-    return r.n, r.x, r.s
+def _done(links: DataFrame) -> bool:
+    """Whether the links, each to a smaller id, are stars: every id has one link, and none to an id that has a link itself."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,14 +36,12 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder in place of the one before, the result as well. Links to itself, repeated links and nulls do no harm.
     """
     links = stored(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
-    state = _state(links)
-    while state[0]:
-        last, links = links, stored(_small_star(_large_star(links).distinct()).distinct())
+    done = links.isEmpty()
+    while not done:
+        last, links = links, stored(_small_star(_large_star(links)).distinct())
         dropped(last)
-        before, state = state, _state(links)
-        if state == before:
-            break
+        done = _done(links)
     found = links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-    done = stored(found)
+    named = stored(found)
     dropped(links)
-    return done
+    return named

@@ -3,9 +3,10 @@
 A set of n grams that reaches the threshold with a partner shares at least
 ceil(t n) grams with it, so under any global order of all grams the two sets
 share one of their first n - ceil(t n) + 1. Three orders are used: grams by
-their count in the corpus (rare first), and two by independent hashes. Pairs
-come from shared prefix grams of the first order, must share prefix grams of
-the other two and be of fitting size, and only then are whole sets compared.
+their count in the corpus (rare first), and by a hash from its lower and from
+its upper end. Pairs come from shared prefix grams of the first order, must
+share prefix grams of the other two and be of fitting size, and only then are
+whole sets compared. What the two ends lack of each other adds up: both lie apart.
 In the first order places count too: if the first gram that two sets share stands at
 places i and j, they have at most min(n - i, m - j) in common from there on, and the smaller
 set has it among its first n - ceil(2t/(1+t) n) + 1. So frequent grams, last in their sets, seldom pair any.
@@ -36,21 +37,10 @@ SLICE = 1 << 11  # counters in one row
 STAR_ROUNDS = 8  # most rounds that compare with one class each; then all pairs that are left
 PAIRS_PER_POSTING = 1.0  # all pairs that are left are compared once they are no more than this for each posting there was
 BROADCAST_IDS = 200_000  # ids up to this number are broadcast, more are joined by shuffling
-KEPT_WORDS = 400_000
 ARROW_TEXTS = 2000  # rows of a batch of texts
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-SALTS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-
-
-class WordHashes(dict):
-    """64-bit hash of each word, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,11 +50,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(found: list[bytes], size: int, known: WordHashes) -> np.ndarray:
+def gram_hashes(found: list[bytes], size: int) -> np.ndarray:
     """Hash of every gram of `size` words; a shorter text is one gram as a whole, one without words has none."""
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), ">u8").astype(np.uint64)
     length = min(size, len(h))
     out = np.full(len(h) - length + 1, length, np.uint64)
     for i in range(length):
@@ -72,6 +62,12 @@ def gram_hashes(found: list[bytes], size: int, known: WordHashes) -> np.ndarray:
     return mixed(out)
 
 
+def gram_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct grams of a text, sorted."""
+    grams = np.sort(gram_hashes(words(text), size))
+    return grams[np.append(True, grams[1:] != grams[:-1])] if len(grams) else grams
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -80,12 +76,12 @@ def _counts_and_sets(rows: DataFrame, size: int) -> DataFrame:
     """Per row: _key, n, print (128-bit digest of the set); per task: slices of the gram counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counters, kind = WordHashes(), np.zeros(SLOTS, np.int64), None
+        counters, kind = np.zeros(SLOTS, np.int64), None
         for batch, texts in text_batches(batches, "_text"):
             kind = batch.schema.field("_key").type
             sizes, prints = [], []
             for t in texts:
-                grams = np.unique(gram_hashes(words(t), size, known))
+                grams = gram_set(t, size)
                 counters += np.bincount((grams & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(grams) > SLOTS // 8 else 0
                 if len(grams) <= SLOTS // 8:
                     np.add.at(counters, (grams & np.uint64(SLOTS - 1)).astype(np.int64), 1)
@@ -112,20 +108,20 @@ def _prefixes(rows: DataFrame, size: int, percent: int, counters: np.ndarray) ->
     shared = rows.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = WordHashes(), shared.value
+        often = shared.value
         for batch, texts in text_batches(batches, "_text"):
             sizes, prints, lists, places = [], [], ([], [], []), []
             for row, t in enumerate(texts):
-                grams = np.unique(gram_hashes(words(t), size, known))
+                grams = gram_set(t, size)
                 n = len(grams)
                 if not n:
                     continue
                 p = prefix_length(n, percent)
                 count = often[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]
                 lists[0].append(grams[np.lexsort((grams, count))[:p]].view(np.int64))
-                for k, salt in enumerate(SALTS):
-                    other = mixed(grams ^ salt)
-                    lists[k + 1].append((np.partition(other, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                other = np.sort((mixed(grams ^ SALT) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                lists[1].append(other[:p])
+                lists[2].append(other[::-1][:p])
                 places.append(row)
                 sizes.append(n)
                 prints.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
@@ -145,9 +141,8 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     """Per row: print and grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for _, texts in text_batches(batches, "_text"):
-            found = [np.unique(gram_hashes(words(t), size, known)) for t in texts]
+            found = [gram_set(t, size) for t in texts]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
                 "print": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary()),
@@ -206,26 +201,36 @@ def _candidates(postings: DataFrame, labels: DataFrame | None, left: float, most
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the written pairs that reach the threshold, written; the pairs are removed."""
-    info = classes.select("class", "n", "left", "right")
-    both = pairs.join(info.toDF("a", "na", "la", "ra"), "a").join(info.toDF("b", "nb", "lb", "rb"), "b")
-
-    # the shared part of two prefixes, and all that may lie beyond them, have to make up the intersection
-    def enough(a: str, b: str) -> Column:
-        beyond = F.greatest(F.col("na") - F.size(F.array_distinct(a)), F.col("nb") - F.size(F.array_distinct(b)))
-        return (F.size(F.array_intersect(a, b)) + beyond) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-
-    meet = F.arrays_overlap("la", "lb") & F.arrays_overlap("ra", "rb")
-    good = stored(both.where(meet).where(enough("la", "lb") & enough("ra", "rb")).select("a", "b", "na", "nb"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids.distinct()
+    info = classes.select("class", "n", "left", "right", "print", F.col("low").alias("key")).join(ids, "class", "left_semi")
+    both = pairs.join(info.toDF("a", "na", "la", "ra", "pa", "ka"), "a").join(info.toDF("b", "nb", "lb", "rb", "pb", "kb"), "b")
+    both = both.withColumn("low", F.array_intersect("la", "lb")).withColumn("high", F.array_intersect("ra", "rb"))
+    both = both.withColumn("low_last", F.array_max("low")).withColumn("high_last", F.array_min("high"))
+
+    # of the first grams at an end, up to the last one that both have, the others are in one set only; equal short hashes count as shared
+    def apart(first: str, end: str) -> Column:
+        return F.array_position(first, F.col(f"{end}_last")) - F.size(end) - (F.size(first) - F.size(F.array_distinct(first)))
+
+    def enough(n: str, x: str, y: str) -> Column:
+        lower, upper = apart(x, "low"), apart(y, "high")
+        most = F.when(F.size(x) * 2 <= F.col(n), lower + upper).otherwise(F.greatest(lower, upper))  # the ends of a small set may overlap
+        return (F.col(n) - most) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+
+    meet = (F.size("low") > 0) & (F.size("high") > 0)
+    good = stored(both.where(meet & enough("na", "la", "ra") & enough("nb", "lb", "rb")).select("a", "b", "na", "nb", "pa", "pb", "ka", "kb"))
     dropped(pairs)
-    ids = good.select(F.col("a").alias("class")).unionAll(good.select(F.col("b").alias("class"))).distinct()
-    needed = stored(classes.select("class", "print", "low").join(ids, "class", "left_semi"))
-    keys, texts = _by_keys(rows, needed.select("low").distinct(), "_key", "left_semi")
+    sides = (F.struct(F.col(x).alias("class"), F.col(f"p{x}").alias("print"), F.col(f"k{x}").alias("low")) for x in "ab")
+    needed = stored(good.select(F.inline(F.array(*sides))).distinct())
+    few = needed.count() <= BROADCAST_IDS
+    keys, wanted = needed.select(F.col("low").alias("_k")).distinct(), needed.select("class", "print")
+    texts = rows.join(F.broadcast(keys) if few else keys, F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
     # dealt by class once: both joins below read the same shuffle
-    sets = _sets(texts, size).join(needed.select("class", "print"), "print").groupBy("class").agg(F.first("grams").alias("grams"))
+    sets = _sets(texts, size).join(F.broadcast(wanted) if few else wanted, "print").groupBy("class").agg(F.first("grams").alias("grams"))
     whole = good.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     common = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
     found = stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), ARROW_TEXTS)
-    dropped(good, needed, keys)
+    dropped(good, needed)
     return found
 
 
@@ -299,9 +304,8 @@ def _with_print(docs: DataFrame, size: int, text: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch, texts in text_batches(batches, text):
-            found = [hashlib.blake2b(np.unique(gram_hashes(words(t), size, known)).tobytes(), digest_size=16).digest() for t in texts]
+            found = [hashlib.blake2b(gram_set(t, size).tobytes(), digest_size=16).digest() for t in texts]
             yield columns(batch, names, {"_print": pa.array(found, pa.binary())})
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())]))

@@ -143,3 +143,30 @@ def test_a_large_group_of_near_copies_is_compared_with_its_middle(spark, monkeyp
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(jaccard.similar_sets(docs, 4, 85)) == brute(rows, 4, 85)
     assert sum(compared) < 8 * len(rows), compared
+
+
+def test_pairs_far_from_the_threshold_need_no_whole_sets(spark, monkeypatch):
+    """What both ends of the hash order lack adds up: sets that share half of their grams go before whole sets are made."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base[:420] + [f"y{rng.random()}" for _ in range(180)])), (3 * i + 2, " ".join([*base[:-2], "end", "of"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = []
+
+    def counted(texts, size, sets=jaccard._sets):
+        whole.append(texts.count())
+        return sets(texts, size)
+
+    monkeypatch.setattr(jaccard, "_sets", counted)
+    assert result(jaccard.similar_sets(docs, 4, 85)) == brute(rows, 4, 85)
+    assert sum(whole) <= 44, whole
+
+
+@pytest.mark.parametrize("percent", [30, 50, 85, 100])
+def test_ends_of_small_sets_overlap(spark, percent):
+    rng = random.Random(percent)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jaccard.similar_sets(docs, 1, percent)) == brute(rows, 1, percent)
