@@ -28,7 +28,6 @@ from .shared import columns, text_batches
 SPACE = "▁"
 KEPT_SEGMENTS = 200_000
 KEPT_PAIRS = 400_000
-NO_PIECE = float("-inf")  # the score of what is no piece
 
 
 class PieceCodec:
@@ -69,8 +68,7 @@ class PieceCodec:
                 raise ValueError(f"piece type {p.type} is not supported")
         self.matcher = ahocorasick.Automaton()
         for piece in self.ids:
-            if len(piece) > 1:  # a character may always stand alone
-                self.matcher.add_word(piece, len(piece))
+            self.matcher.add_word(piece, piece)
         self.matcher.make_automaton()
         # Texts fall apart where no piece can reach across: before a space that follows another
         # character (if no piece holds such a place), and around line ends that no piece holds.
@@ -78,24 +76,21 @@ class PieceCodec:
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
         body = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
         self.segments = re.compile("(?s:.+)" if inner else body).findall
-        # No piece holds two such neighbours, so nothing is merged across them.
-        self.neighbours = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, list[str]] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge a short text from its characters: always the best pair, the left one of equals."""
-        parts, score = list(text), self.scores.get
-        gains = [score(x + y, NO_PIECE) for x, y in zip(parts, parts[1:])]
-        while gains and (best := max(gains)) > NO_PIECE:
-            at = gains.index(best)
+        parts = list(text)
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if at < 0:
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del gains[at]
-            if at:
-                gains[at - 1] = score(parts[at - 1] + parts[at], NO_PIECE)
-            if at < len(gains):
-                gains[at] = score(parts[at] + parts[at + 1], NO_PIECE)
         return parts
 
     def fits(self, left: str, right: str) -> bool:
@@ -108,51 +103,32 @@ class PieceCodec:
         return found
 
     def split(self, text: str) -> list[str]:
-        """The merge encoding of a segment, as strings: that of each run between neighbours that no piece holds."""
-        out: list[str] = []
-        start, neighbours = 0, self.neighbours
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in neighbours:
-                run = text[start:i]
-                if (found := self.runs.get(run)) is None:
-                    found = self.walked(run) if i - start > 1 else [run]
-                    if len(run) <= 64:
-                        if len(self.runs) >= KEPT_SEGMENTS:
-                            self.runs.clear()
-                        self.runs[run] = found
-                out += found
-                start = i
-        return out
-
-    def walked(self, text: str) -> list[str]:
-        """The merge encoding of a run, by backtracking over the matches."""
+        """The merge encoding of a segment, as strings."""
         n = len(text)
-        ending: list[list[int]] = [[i] for i in range(1, n + 1)]  # by start, shorter ones first, as they end earlier
-        for end, length in self.matcher.iter(text):
-            ending[end + 1 - length].append(end + 1)
+        ending: list[list[str]] = [[c] for c in text]  # by start; a character may always stand alone
+        for end, piece in self.matcher.iter(text):
+            if len(piece) > 1:
+                ending[end - len(piece) + 1].append(piece)
         open_at = bytearray(b"\x01") * (n + 1)
         taken: list[tuple[str, int]] = []
-        pairs, fits = self.pairs, self.fits
-        at, k, left = 0, -1, ""
+        at, k = 0, -1
         while at < n:
             choices = ending[at]
             if k == -1:
+                choices.sort(key=len)
                 k = len(choices)
+            left = taken[-1][0] if taken else ""
             while k:
                 k -= 1
-                end = choices[k]
-                if not open_at[end]:
-                    continue
-                piece = text[at:end]
-                if (known := pairs.get((left, piece))) or (known is None and fits(left, piece)):
+                piece = choices[k]
+                if open_at[at + len(piece)] and self.fits(left, piece):
                     taken.append((piece, k))
-                    at, k, left = end, -1, piece
+                    at, k = at + len(piece), -1
                     break
             else:
                 open_at[at] = 0
                 piece, k = taken.pop()
                 at -= len(piece)
-                left = taken[-1][0] if taken else ""
         return [piece for piece, _ in taken]
 
     def packed(self, segment: str) -> bytes:
