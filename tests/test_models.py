@@ -173,3 +173,37 @@ def test_pivot_by_user_shuffles_no_wide_rows(spark, sf):
     before = plan[: plan.index("pivotfirst", plan.index("pivotfirst") + 1)] if plan.count("pivotfirst") > 1 else plan
     assert "Exchange" not in before[before.index("pivotfirst") :]
     assert "repartition" in plan.lower() or "REPARTITION_BY_COL" in plan
+
+
+def test_svd_by_strips_keeps_one_product_at_a_time(spark, monkeypatch):
+    """Strips of columns give the factors of whole products; of all tables written only the two results stay."""
+    import os
+
+    from acervo.session import shared_root
+
+    edges = spark.range(120).selectExpr("id AS usuario_id", "explode(sequence(0, 9)) AS j").selectExpr(
+        "usuario_id", "(usuario_id * 3 + j * j) % 50 AS item", "double(1 + (usuario_id * 7 + j * 5) % 11) AS peso")
+    tables = lambda: {x for x in os.listdir(shared_root(spark).removeprefix("file:")) if x.startswith("rows-")}
+    before = tables()
+    vectors = lambda df: {r[0]: r["vetor"] for r in df.collect()}
+    users, items, s = K.train_svd(edges, k=4, extra=6, rounds=2)
+    whole = vectors(users), vectors(items)
+    assert len(tables() - before) == 2
+    monkeypatch.setattr(K, "STRIP_BYTES", 4_000)
+    monkeypatch.setattr(K, "block_count", lambda n: 3 if n == 120 else 2)
+    assert len(K._strips(K._needs(K._grid(edges), "item", "_ub"), 10)) > 2
+    users, items, again = K.train_svd(edges, k=4, extra=6, rounds=2)
+    np.testing.assert_allclose(again, s, rtol=1e-9)
+    for now, then in zip((vectors(users), vectors(items)), whole):
+        assert now.keys() == then.keys()
+        np.testing.assert_allclose([now[k] for k in then], list(then.values()), atol=1e-8)
+
+
+def test_pairs_of_blocks_hold_few_weights(spark, monkeypatch):
+    monkeypatch.setattr(K, "PAIR_EDGES", 100)
+    edges = spark.range(1200).selectExpr("id % 60 AS usuario_id", "id DIV 60 AS item", "1.0D AS peso")
+    grid = K._grid(edges)
+    sizes = [r["count"] for r in grid.groupBy("_ub", "_ib").count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) >= 12
+    plan = grid.groupBy("_ub", "_ib").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # pairs lie in buckets
