@@ -78,3 +78,25 @@ def test_same_sample_for_every_layout(spark):
     df = spark.range(500).withColumn("k", F.concat(F.lit("k"), "id"))
     one = {r["k"] for r in sample_n(df, 40, "k").collect()}
     assert one == {r["k"] for r in sample_n(df.repartition(7), 40, "k").collect()} and len(one) == 40
+
+
+def test_cells_leave_no_shuffle_files(spark, monkeypatch):
+    """The folded cells are written by a way that removes the shuffle files behind them at once."""
+    from acervo import session
+    from acervo.functions import prefix
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    left = []
+
+    def written(df):
+        before = shuffles()
+        out = session.written(df)
+        left.append(len(shuffles() - before))
+        return out
+
+    monkeypatch.setattr(prefix, "written", written)
+    cells = spark.range(900).selectExpr("id % 9 AS v").repartition(5).groupBy("v").count()
+    run = prefix.running_totals(cells, "v", ["count"])
+    assert [(r["v"], r["count_before"]) for r in run.orderBy("v").collect()] == [(i, 100 * i) for i in range(9)]
+    assert left == [0]
