@@ -88,3 +88,33 @@ def test_odd_rows(spark, monkeypatch):
     alone = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     only = markov.lm_scores(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).collect()[0]
     assert (only.held_out, only.n_known, only.train_tokens) == (True, 0, 0) and only.score == pytest.approx(0)
+
+
+def test_every_word_has_emissions_of_its_own(spark, monkeypatch):
+    """Two words of a class lie in the states as their own texts do; all tokens of all training texts count, also of a long one."""
+    seen = {}
+    weights, states = markov._word_weights, markov._word_states
+    monkeypatch.setattr(markov, "_word_states", lambda *a: seen.setdefault("states", states(*a)))
+    monkeypatch.setattr(markov, "_word_weights", lambda *a: seen.setdefault("weights", weights(*a)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{n}" for n in rng.integers(0, 3000, 100)) for i in range(200)]
+    texts.append(" ".join(f"a{n}" for n in rng.integers(0, 3000, 4000)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = markov.lm_scores(docs).collect()
+    counts = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in [*words_of(t), " "]:
+                counts[w] = counts.get(w, 0) + 1
+    found = {r["word"].decode(): sum(r[f"e{k}"] for k in range(markov.STATES)) / markov.UNIT for r in seen["states"].collect()}
+    assert found == pytest.approx(counts, rel=1e-3) and len(counts) > markov.CLASSES
+    classes, total = {}, np.zeros(markov.STATES)
+    for r in seen["weights"].collect():
+        c, kind = divmod(r["packed"], markov.CLASSES)
+        w = np.array(r["w"], np.float64)
+        assert c == counts[r["word"].decode()] and w.sum() == pytest.approx(c + 1, rel=1e-5)
+        classes.setdefault(kind, []).append(w / w.sum())
+        total += w
+    assert any(np.abs(np.array(c) - c[0]).max() > 0.01 for c in classes.values() if len(c) > 1)
+    assert total.sum() == pytest.approx(sum(counts.values()) + len(counts), rel=1e-5)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
