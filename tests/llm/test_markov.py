@@ -94,7 +94,7 @@ def test_every_word_has_emissions_of_its_own(spark, monkeypatch):
     """Two words of a class lie in the states as their own texts do; all tokens of all training texts count, also of a long one."""
     seen = {}
     weights, states = markov._word_weights, markov._word_states
-    monkeypatch.setattr(markov, "_word_states", lambda *a: seen.setdefault("states", markov.stored(states(*a))))
+    monkeypatch.setattr(markov, "_word_states", lambda *a: (found := states(*a), seen.setdefault("states", found.collect()))[0])
     monkeypatch.setattr(markov, "_word_weights", lambda *a: seen.setdefault("weights", markov.stored(weights(*a))))
     rng = np.random.default_rng(5)
     texts = [" ".join(f"{'ab'[i % 2]}{n}" for n in rng.integers(0, 3000, 100)) for i in range(200)]
@@ -107,7 +107,7 @@ def test_every_word_has_emissions_of_its_own(spark, monkeypatch):
             for w in [*words_of(t), " "]:
                 counts[w] = counts.get(w, 0) + 1
     assert len(got) == len(texts)
-    found = {r["word"].decode(): sum(r[f"e{k}"] for k in range(markov.STATES)) / markov.UNIT for r in seen["states"].collect()}
+    found = {r["word"].decode(): sum(r[f"e{k}"] for k in range(markov.STATES)) / markov.UNIT for r in seen["states"]}
     assert found == pytest.approx(counts, rel=1e-3) and len(counts) > markov.CLASSES
     classes, total = {}, np.zeros(markov.STATES)
     for r in seen["weights"].collect():
